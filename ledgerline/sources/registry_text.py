@@ -67,20 +67,21 @@ def split_offsets(lines: DataFrame) -> DataFrame:
     )
 
 
-def with_line_numbers(lines: DataFrame, *, max_broadcast_splits: int = MAX_BROADCAST_SPLITS
-                      ) -> DataFrame:
+def with_line_numbers(lines: DataFrame, rows: DataFrame | None = None, *,
+                      max_broadcast_splits: int = MAX_BROADCAST_SPLITS) -> DataFrame:
     """Add ``line_number`` (1-based, per file, counting every physical line).
 
-    ``lines`` must still hold every line of its files with the position
-    columns of ``read_lines`` (or a staged copy of them): apply this before
-    any filter.  The split table is materialized once in the checkpoint
-    folder and counted; it is broadcast only when that count is within the
-    bound.
+    ``lines`` must hold every line of its files with the position columns of
+    ``read_lines`` (or a staged copy of them); ``rows`` (default: ``lines``)
+    are the rows to number, e.g. only the rejects of a staged copy.  The
+    split table is materialized once in the checkpoint folder and counted;
+    it is broadcast only when that count is within the bound.
     """
-    offsets = split_offsets(lines).checkpoint(eager=True)
+    offsets = split_offsets(lines.select(*POSITION_COLUMNS)).checkpoint(eager=True)
     n_splits = offsets.count()
     side = F.broadcast(offsets) if n_splits <= max_broadcast_splits else offsets
-    joined = lines.join(side, ["source_file", "split_start"], "inner")
+    target = lines if rows is None else rows
+    joined = target.join(side, ["source_file", "split_start"], "inner")
     return joined.withColumn(
         "line_number",
         F.col("lines_before") + (F.col("row_id") - F.col("first_row_id")) + F.lit(1),
@@ -92,12 +93,15 @@ def with_line_numbers(lines: DataFrame, *, max_broadcast_splits: int = MAX_BROAD
 # ---------------------------------------------------------------------------
 
 def format_amount(x: Column) -> Column:
-    """decimal → 12-character registry amount with a decimal comma (one
-    decimal when that is exact, else two)."""
-    one = F.format_string("%012.1f", x)
-    two = F.format_string("%012.2f", x)
-    txt = F.when((x * 10) == F.floor(x * 10), one).otherwise(two)
-    return F.replace(txt, F.lit("."), F.lit(","))
+    """decimal(18,2) → 12-character registry amount with a decimal comma:
+    one decimal when that is exact, else two; zero-padded after the sign."""
+    digits = F.abs(x).cast(L.MONEY).cast("string")            # e.g. 1500.50
+    whole = F.substring_index(digits, ".", 1)
+    frac = F.substring_index(digits, ".", -1)
+    frac = F.when(frac.endswith("0"), F.substring(frac, 1, 1)).otherwise(frac)
+    body = F.concat(whole, F.lit(","), frac)
+    return F.when(x < 0, F.concat(F.lit("-"), F.lpad(body, 11, "0"))).otherwise(
+        F.lpad(body, 12, "0"))
 
 
 def render_line(rec: DataFrame | None = None) -> Column:
