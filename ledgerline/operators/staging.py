@@ -132,19 +132,25 @@ def remaining_lines(numbered_lines: DataFrame, last_lines: DataFrame) -> DataFra
     ).drop("last_loaded_line")
 
 
-def load_with_resume(spark: SparkSession, path: str, staging_root: str, slug: str) -> str:
-    """Stage a file, resuming after the last staged line of each source file.
-
-    A missing staging (or no staged rows) starts clean; otherwise only lines
-    past the checkpoint are appended, so an interrupted load followed by a
-    resume leaves exactly what a one-shot load leaves.
+def load_with_resume(spark: SparkSession, path: str, staging_root: str, slug: str,
+                     last_loaded_line: int | None = None) -> str:
+    """Stage a file, resuming after the checkpoint.
+
+    ``last_loaded_line`` is the run's checkpoint: ``0`` (or a missing
+    staging) starts clean, replacing whatever is staged; a positive value
+    skips lines up to it; ``None`` derives it per source file from the
+    staged rows.  An interrupted load followed by a resume leaves exactly
+    what a one-shot load leaves.
     """
     lines = RT.with_line_numbers(RT.read_lines(spark, path))
-    if exists(spark, staging_root, slug):
-        done = checkpoints(staged(spark, staging_root, slug, [L.KIND_VALID]))
-        rows = staged_rows(remaining_lines(lines, done))
-        return stage(rows, staging_root, slug, mode="append")
-    return stage(staged_rows(lines), staging_root, slug, mode="overwrite")
+    if last_loaded_line == 0 or not exists(spark, staging_root, slug):
+        return stage(staged_rows(lines), staging_root, slug, mode="overwrite")
+    if last_loaded_line is None:
+        rest = remaining_lines(lines, checkpoints(staged(spark, staging_root, slug,
+                                                         [L.KIND_VALID])))
+    else:
+        rest = lines.where(F.col("line_number") > F.lit(int(last_loaded_line)))
+    return stage(staged_rows(rest), staging_root, slug, mode="append")
 
 
 # -- retention ---------------------------------------------------------------
