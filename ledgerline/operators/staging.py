@@ -35,20 +35,22 @@ def staged_rows(lines: DataFrame) -> DataFrame:
     """Classify lines into the staged shape (one pass, no shuffle).
 
     ``lines`` has ``line`` and the position columns; ``line_number`` is kept
-    when present (resume mode) and NULL otherwise.
+    when present (resume mode) and NULL otherwise.  ``kind`` is computed
+    once as its own column (Catalyst keeps it in a separate projection
+    instead of inlining it into every field that depends on it).
     """
-    kind = C.line_kind("line")
-    valid = kind == L.KIND_VALID
     has_number = "line_number" in lines.columns
-    return lines.select(
+    classified = lines.withColumn("kind", C.line_kind("line"))
+    valid = F.col("kind") == L.KIND_VALID
+    return classified.select(
         "source_file", "split_start", "row_id",
         (F.col("line_number") if has_number else F.lit(None).cast("long")).alias("line_number"),
         F.when(valid, C.field("identification_number")).alias("identification_number"),
         F.when(valid, C.field("entity_code")).alias("entity_code"),
         F.when(valid, C.field("situation")).alias("situation"),
         F.when(valid, C.field("loans")).alias("loans"),
-        C.reject_detail(kind).alias("detail"),
-        kind.alias("kind"),
+        C.reject_detail(F.col("kind")).alias("detail"),
+        "kind",
     )
 
 
