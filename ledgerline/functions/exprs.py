@@ -18,10 +18,6 @@ from ledgerline import layout as L
 _NUMERIC_PREFIX = r"^[ \t\n\r\x0B\f]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
 
-# Unsigned digits with at most one decimal point and at least one digit.
-_PLAIN_DECIMAL = r"^(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"
-
-
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -48,11 +44,9 @@ def normalize_situation(raw: Column | str) -> Column:
     return out.otherwise(t)
 
 
-def _prefix_number(text: Column, to: str) -> Column:
-    """Cast the numeric prefix of ``text``; NULL when there is none (an empty
-    prefix is never cast: a failing cast is the slow path of ``try_cast``)."""
-    prefix = F.regexp_extract(text, _NUMERIC_PREFIX, 1)
-    return F.when(prefix != "", prefix.try_cast(to))
+def _prefix(text: Column) -> Column:
+    """The numeric prefix of ``text`` (empty when there is none)."""
+    return F.regexp_extract(text, _NUMERIC_PREFIX, 1)
 
 
 def parse_amount(raw: Column | str) -> Column:
@@ -62,29 +56,30 @@ def parse_amount(raw: Column | str) -> Column:
     longest numeric prefix is taken (no prefix → 0).  Digits without a comma
     are whole units.  Rounds half-up to two decimals.
 
-    Branches, cheapest first: nothing left after dropping zeros and blanks
-    → 0; digits with at most one point (every well-formed registry amount)
-    → a cast that cannot fail; anything else (sign, exponent, trailing
-    text) → the regular-expression prefix.  Failing casts are never
-    attempted: in the JVM they cost an exception each.
+    The branches only choose the text to convert; one cast at the end does
+    the conversion (small generated code keeps wide projections inside the
+    JIT's method-size limit).  Digits with an optional comma and decimals —
+    every well-formed registry amount, zeros included — are cast as they
+    are; any other spelling goes through the regular-expression prefix.
+    The cast only ever sees text that parses, so it never costs an
+    exception (only an overflow yields NULL, then 0).
     """
-    dotted = F.replace(F.ltrim(_col(raw), F.lit("0")), F.lit(","), F.lit("."))
-    core = F.btrim(dotted, F.lit(" "))
-    zero = F.lit(0).cast(L.MONEY)
-    return (F.when(core == "", zero)
-            .when(core.rlike(_PLAIN_DECIMAL), core.try_cast(L.MONEY))
-            .otherwise(F.coalesce(_prefix_number(dotted, "decimal(18,2)"), zero)))
+    text = _col(raw)
+    canonical = F.replace(text, F.lit(","), F.lit("."))
+    stripped = F.replace(F.ltrim(text, F.lit("0")), F.lit(","), F.lit("."))
+    number = F.when(canonical.rlike(r"^[0-9]+(?:\.[0-9]*)?$"), canonical).otherwise(
+        F.coalesce(F.nullif(_prefix(stripped), F.lit("")), F.lit("0")))
+    return F.coalesce(number.try_cast(L.MONEY), F.lit(0).cast(L.MONEY))
 
 
 def lenient_int(raw: Column | str) -> Column:
     """Integer value of the numeric prefix of a text, truncated toward zero;
-    0 when there is none or it does not fit an int.  Plain digits (between
-    blanks) are cast directly; anything else goes through the prefix."""
+    0 when there is none or it does not fit an int.  Plain digits are cast
+    directly; anything else goes through the prefix."""
     c = _col(raw)
-    core = F.btrim(c, F.lit(" "))
-    return (F.when(core == "", F.lit(0))
-            .when(core.rlike(r"^[0-9]{1,9}$"), core.try_cast("int"))
-            .otherwise(F.coalesce(_prefix_number(c, "double").try_cast("int"), F.lit(0))))
+    value = F.when(c.rlike(r"^[0-9]{1,9}$"), c.try_cast("int")).otherwise(
+        F.nullif(_prefix(c), F.lit("")).try_cast("double").try_cast("int"))
+    return F.coalesce(value, F.lit(0))
 
 
 def severity(code: Column | str) -> Column:

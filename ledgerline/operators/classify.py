@@ -3,9 +3,14 @@
 Checks apply in order and the first match names the line's kind:
 blank → comment → short_line → id_type → situation → valid.  Blank and
 comment lines are dropped without being counted; the three reject kinds are
-counted and logged with a detail value.  Every check is a column
-expression, so the whole classification runs in the scan stage with no
-shuffle and no Python.
+counted and logged with a detail value.
+
+Everything works on the line's raw bytes (``raw``) and its character count
+(``n_chars``, see ``registry_text.line_columns``): the registry is Latin-1,
+so byte positions are character positions, slices are cheap binary
+substrings, and only the slices that become output fields are decoded.  Each
+check is a column expression, so classification runs in the scan stage
+with no shuffle and no Python.
 """
 
 from __future__ import annotations
@@ -19,46 +24,69 @@ from ledgerline.functions import exprs as X
 _FIELD = {name: (pos, length, kind) for name, pos, length, kind in L.FIELDS}
 
 
-def field(name: str, line: Column | str = "line") -> Column:
-    """Typed value of one layout field sliced out of ``line``."""
+def _c(c: Column | str) -> Column:
+    return F.col(c) if isinstance(c, str) else c
+
+
+def byte_slice(raw: Column | str, position: int, length: int) -> Column:
+    return F.substring(_c(raw), position, length)
+
+
+def text_slice(raw: Column | str, position: int, length: int) -> Column:
+    """Characters ``position .. position+length-1`` (1-based) as text."""
+    return F.decode(byte_slice(raw, position, length), "ISO-8859-1")
+
+
+def ascii_slice(raw: Column | str, position: int, length: int) -> Column:
+    """A slice as text without charset decoding, for numeric fields: every
+    character a number can contain is ASCII, and a non-ASCII byte ends the
+    numeric prefix whether it is decoded or not."""
+    return byte_slice(raw, position, length).cast("string")
+
+
+def field(name: str, raw: Column | str = "raw") -> Column:
+    """Typed value of one layout field sliced out of the line bytes."""
     pos, length, kind = _FIELD[name]
-    raw = X.field_slice(line, pos, length)
-    if kind == "trimmed":
-        return X.registry_trim(raw)
-    if kind == "situation":
-        return X.normalize_situation(raw)
     if kind == "amount":
-        return X.parse_amount(raw)
+        return X.parse_amount(ascii_slice(raw, pos, length))
     if kind == "int":
-        return X.lenient_int(raw)
-    return raw
+        return X.lenient_int(ascii_slice(raw, pos, length))
+    text = text_slice(raw, pos, length)
+    if kind == "trimmed":
+        return X.registry_trim(text)
+    if kind == "situation":
+        return X.normalize_situation(text)
+    return text
 
 
-def line_kind(line: Column | str = "line") -> Column:
-    ln = F.col(line) if isinstance(line, str) else line
+def line_kind(raw: Column | str = "raw", n_chars: Column | str = "n_chars") -> Column:
+    r, n = _c(raw), _c(n_chars)
+    pos, length, _ = _FIELD["identification_type"]
+    # An ASCII literal equals the bytes cast to text only if the bytes are
+    # that ASCII text, so the cheap cast is exact for these two checks.
     return (
-        F.when(ln == "", F.lit(L.KIND_BLANK))
-        .when(ln.startswith("#"), F.lit(L.KIND_COMMENT))
-        .when(F.length(ln) < L.LINE_LENGTH, F.lit(L.REJECT_SHORT_LINE))
-        .when(field("identification_type", ln) != L.CUIT_ID_TYPE, F.lit(L.REJECT_ID_TYPE))
-        .when(~X.is_valid_situation(field("situation", ln)), F.lit(L.REJECT_SITUATION))
+        F.when(n == 0, F.lit(L.KIND_BLANK))
+        .when(byte_slice(r, 1, 1).cast("string") == "#", F.lit(L.KIND_COMMENT))
+        .when(n < L.LINE_LENGTH, F.lit(L.REJECT_SHORT_LINE))
+        .when(byte_slice(r, pos, length).cast("string") != L.CUIT_ID_TYPE, F.lit(L.REJECT_ID_TYPE))
+        .when(~X.is_valid_situation(field("situation", r)), F.lit(L.REJECT_SITUATION))
         .otherwise(F.lit(L.KIND_VALID))
     )
 
 
-def reject_detail(kind: Column, line: Column | str = "line") -> Column:
+def reject_detail(kind: Column, raw: Column | str = "raw",
+                  n_chars: Column | str = "n_chars") -> Column:
     """The offending value of a rejected line (length, type or situation)."""
-    ln = F.col(line) if isinstance(line, str) else line
     return (
-        F.when(kind == L.REJECT_SHORT_LINE, F.length(ln).cast("string"))
-        .when(kind == L.REJECT_ID_TYPE, field("identification_type", ln))
-        .when(kind == L.REJECT_SITUATION, field("situation", ln))
+        F.when(kind == L.REJECT_SHORT_LINE, _c(n_chars).cast("string"))
+        .when(kind == L.REJECT_ID_TYPE, field("identification_type", raw))
+        .when(kind == L.REJECT_SITUATION, field("situation", raw))
     )
 
 
 def classify(lines: DataFrame) -> DataFrame:
     """Add ``kind`` to every line (keeps all other columns)."""
-    return lines.withColumn("kind", line_kind("line"))
+    return lines.withColumn("kind", line_kind())
 
 
 def parse_fields(lines: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -69,7 +97,7 @@ def parse_fields(lines: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 def valid_records(lines: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Valid lines with their typed fields; the classification runs inline."""
-    kept = lines.where(line_kind("line") == L.KIND_VALID)
+    kept = lines.where(line_kind() == L.KIND_VALID)
     return parse_fields(kept, names)
 
 
@@ -80,9 +108,8 @@ def staging_projection(lines: DataFrame) -> DataFrame:
 
 def rejects(lines: DataFrame) -> DataFrame:
     """Counted rejects with ``reason`` and ``detail`` (blank/comment excluded)."""
-    k = line_kind("line")
-    out = lines.withColumn("reason", k).where(F.col("reason").isin(L.REJECT_REASONS))
-    return out.withColumn("detail", reject_detail(F.col("reason"), "line"))
+    out = lines.withColumn("reason", line_kind()).where(F.col("reason").isin(L.REJECT_REASONS))
+    return out.withColumn("detail", reject_detail(F.col("reason")))
 
 
 def reject_counts(lines: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ def staged_rows(lines: DataFrame) -> DataFrame:
     instead of inlining it into every field that depends on it).
     """
     has_number = "line_number" in lines.columns
-    classified = lines.withColumn("kind", C.line_kind("line"))
+    classified = lines.withColumn("kind", C.line_kind())
     valid = F.col("kind") == L.KIND_VALID
     return classified.select(
         "source_file", "split_start", "row_id",

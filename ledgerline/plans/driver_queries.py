@@ -145,7 +145,7 @@ def q_line_numbers(spark, sf_dir):
 
 
 def q_skip_blank_comment(spark, sf_dir):
-    k = C.line_kind("line")
+    k = C.line_kind()
     return lines(spark, sf_dir).agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.count_if(k == L.KIND_BLANK).alias("n_blank"),

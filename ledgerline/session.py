@@ -15,9 +15,12 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
-                  app_name: str = "ledgerline") -> SparkSession:
+                  app_name: str = "ledgerline", driver_memory: str = "8g") -> SparkSession:
+    """Session for local runs and tests.  On a cluster the deployment sets
+    memory and parallelism; only SQL defaults matter there."""
     spark = (
         SparkSession.builder.master(master)
+        .config("spark.driver.memory", driver_memory)
         .appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

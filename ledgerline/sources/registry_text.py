@@ -32,8 +32,22 @@ def strip_cr(line: Column) -> Column:
     return F.regexp_replace(line, r"\r\z", "")
 
 
+def line_columns(value: Column) -> list[Column]:
+    """``raw`` (the line's bytes), ``n_chars`` (its length without a trailing
+    CR — in Latin-1 one byte is one character) and ``line`` (decoded, CR
+    dropped).  Classification and field slicing work on ``raw`` with byte
+    positions, so the whole-line decode runs only when ``line`` is used."""
+    raw = value.cast("binary")
+    has_cr = F.endswith(raw, F.lit(bytearray(b"\r")))
+    n_chars = (F.octet_length(raw) - has_cr.cast("int")).alias("n_chars")
+    line = F.decode(raw, "ISO-8859-1")
+    line = F.when(has_cr, line.substr(F.lit(1), F.octet_length(raw) - 1)).otherwise(line)
+    return [raw.alias("raw"), n_chars, line.alias("line")]
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per physical line: ``source_file, split_start, row_id, line``.
+    """One row per physical line: ``source_file, split_start, row_id, raw,
+    n_chars, line``.
 
     ``path`` is anything ``spark.read.text`` takes (a file, a folder, a glob,
     on any Hadoop file system).  Lines split on ``\\n`` only; a lone ``\\r``
@@ -45,7 +59,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("row_id"),
-        strip_cr(decode_latin1(F.col("value"))).alias("line"),
+        *line_columns(F.col("value")),
     )
 
 

@@ -27,7 +27,7 @@ from ledgerline.operators import aggregate as A
 from ledgerline.operators import classify as C
 from ledgerline.operators import publish as P
 from ledgerline.operators import staging as S
-from ledgerline.sources.registry_text import decode_latin1, strip_cr
+from ledgerline.sources.registry_text import line_columns
 
 TEXT_SCHEMA = "value string"
 
@@ -38,7 +38,7 @@ def stream_lines(spark: SparkSession, landing: str) -> DataFrame:
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.col("_metadata.file_modification_time").alias("file_mtime"),
-        strip_cr(decode_latin1(F.col("value"))).alias("line"),
+        *line_columns(F.col("value")),
     )
 
 
