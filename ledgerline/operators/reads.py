@@ -19,6 +19,13 @@ from pyspark.sql import functions as F
 
 from ledgerline import layout as L
 
+# Pages ending within this many rows use ORDER BY + OFFSET/LIMIT (a bounded
+# per-task heap merged in one task); deeper pages number rows in a sorted
+# copy, so no task ever holds more than its own share.
+DEEP_PAGE_ROWS = 10_000
+# A partition table of this many rows is a few MB; beyond it the join shuffles.
+MAX_BROADCAST_PARTITIONS = 200_000
+
 _CUIT = re.compile(r"[0-9]{11}", re.ASCII)
 _ENTITY = re.compile(r"[0-9]{1,5}", re.ASCII)
 
@@ -117,6 +124,31 @@ def debtors_filtered(debtors: DataFrame, situation: str | None = None) -> DataFr
     return out
 
 
+def positioned_slice(df: DataFrame, key: str, skip: int, n: int) -> DataFrame:
+    """Rows ``skip+1 .. skip+n`` of ``df`` ordered by the unique ``key``, with
+    their 1-based ``position``, computed without a global window.
+
+    The sorted copy is range partitioned and checkpointed (stable partition
+    ids and order); each partition reports its first row id and row count,
+    a prefix sum over that small table (one row per partition) gives the
+    rows before each partition, and a join puts positions back.
+    """
+    ordered = df.orderBy(key).checkpoint(eager=True)
+    tagged = ordered.select("*", F.spark_partition_id().alias("_part"),
+                            F.monotonically_increasing_id().alias("_row"))
+    stats = tagged.groupBy("_part").agg(F.min("_row").alias("_first"),
+                                        F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    stats = stats.select("_part", "_first",
+                         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    n_parts = ordered.rdd.getNumPartitions()
+    side = F.broadcast(stats) if n_parts <= MAX_BROADCAST_PARTITIONS else stats
+    pos = F.col("_before") + (F.col("_row") - F.col("_first")) + F.lit(1)
+    out = tagged.join(side, "_part").withColumn("position", pos)
+    return (out.where((F.col("position") > skip) & (F.col("position") <= skip + n))
+            .drop("_part", "_row", "_first", "_before"))
+
+
 def debtors_page(debtors: DataFrame, situation: str | None = None, page: int | None = None,
                  per_page: int | None = None) -> DataFrame:
     """Page ``page`` (1-based) of ``per_page`` rows, ordered by identification
@@ -124,10 +156,13 @@ def debtors_page(debtors: DataFrame, situation: str | None = None, page: int | N
     per_page = check_per_page(per_page)
     page = check_page(page)
     skip = (page - 1) * per_page
-    rows = (debtors_filtered(debtors, situation)
-            .orderBy("identification_number").offset(skip).limit(per_page))
+    filtered = debtors_filtered(debtors, situation)
+    if skip + per_page > DEEP_PAGE_ROWS:
+        return positioned_slice(filtered, "identification_number", skip, per_page)
+    rows = filtered.orderBy("identification_number").offset(skip).limit(per_page)
     return rows.withColumn(
-        "position", F.row_number().over(Window.orderBy("identification_number")) + F.lit(skip))
+        "position",
+        (F.row_number().over(Window.orderBy("identification_number")) + F.lit(skip)).cast("long"))
 
 
 def page_meta(debtors: DataFrame, situation: str | None = None, page: int | None = None,

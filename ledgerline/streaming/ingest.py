@@ -32,8 +32,12 @@ from ledgerline.sources.registry_text import line_columns
 TEXT_SCHEMA = "value string"
 
 
-def stream_lines(spark: SparkSession, landing: str) -> DataFrame:
-    raw = spark.readStream.schema(TEXT_SCHEMA).option("lineSep", "\n").text(landing)
+def stream_lines(spark: SparkSession, landing: str,
+                 max_files_per_trigger: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(TEXT_SCHEMA).option("lineSep", "\n")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    raw = reader.text(landing)
     return raw.select(
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("split_start"),
@@ -42,9 +46,13 @@ def stream_lines(spark: SparkSession, landing: str) -> DataFrame:
     )
 
 
-def stream_valid_rows(spark: SparkSession, landing: str, sink: str, checkpoint: str) -> None:
-    """J1: append the valid rows of newly arrived files to ``sink``."""
-    rows = C.staging_projection(stream_lines(spark, landing)).select(
+def stream_valid_rows(spark: SparkSession, landing: str, sink: str, checkpoint: str,
+                      max_files_per_trigger: int = 1000) -> None:
+    """J1: append the valid rows of newly arrived files to ``sink``.  A large
+    backlog is taken ``max_files_per_trigger`` files per micro-batch (each
+    batch commits on its own, so a restart resumes after the last one)."""
+    lines = stream_lines(spark, landing, max_files_per_trigger)
+    rows = C.staging_projection(lines).select(
         "source_file", "identification_number", "entity_code", "situation", "loans")
     q = (rows.writeStream.format("parquet")
          .option("path", sink)
@@ -73,7 +81,8 @@ def latest_delivery(batch: DataFrame) -> DataFrame:
 
 def stream_latest_delivery(spark: SparkSession, landing: str, published_root: str,
                            staging_root: str, checkpoint: str, loaded_at=None) -> None:
-    """J2: publish the newest delivery of each micro-batch."""
+    """J2: publish the newest delivery of each micro-batch.  Batches are not
+    capped by file count, so a delivery is never split across batches."""
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():

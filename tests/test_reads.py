@@ -80,3 +80,20 @@ def test_lookup_filter_reaches_parquet_scan(spark, debtors, tmp_path):
     debtors.write.parquet(p)
     plan = _plan(Q.debtor_by_cuit(spark.read.schema(L.DEBTORS_SCHEMA).parquet(p), "20345123458"))
     assert "PushedFilters" in plan and "EqualTo(identification_number,20345123458)" in plan
+
+
+def test_deep_page_path_equals_shallow(spark, monkeypatch):
+    rows = [(f"2{i:010d}", "03" if i % 4 else "01", Decimal(i), None) for i in range(0, 5000, 3)]
+    d = spark.createDataFrame(rows, L.DEBTORS_SCHEMA).repartition(7)
+    shallow = [tuple(r) for r in Q.debtors_page(d, "03", page=9, per_page=37).collect()]
+    monkeypatch.setattr(Q, "DEEP_PAGE_ROWS", 10)
+    deep = Q.debtors_page(d, "03", page=9, per_page=37)
+    got = sorted(tuple(r) for r in deep.select(*shallow_cols(deep)).collect())
+    assert got == sorted(shallow) and len(got) == 37
+    assert [r[-1] for r in sorted(shallow, key=lambda r: r[-1])] == list(range(297, 334))
+    # past the end: empty, same in both paths
+    assert Q.debtors_page(d, "03", page=200, per_page=37).count() == 0
+
+
+def shallow_cols(df):
+    return ["identification_number", "max_situation", "total_loan_amount", "position"]
