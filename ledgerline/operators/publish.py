@@ -25,7 +25,9 @@ VERSIONS = "versions"
 SCHEMAS = {"debtors": L.DEBTORS_SCHEMA, "entities": L.ENTITIES_SCHEMA}
 # Layout by read pattern: range partitioning + sort on the lookup key makes
 # Parquet row-group min/max statistics serve the point lookups.
-SORT_KEYS = {"debtors": "identification_number", "entities": "entity_code"}
+# ``entities`` holds one row per lending entity (hundreds): no layout needed,
+# AQE coalesces its aggregation output into a single small file.
+SORT_KEYS = {"debtors": "identification_number"}
 
 
 def new_version() -> str:
@@ -56,9 +58,15 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame],
         laid_out = df.repartitionByRange(key).sortWithinPartitions(key) if key else df
         laid_out.write.mode("error").parquet(f"{target}/{name}")
     fs.write_marker(spark, f"{root}/{COMMITS}/{version}", version)
-    for old in committed_versions(spark, root)[:-keep] if keep else []:
+    committed = committed_versions(spark, root)
+    for old in committed[:-keep] if keep else []:
         fs.delete(spark, f"{root}/{COMMITS}/{old}")
         fs.delete(spark, version_dir(root, old))
+    # folders of older attempts that never committed (a lost driver) are
+    # invisible to readers; remove them
+    for name in fs.list_names(spark, f"{root}/{VERSIONS}"):
+        if name < version and name not in committed:
+            fs.delete(spark, version_dir(root, name))
     return version
 
 

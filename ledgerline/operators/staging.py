@@ -177,7 +177,10 @@ def gc_staging(spark: SparkSession, staging_root: str, run_states: DataFrame,
                as_of: datetime) -> list[str]:
     """Remove stale staging folders; returns the removed slugs.  The list of
     folders is bounded by the number of runs kept on disk."""
-    stale = stale_staging(list_staging(spark, staging_root), run_states, as_of)
+    present = list_staging(spark, staging_root)
+    if present.isEmpty():
+        return []
+    stale = stale_staging(present, run_states, as_of)
     removed = [r.slug for r in stale.collect()]
     for slug in removed:
         drop_staging(spark, staging_root, slug)

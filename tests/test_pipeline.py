@@ -94,6 +94,18 @@ def test_publish_is_versioned_and_atomic(spark, tmp_path):
     assert [r.identification_number for r in P.read_published(spark, root, "debtors").collect()] == ["2"]
 
 
+def test_abandoned_version_is_removed(spark, tmp_path):
+    root = str(tmp_path / "pub")
+    e = spark.createDataFrame([("E1", Decimal("1"), None)], L.ENTITIES_SCHEMA)
+    d = spark.createDataFrame([("1", "01", Decimal("1"), None)], L.DEBTORS_SCHEMA)
+    v0 = P.new_version()
+    d.write.parquet(f"{P.version_dir(root, v0)}/debtors")  # written, never committed
+    assert P.current_version(spark, root) is None
+    v1 = P.publish(spark, root, {"debtors": d, "entities": e})
+    assert P.current_version(spark, root) == v1
+    assert P.fs.list_names(spark, f"{root}/{P.VERSIONS}") == [v1]
+
+
 def test_latest_file_replaces_old_rows(spark, write_file, workspace):
     first = write_file([make_line(ident="20111111111", entity="OLD01")])
     second = write_file([make_line(ident="20222222222", entity="NEW01")])
