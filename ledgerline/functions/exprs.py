@@ -18,6 +18,11 @@ from ledgerline import layout as L
 _NUMERIC_PREFIX = r"^[ \t\n\r\x0B\f]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
 
+# Fast-path amount text (after comma → point): digits with an optional
+# fraction, or a bare fraction, then optional trailing blanks.
+_SIMPLE_AMOUNT = r"^(?:[0-9]+\.?[0-9]*|\.[0-9]+) *$"
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -57,18 +62,21 @@ def parse_amount(raw: Column | str) -> Column:
     are whole units.  Rounds half-up to two decimals.
 
     The branches only choose the text to convert; one cast at the end does
-    the conversion (small generated code keeps wide projections inside the
-    JIT's method-size limit).  Digits with an optional comma and decimals —
-    every well-formed registry amount, zeros included — are cast as they
-    are; any other spelling goes through the regular-expression prefix.
+    the conversion (small generated code keeps wide projections compact).
+    Digits with an optional comma and decimals, or a bare decimal part,
+    optionally followed by blanks — every well-formed registry amount,
+    zeros included — are cast as they are (the cast ignores the trailing
+    blanks, as the prefix rule does); zeros and blanks alone are 0; any
+    other spelling goes through the regular-expression prefix.
     The cast only ever sees text that parses, so it never costs an
     exception (only an overflow yields NULL, then 0).
     """
     text = _col(raw)
     canonical = F.replace(text, F.lit(","), F.lit("."))
     stripped = F.replace(F.ltrim(text, F.lit("0")), F.lit(","), F.lit("."))
-    number = F.when(canonical.rlike(r"^[0-9]+(?:\.[0-9]*)?$"), canonical).otherwise(
-        F.coalesce(F.nullif(_prefix(stripped), F.lit("")), F.lit("0")))
+    number = (F.when(canonical.rlike(_SIMPLE_AMOUNT), canonical)
+              .when(text.rlike(r"^[0 ]*$"), F.lit("0"))
+              .otherwise(F.coalesce(F.nullif(_prefix(stripped), F.lit("")), F.lit("0"))))
     return F.coalesce(number.try_cast(L.MONEY), F.lit(0).cast(L.MONEY))
 
 

@@ -124,13 +124,21 @@ def checkpoints(staged_valid_rows: DataFrame) -> DataFrame:
         F.max("line_number").alias("last_loaded_line"))
 
 
+# One row per source file; a table of this many rows is a few MB.
+MAX_BROADCAST_FILES = 200_000
+
+
 def remaining_lines(numbered_lines: DataFrame, last_lines: DataFrame) -> DataFrame:
     """Lines after each file's checkpoint (all of a file without one).
 
-    The checkpoint table has one row per file, a size bounded by the file
-    listing, and the join is planned by the optimizer from that size.
+    The checkpoint table has one row per source file.  It is materialized
+    and counted, then broadcast when within the bound, so a file holding a
+    large share of all lines is never shuffled into one task; beyond the
+    bound the join shuffles (with AQE skew splitting).
     """
-    joined = numbered_lines.join(last_lines, "source_file", "left")
+    last = last_lines.checkpoint(eager=True)
+    side = F.broadcast(last) if last.count() <= MAX_BROADCAST_FILES else last
+    joined = numbered_lines.join(side, "source_file", "left")
     return joined.where(
         F.col("line_number") > F.coalesce(F.col("last_loaded_line"), F.lit(0))
     ).drop("last_loaded_line")

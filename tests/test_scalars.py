@@ -31,6 +31,12 @@ AMOUNTS = [
     ("00 000000017", Decimal("17.00")),        # zeros dropped first, then blanks allowed
     ("abc", Decimal("0.00")),
     (",", Decimal("0.00")),
+    ("17,5" + " " * 8, Decimal("17.50")),     # trailing blanks
+    (",3" + " " * 10, Decimal("0.30")),
+    ("0 0", Decimal("0.00")),
+    (" 1", Decimal("1.00")),                  # leading blank after no zeros
+    ("0000,5,3", Decimal("0.50")),            # second separator ends the number
+    ("1.5", Decimal("1.50")),                 # a point is not the registry's separator, still numeric
 ]
 
 
