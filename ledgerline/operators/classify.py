@@ -59,6 +59,18 @@ def field(name: str, raw: Column | str = "raw") -> Column:
     return text
 
 
+# Trimmed raw situation texts that normalize to a valid code: the codes
+# themselves and the single-digit levels (same set as normalizing first).
+_VALID_RAW_SITUATIONS = L.SITUATION_CODES + list(L.SINGLE_DIGIT_SITUATIONS)
+
+
+def situation_is_valid(raw: Column | str = "raw") -> Column:
+    """Whether the situation field normalizes to a valid code, checked on the
+    trimmed raw text (no decoding, no normalization per line)."""
+    pos, length, _ = _FIELD["situation"]
+    return X.registry_trim(ascii_slice(raw, pos, length)).isin(_VALID_RAW_SITUATIONS)
+
+
 def line_kind(raw: Column | str = "raw", n_chars: Column | str = "n_chars") -> Column:
     r, n = _c(raw), _c(n_chars)
     pos, length, _ = _FIELD["identification_type"]
@@ -69,7 +81,7 @@ def line_kind(raw: Column | str = "raw", n_chars: Column | str = "n_chars") -> C
         .when(byte_slice(r, 1, 1).cast("string") == "#", F.lit(L.KIND_COMMENT))
         .when(n < L.LINE_LENGTH, F.lit(L.REJECT_SHORT_LINE))
         .when(byte_slice(r, pos, length).cast("string") != L.CUIT_ID_TYPE, F.lit(L.REJECT_ID_TYPE))
-        .when(~X.is_valid_situation(field("situation", r)), F.lit(L.REJECT_SITUATION))
+        .when(~situation_is_valid(r), F.lit(L.REJECT_SITUATION))
         .otherwise(F.lit(L.KIND_VALID))
     )
 

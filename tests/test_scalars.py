@@ -100,3 +100,17 @@ def test_run_slug_and_basename(spark):
 def test_iso_utc(spark):
     df = spark.sql("SELECT TIMESTAMP '2026-06-08 12:00:00' AS ts")
     assert df.select(X.iso_utc("ts")).first()[0] == "2026-06-08T12:00:00Z"
+
+
+def test_situation_check_matches_normalization(spark):
+    """The raw-text validity check equals 'normalize, then look up'."""
+    from ledgerline.operators import classify as C
+    raws = ["01", "11", "21", "23", "03", "04", "05", "1 ", " 2", "3\t", "4", "5 ", "6 ", "02",
+            "99", "  ", "", "0", "1\x00", "Ñ1"]
+    df = spark.createDataFrame([(r.encode("latin-1").ljust(2, b" ") if r else b"  ",)
+                                for r in raws], "b binary")
+    df = df.select(F.concat(F.lit(bytearray(b"x" * 27)), "b").alias("raw"))
+    got = df.select(C.situation_is_valid("raw").alias("a"),
+                    X.is_valid_situation(C.field("situation")).alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got]
+    assert sum(r.a for r in got) == 13
