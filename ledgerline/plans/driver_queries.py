@@ -68,10 +68,15 @@ def fresh_workspace(spark: SparkSession, name: str) -> Workspace:
     return Workspace(f"{work_root(spark)}/queries/{name}-{uuid.uuid4().hex[:10]}")
 
 
+# Bump when the import's output could change, so a cached import made by
+# older code is never served.
+PIPELINE_VERSION = "p4"
+
+
 def serving_workspace(spark: SparkSession, sf_dir: str) -> Workspace:
     """A workspace with the full registry imported once (read queries)."""
     path = registry(spark, sf_dir)
-    key = hashlib.sha1(path.encode()).hexdigest()[:12]
+    key = hashlib.sha1(f"{PIPELINE_VERSION}|{path}".encode()).hexdigest()[:12]
     ws = Workspace(f"{work_root(spark)}/serving/{key}")
     if P.current_version(spark, ws.published) is None:
         run_import(spark, path, ws)
