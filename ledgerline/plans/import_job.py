@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline import layout as L
@@ -74,15 +74,30 @@ def _utc_now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
+def _count_exprs() -> list:
+    return [F.count_if(F.col("kind") == L.KIND_VALID).alias("valid"),
+            F.count_if(F.col("kind").isin(L.REJECT_REASONS)).alias("invalid")]
+
+
+def _counts(valid: int, invalid: int) -> dict:
+    return {"valid": valid, "invalid": invalid, "total": valid + invalid}
+
+
 def line_counts(staged_all: DataFrame) -> dict:
     """valid / invalid / total over counted lines (blank and comment lines
     are not counted; total = valid + invalid)."""
-    row = staged_all.agg(
-        F.count_if(F.col("kind") == L.KIND_VALID).alias("valid"),
-        F.count_if(F.col("kind").isin(L.REJECT_REASONS)).alias("invalid"),
-    ).first()
-    return {"valid": row["valid"], "invalid": row["invalid"],
-            "total": row["valid"] + row["invalid"]}
+    row = staged_all.agg(*_count_exprs()).first()
+    return _counts(row["valid"], row["invalid"])
+
+
+def stage_and_count(rows: DataFrame, ws: Workspace, slug: str) -> dict:
+    """Write the staging and collect the line counts in the same pass (an
+    ``Observation`` on the write: metrics of a result stage are applied once
+    per successful task, so a retried task is not counted twice)."""
+    obs = Observation(f"line_counts_{slug}")
+    S.stage(rows.observe(obs, *_count_exprs()), ws.staging, slug)
+    m = obs.get
+    return _counts(int(m.get("valid") or 0), int(m.get("invalid") or 0))
 
 
 def run_import(spark: SparkSession, path: str, ws: Workspace, run_id: str | None = None,
@@ -99,10 +114,8 @@ def run_import(spark: SparkSession, path: str, ws: Workspace, run_id: str | None
         states = R.run_state(R.read_events(spark, ws.runs), ["status"])
         S.gc_staging(spark, ws.staging, states, started)
 
-        # 1. one pass over the text: classify and stage every line
-        S.stage(S.staged_rows(RT.read_lines(spark, path)), ws.staging, slug)
-        staged_all = S.staged(spark, ws.staging, slug)
-        counts = line_counts(staged_all)
+        # 1. one pass over the text: classify, stage and count every line
+        counts = stage_and_count(S.staged_rows(RT.read_lines(spark, path)), ws, slug)
 
         # 2. aggregate and publish both tables as one version
         valid = S.staged(spark, ws.staging, slug, [L.KIND_VALID])
