@@ -38,7 +38,7 @@ def write_file(tmp_path):
     def _write(lines, name=None, terminator=b"\n"):
         d = tmp_path / f"in-{uuid.uuid4().hex[:8]}"
         d.mkdir()
-        p = d / (name or "deudores.txt")
+        p = d / (name or "debtors.txt")
         data = b"".join((ln if isinstance(ln, bytes) else ln.encode("latin-1")) + terminator
                         for ln in lines)
         p.write_bytes(data)

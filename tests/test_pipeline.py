@@ -126,14 +126,14 @@ def test_import_counts_rejects_and_summary(spark, write_file, workspace):
     assert res.counts == {"valid": 2, "invalid": 2, "total": 4}
     s = res.summary.first()
     assert (s.import_id, s.filename, s.total_debtors, s.total_entities, s.completed_at) == (
-        "aabbccdd-1122-3344-5566-778899aabbcc", "deudores.txt", 2, 1, "2026-06-08T12:00:00Z")
+        "aabbccdd-1122-3344-5566-778899aabbcc", "debtors.txt", 2, 1, "2026-06-08T12:00:00Z")
     rej = sorted((r.line_number, r.reason) for r in rejects_of(spark, workspace, res.run_id).collect())
     assert rej == [(1, "short_line"), (4, "id_type")]
     # staging is dropped after success; the run is completed
     assert not S.exists(spark, workspace.staging, slug_of(res.run_id))
     st = R.run_state(R.read_events(spark, workspace.runs)).first()
     assert (st.status, st.valid_records, st.invalid_records, st.total_records, st.filename) == (
-        "completed", 2, 2, 4, "deudores.txt")
+        "completed", 2, 2, 4, "debtors.txt")
     js = spark.read.text(f"{workspace.summaries}/run={slug_of(res.run_id)}").first()[0]
     assert js.startswith('{"import_id":"aabbccdd-1122-3344-5566-778899aabbcc"')
 

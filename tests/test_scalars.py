@@ -93,8 +93,8 @@ def test_trim_set(spark):
 
 def test_run_slug_and_basename(spark):
     assert _eval(spark, ["aabbccdd-1122-3344-5566-778899aabbcc"], X.run_slug) == ["aabbccdd1122"]
-    assert _eval(spark, ["s3a://bucket/in/deudores.txt", "/x/y/", "plain"], X.basename) == [
-        "deudores.txt", "y", "plain"]
+    assert _eval(spark, ["s3a://bucket/in/debtors.txt", "/x/y/", "plain"], X.basename) == [
+        "debtors.txt", "y", "plain"]
 
 
 def test_iso_utc(spark):
