@@ -1,6 +1,7 @@
 """Benchmark: import pipeline and read queries over the rendered registry.
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
+    BENCH_EVENT_LOG=/tmp/run-x/events ...   # also write Spark's event log there
 
 Prints one JSON line.  ``value`` is the end-to-end import time (scan,
 classify, stage, aggregate, publish both tables, reject log, summary) of
@@ -45,8 +46,12 @@ def _run(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
+    extra = {}
+    if os.environ.get("BENCH_EVENT_LOG"):  # stage/task times without the UI
+        extra = {"spark.eventLog.enabled": "true",
+                 "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]}
     spark = build_session(f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus),
-                          app_name="ledgerline-bench")
+                          app_name="ledgerline-bench", extra_conf=extra)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
 

@@ -28,7 +28,7 @@ from ledgerline.operators import aggregate as A
 from ledgerline.operators import publish as P
 from ledgerline.operators import runs as R
 from ledgerline.operators import staging as S
-from ledgerline.session import work_root
+from ledgerline.session import job_description, work_root
 from ledgerline.sources import registry_text as RT
 
 
@@ -111,24 +111,28 @@ def run_import(spark: SparkSession, path: str, ws: Workspace, run_id: str | None
     R.append_event(spark, ws.runs, run_id, started, status=L.STATUS_PROCESSING,
                    filename=filename, started_at=started)
     try:
-        states = R.run_state(R.read_events(spark, ws.runs), ["status"])
-        S.gc_staging(spark, ws.staging, states, started)
+        with job_description(spark, f"ledgerline import {slug}: staging retention"):
+            states = R.run_state(R.read_events(spark, ws.runs), ["status"])
+            S.gc_staging(spark, ws.staging, states, started)
 
         # 1. one pass over the text: classify, stage and count every line
-        counts = stage_and_count(S.staged_rows(RT.read_lines(spark, path)), ws, slug)
+        with job_description(spark, f"ledgerline import {slug}: scan, classify, stage"):
+            counts = stage_and_count(S.staged_rows(RT.read_lines(spark, path)), ws, slug)
 
         # 2. aggregate and publish both tables as one version
-        valid = S.staged(spark, ws.staging, slug, [L.KIND_VALID])
-        loaded_at = clock()
-        version = P.publish(spark, ws.published, {
-            "debtors": A.with_loaded_at(A.debtors(valid), loaded_at),
-            "entities": A.with_loaded_at(A.entities(valid), loaded_at),
-        })
+        with job_description(spark, f"ledgerline import {slug}: aggregate and publish"):
+            valid = S.staged(spark, ws.staging, slug, [L.KIND_VALID])
+            loaded_at = clock()
+            version = P.publish(spark, ws.published, {
+                "debtors": A.with_loaded_at(A.debtors(valid), loaded_at),
+                "entities": A.with_loaded_at(A.entities(valid), loaded_at),
+            })
 
         # 3. reject log with line numbers, then the staging is no longer needed
-        (S.staged_rejects(spark, ws.staging, slug)
-         .withColumn("run_id", F.lit(run_id))
-         .write.mode("overwrite").parquet(f"{ws.rejects}/run={slug}"))
+        with job_description(spark, f"ledgerline import {slug}: reject log"):
+            (S.staged_rejects(spark, ws.staging, slug)
+             .withColumn("run_id", F.lit(run_id))
+             .write.mode("overwrite").parquet(f"{ws.rejects}/run={slug}"))
         S.drop_staging(spark, ws.staging, slug)
     except Exception as exc:  # the run is marked failed; staging is kept
         R.append_event(spark, ws.runs, run_id, clock(), status=L.STATUS_FAILED,

@@ -8,6 +8,7 @@ session; only when it is unset (local tests) is a private folder created.
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -15,11 +16,15 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
-                  app_name: str = "ledgerline", driver_memory: str = "8g") -> SparkSession:
+                  app_name: str = "ledgerline", driver_memory: str = "8g",
+                  extra_conf: dict | None = None) -> SparkSession:
     """Session for local runs and tests.  On a cluster the deployment sets
     memory and parallelism; only SQL defaults matter there."""
+    builder = SparkSession.builder
+    for key, value in (extra_conf or {}).items():
+        builder = builder.config(key, value)
     spark = (
-        SparkSession.builder.master(master)
+        builder.master(master)
         .config("spark.driver.memory", driver_memory)
         .appName(app_name)
         .config("spark.ui.enabled", "false")
@@ -57,3 +62,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def work_root(spark: SparkSession) -> str:
     """Folder for this library's work files inside the shared checkpoint dir."""
     return ensure_checkpoint_dir(spark) + "/ledgerline"
+
+
+@contextmanager
+def job_description(spark: SparkSession, text: str):
+    """Label the Spark jobs started inside the block (shown in event logs and
+    job listings), restoring the previous label afterwards."""
+    sc = spark.sparkContext
+    previous = sc.getLocalProperty("spark.job.description")
+    sc.setJobDescription(text)
+    try:
+        yield
+    finally:
+        sc.setJobDescription(previous)
