@@ -354,7 +354,7 @@ def q_stream_latest_file(spark, sf_dir):
     landing, ckpt = f"{ws.root}/landing", f"{ws.root}/checkpoint"
     for n, delivery in enumerate(("F", "O"), start=1):
         J.deliver(spark, bridge.delivery_path(root, delivery), f"{landing}/delivery-{n:04d}")
-        J.stream_latest_delivery(spark, f"{landing}/*", ws.published, ws.staging, ckpt)
+        J.stream_latest_delivery(spark, f"{landing}/*", ws, ckpt)
     return P.read_published(spark, ws.published, "debtors").select(*Q.DEBTOR_COLUMNS)
 
 

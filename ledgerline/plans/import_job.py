@@ -103,9 +103,21 @@ def stage_and_count(rows: DataFrame, ws: Workspace, slug: str) -> dict:
 def run_import(spark: SparkSession, path: str, ws: Workspace, run_id: str | None = None,
                clock: Callable[[], datetime] = _utc_now,
                filename: str | None = None) -> ImportResult:
+    """Import the registry file(s) at ``path`` (file, folder or glob)."""
+    filename = filename or path.rstrip("/").rsplit("/", 1)[-1]
+    return import_lines(spark, lambda: RT.read_lines(spark, path), ws, filename,
+                        run_id=run_id, clock=clock)
+
+
+def import_lines(spark: SparkSession, lines: Callable[[], DataFrame], ws: Workspace,
+                 filename: str, run_id: str | None = None,
+                 clock: Callable[[], datetime] = _utc_now) -> ImportResult:
+    """Import lines shaped like ``read_lines`` (``source_file, split_start,
+    row_id, raw, n_chars``): a batch read or a streaming micro-batch.
+    ``lines`` is called once, inside the run, so that a failure while
+    reading is recorded against the run."""
     run_id = run_id or str(uuid.uuid4())
     slug = slug_of(run_id)
-    filename = filename or path.rstrip("/").rsplit("/", 1)[-1]
     started = clock()
     t0 = time.monotonic()
     R.append_event(spark, ws.runs, run_id, started, status=L.STATUS_PROCESSING,
@@ -117,7 +129,7 @@ def run_import(spark: SparkSession, path: str, ws: Workspace, run_id: str | None
 
         # 1. one pass over the text: classify, stage and count every line
         with job_description(spark, f"ledgerline import {slug}: scan, classify, stage"):
-            counts = stage_and_count(S.staged_rows(RT.read_lines(spark, path)), ws, slug)
+            counts = stage_and_count(S.staged_rows(lines()), ws, slug)
 
         # 2. aggregate and publish both tables as one version
         with job_description(spark, f"ledgerline import {slug}: aggregate and publish"):

@@ -17,16 +17,10 @@ each delivery must arrive under a new name.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline import layout as L
-from ledgerline.operators import aggregate as A
 from ledgerline.operators import classify as C
-from ledgerline.operators import publish as P
-from ledgerline.operators import staging as S
 from ledgerline.sources.registry_text import line_columns
 
 TEXT_SCHEMA = "value string"
@@ -79,23 +73,21 @@ def latest_delivery(batch: DataFrame) -> DataFrame:
     return with_delivery.join(F.broadcast(newest), "delivery", "left_semi")
 
 
-def stream_latest_delivery(spark: SparkSession, landing: str, published_root: str,
-                           staging_root: str, checkpoint: str, loaded_at=None) -> None:
-    """J2: publish the newest delivery of each micro-batch.  Batches are not
-    capped by file count, so a delivery is never split across batches."""
+def stream_latest_delivery(spark: SparkSession, landing: str, ws, checkpoint: str,
+                           clock=None) -> None:
+    """J2: import the newest delivery of each micro-batch (stage, aggregate,
+    publish, reject log, run log, summary — the batch import on the batch's
+    rows), so the newest delivery replaces the published tables.  Batches
+    are not capped by file count, so a delivery is never split."""
+    from ledgerline.plans.import_job import import_lines  # avoid an import cycle
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         if batch.isEmpty():
             return
         chosen = latest_delivery(batch).withColumn("row_id", F.monotonically_increasing_id())
-        slug = f"stream{epoch_id:06d}{uuid.uuid4().hex[:6]}"[:L.SLUG_LENGTH + 6]
-        S.stage(S.staged_rows(chosen), staging_root, slug)
-        valid = S.staged(spark, staging_root, slug, [L.KIND_VALID])
-        P.publish(spark, published_root, {
-            "debtors": A.with_loaded_at(A.debtors(valid), loaded_at),
-            "entities": A.with_loaded_at(A.entities(valid), loaded_at),
-        })
-        S.drop_staging(spark, staging_root, slug)
+        name = chosen.select("delivery").first()["delivery"].rstrip("/").rsplit("/", 1)[-1]
+        kwargs = {"clock": clock} if clock else {}
+        import_lines(spark, lambda: chosen, ws, name, **kwargs)
 
     q = (stream_lines(spark, landing).writeStream
          .foreachBatch(handle)

@@ -23,11 +23,17 @@ def test_stream_ingest_is_incremental(spark, tmp_path):
 
 
 def test_stream_latest_delivery_wins(spark, tmp_path):
+    from ledgerline.operators import runs as R
+    from ledgerline.plans.import_job import Workspace
     landing = str(tmp_path / "landing" / "*")
-    pub, stg, ckpt = str(tmp_path / "pub"), str(tmp_path / "stg"), str(tmp_path / "ck")
+    ws, ckpt = Workspace(str(tmp_path / "ws")), str(tmp_path / "ck")
     _drop(tmp_path, "d1", [make_line(ident="20000000001")])
-    J.stream_latest_delivery(spark, landing, pub, stg, ckpt)
-    _drop(tmp_path, "d2", [make_line(ident="20000000002")])
-    J.stream_latest_delivery(spark, landing, pub, stg, ckpt)
-    d = P.read_published(spark, pub, "debtors").collect()
+    J.stream_latest_delivery(spark, landing, ws, ckpt)
+    _drop(tmp_path, "d2", [make_line(ident="20000000002"), "short"])
+    J.stream_latest_delivery(spark, landing, ws, ckpt)
+    d = P.read_published(spark, ws.published, "debtors").collect()
     assert [r.identification_number for r in d] == ["20000000002"]
+    # each delivery is a run in the log, with its counts
+    states = sorted((r.filename, r.status, r.valid_records, r.invalid_records)
+                    for r in R.run_state(R.read_events(spark, ws.runs)).collect())
+    assert states == [("d1", "completed", 1, 0), ("d2", "completed", 1, 1)]
