@@ -85,12 +85,23 @@ def with_line_numbers(lines: DataFrame, rows: DataFrame | None = None, *,
                       max_broadcast_splits: int = MAX_BROADCAST_SPLITS) -> DataFrame:
     """Add ``line_number`` (1-based, per file, counting every physical line).
 
-    ``lines`` must hold every line of its files with the position columns of
-    ``read_lines`` (or a staged copy of them); ``rows`` (default: ``lines``)
-    are the rows to number, e.g. only the rejects of a staged copy.  The
-    split table is materialized once in the checkpoint folder and counted;
-    it is broadcast only when that count is within the bound.
+    ``lines`` holds every line of its files with the position columns of
+    ``read_lines``.  ``rows`` (optional) are the rows to number, taken from
+    an already materialized copy of ``lines``, such as the rejects of a
+    staging.
+
+    Row ids come from the scan's partition layout, and for small inputs
+    Spark sizes splits by the cores present when a job is planned. So
+    numbering must not span two scans of the raw text (an executor lost or
+    added in between could change the layout). Without ``rows``, ``lines``
+    is therefore checkpointed first: its row ids are fixed by one job. A
+    staged copy already has them fixed and is used as it is.
+
+    The split table is materialized once and counted; it is broadcast only
+    when that count is within the bound.
     """
+    if rows is None:
+        lines = lines.checkpoint(eager=True)
     offsets = split_offsets(lines.select(*POSITION_COLUMNS)).checkpoint(eager=True)
     n_splits = offsets.count()
     side = F.broadcast(offsets) if n_splits <= max_broadcast_splits else offsets

@@ -148,3 +148,20 @@ def test_writer_roundtrip(spark, write_file, tmp_path):
     assert [tuple(r) for r in back] == [tuple(r) for r in recs.collect()]
     raw = [ln for ln in RT.read_lines(spark, out).select(F.length("line")).collect()]
     assert raw[0][0] == 171
+
+
+def test_line_numbers_survive_a_layout_change(spark, tmp_path):
+    """Numbering stays exact when the scan layout changes between planning
+    the numbering and running it (as when executors come and go)."""
+    p = tmp_path / "one.txt"
+    rows = [f"row {i:05d}" for i in range(1, 3001)]
+    p.write_bytes(("\n".join(rows) + "\n").encode("latin-1"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+        numbered = RT.with_line_numbers(RT.read_lines(spark, str(p)))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7k")   # layout changes
+        got = numbered.select("line_number", "line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.line_number, r.line) for r in got) == [(i + 1, r) for i, r in enumerate(rows)]
