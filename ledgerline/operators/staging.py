@@ -154,7 +154,8 @@ def load_with_resume(spark: SparkSession, path: str, staging_root: str, slug: st
     staged rows.  An interrupted load followed by a resume leaves exactly
     what a one-shot load leaves.
     """
-    lines = RT.with_line_numbers(RT.read_lines(spark, path))
+    # only what staging needs is materialized for numbering (not the decoded text)
+    lines = RT.with_line_numbers(RT.read_lines(spark, path).drop("line"))
     if last_loaded_line == 0 or not exists(spark, staging_root, slug):
         return stage(staged_rows(lines), staging_root, slug, mode="overwrite")
     if last_loaded_line is None:

@@ -133,7 +133,7 @@ def q_key_uniqueness(spark, sf_dir):
 
 
 def q_parse_records(spark, sf_dir):
-    numbered = RT.with_line_numbers(lines(spark, sf_dir))
+    numbered = RT.with_line_numbers(lines(spark, sf_dir).drop("line"))
     return C.valid_records(numbered).select(*RECORD_COLUMNS, "line_number")
 
 
@@ -190,7 +190,7 @@ def q_reject_reasons(spark, sf_dir):
 
 
 def q_reject_rows(spark, sf_dir):
-    numbered = RT.with_line_numbers(lines(spark, sf_dir))
+    numbered = RT.with_line_numbers(lines(spark, sf_dir).drop("line"))
     return C.rejects(numbered).select("line_number", "reason", "detail")
 
 
@@ -210,7 +210,7 @@ def q_resume_append(spark, sf_dir):
     ws = fresh_workspace(spark, "resume_append")
     path = registry(spark, sf_dir)
     # an interrupted load: only lines up to RESUME_AFTER_LINE of each file
-    numbered = RT.with_line_numbers(RT.read_lines(spark, path))
+    numbered = RT.with_line_numbers(RT.read_lines(spark, path).drop("line"))
     first = numbered.where(F.col("line_number") <= RESUME_AFTER_LINE)
     S.stage(S.staged_rows(first), ws.staging, "run1")
     # resume from the checkpoint
