@@ -1,11 +1,13 @@
 """Fixed-width registry text: reading, line numbering and writing.
 
 Reading is a plain distributed text scan.  The text source does not decode
-content, so each line's raw bytes are reinterpreted as Latin-1 in Spark.
+content: each line is kept as raw bytes (``raw``) and decoded as Latin-1
+only where text is needed (``line``, output fields).
 Line numbers restart per file and are computed without a global window:
 each input split reports ``(first row id, line count)``, a prefix sum over
 the (small) split table gives the lines before each split, and a join puts
-the offset back on every row.
+the offset back on every row.  The row ids are fixed by materializing the
+lines once (or by reading a staged copy), never by two scans of the text.
 """
 
 from __future__ import annotations
@@ -22,16 +24,6 @@ MAX_BROADCAST_SPLITS = 1_000_000
 POSITION_COLUMNS = ["source_file", "split_start", "row_id"]
 
 
-def decode_latin1(raw: Column) -> Column:
-    """Raw line bytes → text, reading every byte as one Latin-1 character."""
-    return F.decode(raw.cast("binary"), "ISO-8859-1")
-
-
-def strip_cr(line: Column) -> Column:
-    """Drop one trailing carriage return (CRLF line ends)."""
-    return F.regexp_replace(line, r"\r\z", "")
-
-
 def line_columns(value: Column) -> list[Column]:
     """``raw`` (the line's bytes), ``n_chars`` (its length without a trailing
     CR — in Latin-1 one byte is one character) and ``line`` (decoded, CR
