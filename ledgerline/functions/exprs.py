@@ -18,9 +18,9 @@ from ledgerline import layout as L
 _NUMERIC_PREFIX = r"^[ \t\n\r\x0B\f]*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
 
 
-# Fast-path amount text (after comma → point): digits with an optional
-# fraction, or a bare fraction, then optional trailing blanks.
-_SIMPLE_AMOUNT = r"^(?:[0-9]+\.?[0-9]*|\.[0-9]+) *$"
+# Fast-path amount text (after comma → point): an optional sign, digits with
+# an optional fraction or a bare fraction, then optional trailing blanks.
+_SIMPLE_AMOUNT = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+) *$"
 
 
 def _col(c: Column | str) -> Column:
@@ -85,7 +85,7 @@ def lenient_int(raw: Column | str) -> Column:
     0 when there is none or it does not fit an int.  Plain digits are cast
     directly; anything else goes through the prefix."""
     c = _col(raw)
-    value = F.when(c.rlike(r"^[0-9]{1,9}$"), c.try_cast("int")).otherwise(
+    value = F.when(c.rlike(r"^ *[0-9]{1,9} *$"), c.try_cast("int")).otherwise(
         F.nullif(_prefix(c), F.lit("")).try_cast("double").try_cast("int"))
     return F.coalesce(value, F.lit(0))
 
