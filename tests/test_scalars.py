@@ -114,3 +114,16 @@ def test_situation_check_matches_normalization(spark):
                     X.is_valid_situation(C.field("situation")).alias("b")).collect()
     assert [r.a for r in got] == [r.b for r in got]
     assert sum(r.a for r in got) == 13
+
+
+def test_iso_utc_in_another_session_zone(spark):
+    from datetime import datetime, timezone
+    epoch = int(datetime(2026, 6, 8, 12, 0, 0, tzinfo=timezone.utc).timestamp())
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Argentina/Buenos_Aires")
+        df = spark.range(1).select(F.timestamp_seconds(F.lit(epoch)).alias("ts"))
+        assert df.select(F.date_format("ts", "HH").alias("h")).first()[0] == "09"  # local
+        assert df.select(X.iso_utc("ts")).first()[0] == "2026-06-08T12:00:00Z"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
