@@ -127,9 +127,14 @@ def import_lines(spark: SparkSession, lines: Callable[[], DataFrame], ws: Worksp
             states = R.run_state(R.read_events(spark, ws.runs), ["status"])
             S.gc_staging(spark, ws.staging, states, started)
 
-        # 1. one pass over the text: classify, stage and count every line
-        with job_description(spark, f"ledgerline import {slug}: scan, classify, stage"):
-            counts = stage_and_count(S.staged_rows(lines()), ws, slug)
+        # 1. one pass over the text: classify, stage and count every line.
+        # A retry of a run whose staging already committed (it failed later)
+        # resumes from that staging instead of reading the text again.
+        if S.exists(spark, ws.staging, slug):
+            counts = line_counts(S.staged(spark, ws.staging, slug))
+        else:
+            with job_description(spark, f"ledgerline import {slug}: scan, classify, stage"):
+                counts = stage_and_count(S.staged_rows(lines()), ws, slug)
 
         # 2. aggregate and publish both tables as one version
         with job_description(spark, f"ledgerline import {slug}: aggregate and publish"):

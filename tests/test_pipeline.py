@@ -179,3 +179,25 @@ def test_summary_json_both_spellings(spark):
     assert snake == ('{"import_id":"id-1","filename":"f.txt","total_debtors":1,'
                      '"total_entities":1,"duration_ms":5,"completed_at":"2026-06-08T12:00:00Z"}')
     assert '"importId":"id-1"' in camel and '"completedAt":"2026-06-08T12:00:00Z"' in camel
+
+
+def test_retry_resumes_from_committed_staging(spark, write_file, workspace, monkeypatch):
+    """A run that failed after staging is retried without reading the text."""
+    import os
+    path = write_file([make_line(ident="20000000007", loans="0000000042,0"), "short"])
+    real_publish = P.publish
+
+    def boom(*a, **k):
+        raise RuntimeError("lost the driver")
+    monkeypatch.setattr(P, "publish", boom)
+    with pytest.raises(RuntimeError):
+        run_import(spark, path, workspace, run_id="r" * 32)
+    monkeypatch.setattr(P, "publish", real_publish)
+    os.remove(path)                                    # the text is gone
+    res = run_import(spark, path, workspace, run_id="r" * 32)
+    assert res.counts == {"valid": 1, "invalid": 1, "total": 2}
+    d = P.read_published(spark, workspace.published, "debtors").collect()
+    assert [(r.identification_number, r.total_loan_amount) for r in d] == [
+        ("20000000007", Decimal("42.00"))]
+    st = {r.run_id: r.status for r in R.run_state(R.read_events(spark, workspace.runs)).collect()}
+    assert st["r" * 32] == "completed"
