@@ -39,20 +39,3 @@ def write_marker(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
-
-
-def read_marker(spark: SparkSession, path: str) -> str:
-    fs, p = _fs(spark, path)
-    stream = fs.open(p)
-    try:
-        jvm = spark.sparkContext._jvm
-        data = jvm.org.apache.commons.io.IOUtils.toByteArray(stream)
-    finally:
-        stream.close()
-    return bytes(data).decode("utf-8")
-
-
-def rename(spark: SparkSession, src: str, dst: str) -> bool:
-    fs, p = _fs(spark, src)
-    jvm = spark.sparkContext._jvm
-    return bool(fs.rename(p, jvm.org.apache.hadoop.fs.Path(dst)))

@@ -11,7 +11,6 @@ Every ordering ends with ``identification_number`` so ties are stable.
 
 from __future__ import annotations
 
-import math
 import re
 
 from pyspark.sql import DataFrame, Window
@@ -178,7 +177,3 @@ def page_meta(debtors: DataFrame, situation: str | None = None, page: int | None
         F.greatest(F.ceil(F.col("total") / F.lit(per_page)), F.lit(1)).cast("long")
         .alias("last_page"),
     )
-
-
-def last_page(total: int, per_page: int) -> int:
-    return max(math.ceil(total / per_page), 1)

@@ -167,6 +167,8 @@ def test_run_state_latest_non_null_and_active(spark, tmp_path):
     got = {r.run_id: (r.status, r.filename, r.error_message, r.n_events) for r in states.collect()}
     assert got == {"r1": ("processing", "a.txt", None, 2), "r2": ("failed", "b.txt", "bad", 2)}
     assert [r.run_id for r in R.active_runs(states).collect()] == ["r1"]
+    assert [r.status for r in R.find_run(states, "r2").collect()] == ["failed"]
+    assert R.find_run(states, "missing").count() == 0
     with pytest.raises(ValueError):
         R.append_event(spark, root, "r3", t, colour="red")
 
