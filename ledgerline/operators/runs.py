@@ -41,7 +41,7 @@ def append_event(spark: SparkSession, root: str, run_id: str, event_at: datetime
             row[name] = int(row[name])
     df = spark.createDataFrame([tuple(row[n] for n in L.RUN_EVENT_SCHEMA.fieldNames())],
                                L.RUN_EVENT_SCHEMA)
-    df.write.mode("append").parquet(events_dir(root))
+    df.coalesce(1).write.mode("append").parquet(events_dir(root))  # one row → one file
 
 
 def read_events(spark: SparkSession, root: str) -> DataFrame:
@@ -50,6 +50,27 @@ def read_events(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(L.RUN_EVENT_SCHEMA).parquet(events_dir(root))
 
 
+def compact_events(spark: SparkSession, root: str) -> int:
+    """Rewrite the run log's small files as a few larger ones; returns the
+    number of files replaced.
+
+    The current files are listed, their rows appended once more (duplicates
+    by ``(run_id, seq)`` dropped), then the listed files are deleted.
+    Readers never lose an event.  In the short window they may see an event
+    twice, which changes no field of ``run_state`` (the latest value per
+    field is the same row); only ``n_events`` is briefly higher.
+    """
+    folder = events_dir(root)
+    old = [n for n in fs.list_names(spark, folder) if n.endswith(".parquet")]
+    if len(old) < 2:
+        return 0
+    rows = spark.read.schema(L.RUN_EVENT_SCHEMA).parquet(*[f"{folder}/{n}" for n in old])
+    rows.dropDuplicates(["run_id", "seq"]).write.mode("append").parquet(folder)
+    for n in old:
+        fs.delete(spark, f"{folder}/{n}")
+    return len(old)
+
+
 def _latest(col: str) -> F.Column:
     return F.expr(f"max_by({col}, struct(event_at, seq)) FILTER (WHERE {col} IS NOT NULL)")
 

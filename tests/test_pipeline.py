@@ -203,3 +203,18 @@ def test_retry_resumes_from_committed_staging(spark, write_file, workspace, monk
         ("20000000007", Decimal("42.00"))]
     st = {r.run_id: r.status for r in R.run_state(R.read_events(spark, workspace.runs)).collect()}
     assert st["r" * 32] == "completed"
+
+
+def test_run_log_compaction_keeps_state(spark, tmp_path):
+    root = str(tmp_path / "runs")
+    t = datetime(2026, 1, 1)
+    for i in range(6):
+        R.append_event(spark, root, f"r{i % 2}", t + timedelta(seconds=i),
+                       status=["pending", "processing", "completed"][i // 2],
+                       error_message=None)
+    before = sorted(tuple(r) for r in R.run_state(R.read_events(spark, root)).collect())
+    assert R.compact_events(spark, root) == 6
+    files = [n for n in P.fs.list_names(spark, R.events_dir(root)) if n.endswith(".parquet")]
+    assert 1 <= len(files) < 6
+    after = sorted(tuple(r) for r in R.run_state(R.read_events(spark, root)).collect())
+    assert after == before
