@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from ledgerline.llm.line_dedup import OP1_SQL, op1_line_dedup
 from ledgerline.llm.mixing import op2_mixing
+from ledgerline.llm.packing import op9_packing
 from ledgerline.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op8_toxicity": op8_toxicity,
+    "op9_packing": op9_packing,
 }
 
 ORACLES: dict[str, str] = {
