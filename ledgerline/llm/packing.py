@@ -154,8 +154,8 @@ def price(lengths: np.ndarray, duals: np.ndarray, limits: np.ndarray,
 
 
 def starting_basis(lengths: np.ndarray, demand: np.ndarray,
-                   capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """A feasible basis: again and again the longest length left, its sequence
+                   capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A feasible basis, its inverse and its uses: again and again the longest length left, its sequence
     filled up by a knapsack of what is left, used until a length runs out.  Every
     column exhausts one length, so the columns are triangular in that order."""
     m = len(lengths)
@@ -181,33 +181,37 @@ def starting_basis(lengths: np.ndarray, demand: np.ndarray,
         left[inside & (left < 1e-9) & (np.arange(m) != out)] = 1e-9
         columns.append((out, pattern))
         uses.append((out, float(ratio[out])))
-    basis, amounts = np.zeros((m, m)), np.zeros(m)
-    for (out, pattern), (_, use) in zip(columns, uses):
+    basis, inverse, amounts = np.zeros((m, m)), np.zeros((m, m)), np.zeros(m)
+    for (out, pattern), (_, use) in zip(reversed(columns), reversed(uses)):
         basis[:, out], amounts[out] = pattern, use
-    return basis, amounts
+        column = np.zeros(m)  # of the inverse: later columns are solved already
+        column[out] = 1.0
+        for j in np.flatnonzero(pattern):
+            if j != out:
+                column -= pattern[j] * inverse[:, j]
+        inverse[:, out] = column / pattern[out]
+    return basis, inverse, amounts
 
 
 def generate_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int,
-                      gap: float = GAP, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+                      gap: float = GAP, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
     """(patterns as columns, fractional uses) of the covering program, after at
     most ``rounds`` pivots from the starting basis."""
-    basis, uses = starting_basis(lengths, demand, capacity)
-    inverse = None
+    basis, inverse, uses = starting_basis(lengths, demand, capacity)
     floor = float((lengths * demand).sum()) / capacity
     bound = floor
-    for step in range(rounds):
+    for _ in range(rounds):
         total = float(uses.sum())
-        if total <= bound * (1 + gap):
+        if total <= max(bound * (1 + gap), bound + 1.0):
             break
-        if inverse is None:
-            inverse = np.linalg.inv(basis)
         duals = inverse.sum(axis=0)
         value, pattern = price(lengths, duals, demand, capacity)
         bound = max(bound, total / max(value, 1e-12))
         worth = float(duals @ pattern)
-        if worth <= 1 + 1e-9 or total <= bound * (1 + gap):
+        if worth <= 1 + 1e-9 or total <= max(bound * (1 + gap), bound + 1.0):
             break
-        column = inverse @ pattern
+        inside = np.flatnonzero(pattern)
+        column = (inverse[:, inside] * pattern[inside]).sum(axis=1)
         positive = column > 1e-9
         if not positive.any():
             break
@@ -220,9 +224,6 @@ def generate_patterns(lengths: np.ndarray, demand: np.ndarray, capacity: int,
         inverse -= np.outer(column, pivot)
         inverse[out] = pivot
         basis[:, out] = pattern
-        if step % 50 == 49:  # take out rounding errors
-            inverse = np.linalg.inv(basis)
-            uses = np.maximum(inverse @ demand, 0.0)
     return basis, uses
 
 
