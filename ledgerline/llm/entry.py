@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerline.llm.jaccard_join import OP3_SQL, op3_jaccard_join
 from ledgerline.llm.line_dedup import OP1_SQL, op1_line_dedup
 from ledgerline.llm.mixing import op2_mixing
 from ledgerline.llm.packing import op9_packing
@@ -10,10 +11,12 @@ from ledgerline.llm.toxicity import op8_toxicity
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
+    "op3_jaccard_join": op3_jaccard_join,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
 }
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
+    "op3_jaccard_join": OP3_SQL,
 }
