@@ -6,12 +6,14 @@ from ledgerline.llm.jaccard_join import OP3_SQL, op3_jaccard_join
 from ledgerline.llm.line_dedup import OP1_SQL, op1_line_dedup
 from ledgerline.llm.mixing import op2_mixing
 from ledgerline.llm.packing import op9_packing
+from ledgerline.llm.substring_dedup import OP7_SQL, op7_substring_dedup
 from ledgerline.llm.toxicity import op8_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op3_jaccard_join": op3_jaccard_join,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
 }
@@ -19,4 +21,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op3_jaccard_join": OP3_SQL,
+    "op7_substring_dedup": OP7_SQL,
 }
