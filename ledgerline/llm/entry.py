@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ledgerline.llm.jaccard_join import OP3_SQL, op3_jaccard_join
+from ledgerline.llm.kd_shards import op4_kd_shards
 from ledgerline.llm.line_dedup import OP1_SQL, op1_line_dedup
 from ledgerline.llm.mixing import op2_mixing
 from ledgerline.llm.packing import op9_packing
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_kd_shards": op4_kd_shards,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
@@ -21,5 +23,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op3_jaccard_join": OP3_SQL,
+    "op4_kd_shards": op4_kd_shards,
     "op7_substring_dedup": OP7_SQL,
 }
