@@ -154,6 +154,15 @@ class WordHasher:
                 total += words[i:i + n] * self.steps[i]
             return mix(total)
 
+    def runs(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hash of words[s:e] for runs of any length."""
+        up, down = self._powers(len(words) + 1)
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(words) + 1, dtype=np.uint64)
+            np.cumsum(words * up[:-1], out=total[1:])
+            return mix((total[ends] - total[starts]) * down[starts]
+                       + (ends - starts).astype(np.uint64))
+
 
 def text_chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, row offsets into them) of about CHUNK_BYTES each; a

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerline.llm.fingerprints import op10_fingerprints
 from ledgerline.llm.jaccard_join import OP3_SQL, op3_jaccard_join
 from ledgerline.llm.kd_shards import op4_kd_shards
 from ledgerline.llm.line_dedup import OP1_SQL, op1_line_dedup
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
