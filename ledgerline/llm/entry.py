@@ -8,6 +8,7 @@ from ledgerline.llm.kd_shards import op4_kd_shards
 from ledgerline.llm.line_dedup import OP1_SQL, op1_line_dedup
 from ledgerline.llm.mixing import op2_mixing
 from ledgerline.llm.packing import op9_packing
+from ledgerline.llm.quality_rules import OP5_SQL, op5_quality_rules
 from ledgerline.llm.substring_dedup import OP7_SQL, op7_substring_dedup
 from ledgerline.llm.toxicity import op8_toxicity
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_kd_shards": op4_kd_shards,
+    "op5_quality_rules": op5_quality_rules,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
@@ -26,5 +28,6 @@ ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op3_jaccard_join": OP3_SQL,
     "op4_kd_shards": op4_kd_shards,
+    "op5_quality_rules": OP5_SQL,
     "op7_substring_dedup": OP7_SQL,
 }
