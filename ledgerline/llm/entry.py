@@ -8,6 +8,7 @@ from ledgerline.llm.kd_shards import op4_kd_shards
 from ledgerline.llm.line_dedup import OP1_SQL, op1_line_dedup
 from ledgerline.llm.mixing import op2_mixing
 from ledgerline.llm.packing import op9_packing
+from ledgerline.llm.pii import op6_pii
 from ledgerline.llm.quality_rules import OP5_SQL, op5_quality_rules
 from ledgerline.llm.substring_dedup import OP7_SQL, op7_substring_dedup
 from ledgerline.llm.toxicity import op8_toxicity
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_kd_shards": op4_kd_shards,
     "op5_quality_rules": op5_quality_rules,
+    "op6_pii": op6_pii,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
