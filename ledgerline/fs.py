@@ -4,6 +4,8 @@ tiny marker files go through the driver; table data never does."""
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import SparkSession
 
 
@@ -31,6 +33,44 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return sorted(str(s.getPath().getName()) for s in fs.listStatus(p))
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """Content of a tiny marker file; None when it is missing."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
+
+
+def modified_ms(spark: SparkSession, path: str) -> int:
+    """Modification time of a file or folder (0 when it is gone)."""
+    fs, p = _fs(spark, path)
+    return int(fs.getFileStatus(p).getModificationTime()) if fs.exists(p) else 0
+
+
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+    """Identity of a set of inputs: path, length and modification time of every
+    file below them (files of hidden names left out, as readers do); empty when
+    there is no file."""
+    found = []
+    for path in paths:
+        fs, p = _fs(spark, path)
+        stack = [s for s in (fs.globStatus(p) or [])]
+        while stack:
+            status = stack.pop()
+            name = str(status.getPath().getName())
+            if name.startswith(("_", ".")):
+                continue
+            if status.isDirectory():
+                stack.extend(fs.listStatus(status.getPath()))
+            else:
+                found.append(f"{status.getPath()}|{status.getLen()}|{status.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest() if found else ""
+
+
 def write_marker(spark: SparkSession, path: str, text: str) -> None:
     """Create a small file; fails if it already exists (create, no overwrite)."""
     fs, p = _fs(spark, path)

@@ -7,6 +7,8 @@ every lenient conversion goes through ``try_cast``).
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,7 +71,8 @@ def parse_amount(raw: Column | str) -> Column:
     blanks, as the prefix rule does); zeros and blanks alone are 0; any
     other spelling goes through the regular-expression prefix.
     The cast only ever sees text that parses, so it never costs an
-    exception (only an overflow yields NULL, then 0).
+    exception.  A number that does not fit (only an exponent can do that)
+    yields NULL; classification rejects its line as ``parse_error``.
     """
     text = _col(raw)
     canonical = F.replace(text, F.lit(","), F.lit("."))
@@ -77,7 +80,7 @@ def parse_amount(raw: Column | str) -> Column:
     number = (F.when(canonical.rlike(_SIMPLE_AMOUNT), canonical)
               .when(text.rlike(r"^[0 ]*$"), F.lit("0"))
               .otherwise(F.coalesce(F.nullif(_prefix(stripped), F.lit("")), F.lit("0"))))
-    return F.coalesce(number.try_cast(L.MONEY), F.lit(0).cast(L.MONEY))
+    return number.try_cast(L.MONEY)
 
 
 def lenient_int(raw: Column | str) -> Column:
@@ -131,6 +134,20 @@ def run_slug(run_id: Column | str) -> Column:
     return F.substring(F.replace(_col(run_id), F.lit("-"), F.lit("")), 1, L.SLUG_LENGTH)
 
 
+def run_key(run_id: Column | str) -> Column:
+    """Folder key of a run: its whole id with unusual characters escaped (the
+    column form of ``staging.run_key``; run ids are letters, digits, dashes)."""
+    return _col(run_id)
+
+
+def instant(at) -> Column:
+    """A literal point in time from a datetime (naive ones are UTC), whatever
+    the time zones of the session and of Python."""
+    at = at if at.tzinfo else at.replace(tzinfo=timezone.utc)
+    micros = (at - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+    return F.timestamp_micros(F.lit(micros))
+
+
 def basename(path: Column | str) -> Column:
     """Last path component (a trailing slash is ignored)."""
     return F.regexp_extract(_col(path), r"([^/]*)/*$", 1)

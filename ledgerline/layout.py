@@ -48,6 +48,7 @@ CUIT_ID_TYPE = "11"
 # Situation codes ordered from least to most severe.
 # The severity rank of a code is its 0-based index in this list.
 SITUATION_CODES: list[str] = ["01", "11", "21", "23", "03", "04", "05"]
+WORST_SITUATION = SITUATION_CODES[-1]
 
 # Single-digit situation levels and the codes they stand for.
 SINGLE_DIGIT_SITUATIONS: dict[str, str] = {
@@ -66,15 +67,15 @@ TRIM_CHARS = " \t\n\r\x00\x0b"
 REJECT_SHORT_LINE = "short_line"
 REJECT_ID_TYPE = "id_type"
 REJECT_SITUATION = "situation"
-REJECT_PARSE_ERROR = "parse_error"  # reserved: the lenient expressions never throw
-REJECT_REASONS = [REJECT_SHORT_LINE, REJECT_ID_TYPE, REJECT_SITUATION]
+REJECT_PARSE_ERROR = "parse_error"  # an amount that does not fit its type
+REJECT_REASONS = [REJECT_SHORT_LINE, REJECT_ID_TYPE, REJECT_SITUATION, REJECT_PARSE_ERROR]
 
 # Line kinds produced by classification (rejects plus these three).
 KIND_VALID = "valid"
 KIND_BLANK = "blank"
 KIND_COMMENT = "comment"
 
-# Run statuses and retention.
+# Run statuses and retention.
 STATUS_PENDING = "pending"
 STATUS_PROCESSING = "processing"
 STATUS_COMPLETED = "completed"
@@ -84,7 +85,7 @@ TERMINAL_STATUSES = [STATUS_COMPLETED, STATUS_FAILED]
 STAGING_TTL_HOURS = 24
 SLUG_LENGTH = 12
 
-# Read-side argument limits.
+# Read-side argument limits.
 TOP_N_MIN, TOP_N_MAX = 1, 1000
 PER_PAGE_MIN, PER_PAGE_MAX, PER_PAGE_DEFAULT = 1, 200, 50
 
@@ -93,26 +94,6 @@ MONEY = T.DecimalType(18, 2)
 AMOUNT_FIELDS = [name for name, _, _, kind in FIELDS if kind == "amount"]
 FIELD_NAMES = [name for name, _, _, _ in FIELDS]
 
-RECORD_SCHEMA = T.StructType(
-    [
-        T.StructField(
-            name,
-            MONEY if kind == "amount" else T.IntegerType() if kind == "int" else T.StringType(),
-            False,
-        )
-        for name, _, _, kind in FIELDS
-    ]
-)
-
-STAGING_SCHEMA = T.StructType(
-    [
-        T.StructField("identification_number", T.StringType(), False),
-        T.StructField("entity_code", T.StringType(), False),
-        T.StructField("situation", T.StringType(), False),
-        T.StructField("loans", MONEY, False),
-    ]
-)
-
 DEBTORS_SCHEMA = T.StructType(
     [
         T.StructField("identification_number", T.StringType(), False),

@@ -35,7 +35,7 @@ def entities(staged: DataFrame) -> DataFrame:
 
 def with_loaded_at(df: DataFrame, loaded_at) -> DataFrame:
     """One load timestamp literal per run (not a per-row clock)."""
-    return df.withColumn("loaded_at", F.lit(loaded_at).cast("timestamp"))
+    return df.withColumn("loaded_at", X.instant(loaded_at))
 
 
 def key_uniqueness(table: DataFrame, key: str, table_name: str) -> DataFrame:

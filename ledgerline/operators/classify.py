@@ -1,8 +1,8 @@
 """Line classification and field projection.
 
 Checks apply in order and the first match names the line's kind:
-blank → comment → short_line → id_type → situation → valid.  Blank and
-comment lines are dropped without being counted; the three reject kinds are
+blank → comment → short_line → id_type → situation → parse_error → valid.  Blank and
+comment lines are dropped without being counted; the four reject kinds are
 counted and logged with a detail value.
 
 Everything works on the line's raw bytes (``raw``) and its character count
@@ -71,6 +71,21 @@ def situation_is_valid(raw: Column | str = "raw") -> Column:
     return X.registry_trim(ascii_slice(raw, pos, length)).isin(_VALID_RAW_SITUATIONS)
 
 
+_AMOUNTS = [(pos, length) for name, pos, length, kind in L.FIELDS if kind == "amount"]
+_AMOUNTS_START = _AMOUNTS[0][0]
+_AMOUNTS_LENGTH = _AMOUNTS[-1][0] + _AMOUNTS[-1][1] - _AMOUNTS_START
+
+
+def overflowing_amounts(raw: Column | str = "raw") -> Column:
+    """The amount texts of a line that do not fit their type (usually none).
+    Twelve characters overflow only with an exponent, so the amounts are
+    parsed here only where their bytes hold an ``e``."""
+    r = _c(raw)
+    region = ascii_slice(r, _AMOUNTS_START, _AMOUNTS_LENGTH)
+    texts = F.array(*[ascii_slice(r, pos, length) for pos, length in _AMOUNTS])
+    return F.when(region.rlike("[eE]"), F.filter(texts, lambda x: X.parse_amount(x).isNull()))
+
+
 def line_kind(raw: Column | str = "raw", n_chars: Column | str = "n_chars") -> Column:
     r, n = _c(raw), _c(n_chars)
     pos, length, _ = _FIELD["identification_type"]
@@ -82,17 +97,20 @@ def line_kind(raw: Column | str = "raw", n_chars: Column | str = "n_chars") -> C
         .when(n < L.LINE_LENGTH, F.lit(L.REJECT_SHORT_LINE))
         .when(byte_slice(r, pos, length).cast("string") != L.CUIT_ID_TYPE, F.lit(L.REJECT_ID_TYPE))
         .when(~situation_is_valid(r), F.lit(L.REJECT_SITUATION))
+        .when(F.size(overflowing_amounts(r)) > 0, F.lit(L.REJECT_PARSE_ERROR))
         .otherwise(F.lit(L.KIND_VALID))
     )
 
 
 def reject_detail(kind: Column, raw: Column | str = "raw",
                   n_chars: Column | str = "n_chars") -> Column:
-    """The offending value of a rejected line (length, type or situation)."""
+    """The offending value of a rejected line (length, type, situation or the
+    first amount that does not fit)."""
     return (
         F.when(kind == L.REJECT_SHORT_LINE, _c(n_chars).cast("string"))
         .when(kind == L.REJECT_ID_TYPE, field("identification_type", raw))
         .when(kind == L.REJECT_SITUATION, field("situation", raw))
+        .when(kind == L.REJECT_PARSE_ERROR, F.get(overflowing_amounts(raw), 0))
     )
 
 

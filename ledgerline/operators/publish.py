@@ -5,7 +5,9 @@ writes have committed is a small commit marker created for the version.
 Readers resolve the newest committed version once per query, so they see
 either the previous pair of tables or the new pair, never an empty or
 half-written one ("latest file wins", without a truncate window).
-Older versions beyond ``keep`` are removed after the commit.
+Commits are numbered; the highest number is current.  Versions before the last
+``keep`` are removed once they have been superseded for a grace period, which
+bounds how long a query may go on reading the version it resolved.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from ledgerline import layout as L
 
 COMMITS = "_commits"
 VERSIONS = "versions"
+#: how long a superseded version, or an attempt without commit, stays on disk
+GRACE_HOURS = 24.0
 
 SCHEMAS = {"debtors": L.DEBTORS_SCHEMA, "entities": L.ENTITIES_SCHEMA}
 # Layout by read pattern: range partitioning + sort on the lookup key makes
@@ -31,7 +35,7 @@ SORT_KEYS = {"debtors": "identification_number"}
 
 
 def new_version() -> str:
-    """Sortable, unique version name."""
+    """Unique folder name of a version; it says nothing about the order."""
     return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
 
@@ -40,16 +44,59 @@ def version_dir(root: str, version: str) -> str:
 
 
 def committed_versions(spark: SparkSession, root: str) -> list[str]:
-    return fs.list_names(spark, f"{root}/{COMMITS}")
+    """Versions in commit order: the marker ``<number>`` holds the name."""
+    names = fs.list_names(spark, f"{root}/{COMMITS}")
+    versions = [fs.read_text(spark, f"{root}/{COMMITS}/{n}") for n in names]
+    return [v for v in versions if v]
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    versions = committed_versions(spark, root)
-    return versions[-1] if versions else None
+    for name in reversed(fs.list_names(spark, f"{root}/{COMMITS}")):
+        version = fs.read_text(spark, f"{root}/{COMMITS}/{name}")
+        if version:
+            return version
+    return None
+
+
+def commit(spark: SparkSession, root: str, version: str) -> int:
+    """Take the next commit number.  The marker is created without overwrite,
+    so of two commits at a time one gets the number and the other the next;
+    clocks of drivers play no part in which version is current."""
+    while True:
+        taken = fs.list_names(spark, f"{root}/{COMMITS}")
+        number = int(taken[-1]) + 1 if taken else 1
+        marker = f"{root}/{COMMITS}/{number:012d}"
+        try:
+            fs.write_marker(spark, marker, version)
+            return number
+        except Exception:  # noqa: BLE001 - another commit took the number
+            if not fs.exists(spark, marker):
+                raise
+
+
+def remove_old(spark: SparkSession, root: str, keep: int, grace_hours: float) -> None:
+    """Drop committed versions before the last ``keep``, and folders of attempts
+    that never committed, once they are older than the grace period: a reader
+    that resolved a version, or a writer still at work, keeps its files."""
+    now = time.time() * 1000
+    limit = now - grace_hours * 3_600_000
+    markers = fs.list_names(spark, f"{root}/{COMMITS}")
+    held = {n: fs.read_text(spark, f"{root}/{COMMITS}/{n}") for n in markers}
+    for name in markers[:-keep] if keep else markers[:-1]:
+        # superseded when the next marker was written
+        after = markers[markers.index(name) + 1]
+        if fs.modified_ms(spark, f"{root}/{COMMITS}/{after}") <= limit:
+            fs.delete(spark, version_dir(root, held[name]))
+            fs.delete(spark, f"{root}/{COMMITS}/{name}")
+    known = set(held.values())
+    for name in fs.list_names(spark, f"{root}/{VERSIONS}"):
+        if name not in known and fs.modified_ms(spark, version_dir(root, name)) <= limit:
+            fs.delete(spark, version_dir(root, name))
 
 
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame],
-            keep: int = 2, version: str | None = None) -> str:
+            keep: int = 2, version: str | None = None,
+            grace_hours: float = GRACE_HOURS) -> str:
     """Write every table of a version, then commit it with one marker."""
     version = version or new_version()
     target = version_dir(root, version)
@@ -57,16 +104,8 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame],
         key = SORT_KEYS.get(name)
         laid_out = df.repartitionByRange(key).sortWithinPartitions(key) if key else df
         laid_out.write.mode("error").parquet(f"{target}/{name}")
-    fs.write_marker(spark, f"{root}/{COMMITS}/{version}", version)
-    committed = committed_versions(spark, root)
-    for old in committed[:-keep] if keep else []:
-        fs.delete(spark, f"{root}/{COMMITS}/{old}")
-        fs.delete(spark, version_dir(root, old))
-    # folders of older attempts that never committed (a lost driver) are
-    # invisible to readers; remove them
-    for name in fs.list_names(spark, f"{root}/{VERSIONS}"):
-        if name < version and name not in committed:
-            fs.delete(spark, version_dir(root, name))
+    commit(spark, root, version)
+    remove_old(spark, root, keep, grace_hours)
     return version
 
 
@@ -87,9 +126,5 @@ def published_pair(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame
             read_published(spark, root, "entities", version))
 
 
-def strip_load_time(df: DataFrame) -> DataFrame:
-    return df.drop("loaded_at") if "loaded_at" in df.columns else df
-
-
 def row_count(df: DataFrame) -> int:
     return df.select(F.lit(1)).count()

@@ -9,7 +9,7 @@ non-null value by ``(event_at, seq)``.
 from __future__ import annotations
 
 import time
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,18 @@ STATE_FIELDS = ["status", "filename", "last_loaded_line", "total_records", "vali
                 "invalid_records", "duration_ms", "error_message", "started_at", "finished_at"]
 
 
+def as_utc(at: datetime) -> datetime:
+    """Aware UTC datetime; a naive one is taken as UTC.  (Spark would read a
+    naive one in the time zone of the Python process.)"""
+    return at.replace(tzinfo=timezone.utc) if at.tzinfo is None else at
+
+
+# Keys of the completion event, in both spellings.
+EVENT_KEYS = {"import_id": "importId", "filename": "filename", "total_debtors": "totalDebtors",
+              "total_entities": "totalEntities", "duration_ms": "durationMs",
+              "completed_at": "completedAt"}
+
+
 def events_dir(root: str) -> str:
     return f"{root}/run_events"
 
@@ -32,6 +44,8 @@ def append_event(spark: SparkSession, root: str, run_id: str, event_at: datetime
     unknown = set(fields) - set(STATE_FIELDS)
     if unknown:
         raise ValueError(f"unknown run fields: {sorted(unknown)}")
+    fields = {k: as_utc(v) if isinstance(v, datetime) else v for k, v in fields.items()}
+    event_at = as_utc(event_at)
     row = {name: None for name in L.RUN_EVENT_SCHEMA.fieldNames()}
     row.update(fields)
     row.update(run_id=run_id, seq=time.time_ns(), event_at=event_at)
@@ -50,18 +64,21 @@ def read_events(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(L.RUN_EVENT_SCHEMA).parquet(events_dir(root))
 
 
-def compact_events(spark: SparkSession, root: str) -> int:
+def compact_events(spark: SparkSession, root: str, grace_hours: float = 0.0) -> int:
     """Rewrite the run log's small files as a few larger ones; returns the
     number of files replaced.
 
     The current files are listed, their rows appended once more (duplicates
-    by ``(run_id, seq)`` dropped), then the listed files are deleted.
-    Readers never lose an event.  In the short window they may see an event
-    twice, which changes no field of ``run_state`` (the latest value per
-    field is the same row); only ``n_events`` is briefly higher.
+    by ``(run_id, seq)`` dropped), then the listed files are deleted.  Files
+    younger than ``grace_hours`` are left alone, so a reader that listed the
+    folder has that long to read it.  In the short window events may be seen
+    twice, which changes no field of ``run_state`` (the latest value per field
+    is the same row); only ``n_events`` is briefly higher.
     """
     folder = events_dir(root)
-    old = [n for n in fs.list_names(spark, folder) if n.endswith(".parquet")]
+    limit = time.time() * 1000 - grace_hours * 3_600_000
+    old = [n for n in fs.list_names(spark, folder) if n.endswith(".parquet")
+           and fs.modified_ms(spark, f"{folder}/{n}") <= limit]
     if len(old) < 2:
         return 0
     rows = spark.read.schema(L.RUN_EVENT_SCHEMA).parquet(*[f"{folder}/{n}" for n in old])
@@ -101,21 +118,19 @@ def find_run(states: DataFrame, run_id: str) -> DataFrame:
 def summary(spark: SparkSession, run_id: str, filename: str, counts: dict, total_debtors: int,
             total_entities: int, duration_ms: int, completed_at: datetime) -> DataFrame:
     """Completion record (A9) in snake_case, plus the line counts (E5, E6).
-    ``completed_at`` is a naive UTC datetime, rendered ``yyyy-MM-ddTHH:mm:ssZ``."""
+    ``filename`` may be a path; its last component is kept.  ``completed_at`` is
+    rendered ``yyyy-MM-ddTHH:mm:ssZ`` (a naive datetime is UTC)."""
     row = [(run_id, filename, int(counts["total"]), int(counts["valid"]), int(counts["invalid"]),
-            int(total_debtors), int(total_entities), int(duration_ms),
-            completed_at.strftime("%Y-%m-%dT%H:%M:%SZ"))]
-    return spark.createDataFrame(
+            int(total_debtors), int(total_entities), int(duration_ms))]
+    made = spark.createDataFrame(
         row,
         "import_id string, filename string, total_records long, valid_records long, "
-        "invalid_records long, total_debtors long, total_entities long, duration_ms long, "
-        "completed_at string")
+        "invalid_records long, total_debtors long, total_entities long, duration_ms long")
+    return made.withColumn("filename", X.basename("filename")).withColumn(
+        "completed_at", X.iso_utc(X.instant(completed_at)))
 
 
 def summary_json(df: DataFrame, camel_case: bool = False) -> DataFrame:
     """The event as one JSON string, snake_case or camelCase keys (I13)."""
-    names = {"import_id": "importId", "filename": "filename", "total_debtors": "totalDebtors",
-             "total_entities": "totalEntities", "duration_ms": "durationMs",
-             "completed_at": "completedAt"}
-    cols = [F.col(k).alias(v if camel_case else k) for k, v in names.items()]
+    cols = [F.col(k).alias(v if camel_case else k) for k, v in EVENT_KEYS.items()]
     return df.select(F.to_json(F.struct(*cols)).alias("event"))

@@ -33,6 +33,34 @@ def run_dir(staging_root: str, slug: str) -> str:
     return f"{staging_root}/run={slug}"
 
 
+def run_key(run_id: str) -> str:
+    """Folder key of a run: its whole id, so that no two runs share one."""
+    return "".join(c if c.isalnum() or c == "-" else f"%{ord(c):x}" for c in run_id)
+
+
+#: note of a staging that line-level loading may still add to
+PARTIAL = "partial:"
+
+
+def write_input(spark: SparkSession, staging_root: str, key: str, source: str,
+                fingerprint: str = "") -> None:
+    """Note beside a committed staging which input it was made from."""
+    path = f"{staging_root}/input-{key}"
+    fs.delete(spark, path)
+    fs.write_marker(spark, path, f"{source}\n{fingerprint}" if fingerprint else source)
+
+
+def same_input(note: str | None, source: str, fingerprint: str) -> bool:
+    """Whether a staging's note names this source, unchanged or gone by now."""
+    if not note or not note.startswith(source + "\n"):
+        return False
+    return not fingerprint or note == f"{source}\n{fingerprint}"
+
+
+def made_from(spark: SparkSession, staging_root: str, key: str) -> str | None:
+    return fs.read_text(spark, f"{staging_root}/input-{key}")
+
+
 def staged_rows(lines: DataFrame) -> DataFrame:
     """Classify lines into the staged shape (one pass, no shuffle).
 
@@ -86,22 +114,20 @@ def staged(spark: SparkSession, staging_root: str, slug: str,
     return df
 
 
-def staged_valid(spark: SparkSession, staging_root: str, slug: str) -> DataFrame:
-    return staged(spark, staging_root, slug, [L.KIND_VALID]).select(
-        "identification_number", "entity_code", "situation", "loans", "source_file",
-        "line_number")
-
-
 def staged_rejects(spark: SparkSession, staging_root: str, slug: str) -> DataFrame:
     """Rejects of a staged run with line numbers derived from the staged
     positions (the raw text is not read again)."""
     every = staged(spark, staging_root, slug)
     rej = staged(spark, staging_root, slug, L.REJECT_REASONS)
+    if every.where("line_number IS NOT NULL").limit(1).count():
+        # resumed: numbered when staged (positions of two scans don't mix)
+        return rej.select("source_file", "line_number", F.col("kind").alias("reason"), "detail")
     numbered = RT.with_line_numbers(every, rej.drop("line_number"))
     return numbered.select("source_file", "line_number", F.col("kind").alias("reason"), "detail")
 
 
 def drop_staging(spark: SparkSession, staging_root: str, slug: str) -> None:
+    fs.delete(spark, f"{staging_root}/input-{slug}")
     fs.delete(spark, run_dir(staging_root, slug))
 
 
@@ -144,6 +170,24 @@ def remaining_lines(numbered_lines: DataFrame, last_lines: DataFrame) -> DataFra
     ).drop("last_loaded_line")
 
 
+def partial_of(spark: SparkSession, staging_root: str, key: str) -> str | None:
+    """The path whose loading was cut short, if this staging is such a one."""
+    note = made_from(spark, staging_root, key) or ""
+    return note[len(PARTIAL):] if note.startswith(PARTIAL) else None
+
+
+def last_loaded_line(spark: SparkSession, staging_root: str, key: str) -> int | None:
+    """Largest line number of a staged valid line in its file (line numbers
+    from the staged positions; a resumed staging has them as a column)."""
+    valid = staged(spark, staging_root, key, [L.KIND_VALID])
+    known = valid.agg(F.max("line_number").alias("n")).first()["n"]
+    if known is None:
+        numbered = RT.with_line_numbers(staged(spark, staging_root, key),
+                                        valid.drop("line_number"))
+        known = numbered.agg(F.max("line_number").alias("n")).first()["n"]
+    return known
+
+
 def load_with_resume(spark: SparkSession, path: str, staging_root: str, slug: str,
                      last_loaded_line: int | None = None) -> str:
     """Stage a file, resuming after the checkpoint.
@@ -156,11 +200,11 @@ def load_with_resume(spark: SparkSession, path: str, staging_root: str, slug: st
     """
     # only what staging needs is materialized for numbering (not the decoded text)
     lines = RT.with_line_numbers(RT.read_lines(spark, path).drop("line"))
+    write_input(spark, staging_root, slug, PARTIAL + path)  # until the import has it whole
     if last_loaded_line == 0 or not exists(spark, staging_root, slug):
         return stage(staged_rows(lines), staging_root, slug, mode="overwrite")
     if last_loaded_line is None:
-        rest = remaining_lines(lines, checkpoints(staged(spark, staging_root, slug,
-                                                         [L.KIND_VALID])))
+        rest = remaining_lines(lines, checkpoints(staged(spark, staging_root, slug)))
     else:
         rest = lines.where(F.col("line_number") > F.lit(int(last_loaded_line)))
     return stage(staged_rows(rest), staging_root, slug, mode="append")
@@ -169,14 +213,14 @@ def load_with_resume(spark: SparkSession, path: str, staging_root: str, slug: st
 # -- retention ---------------------------------------------------------------
 
 def stale_staging(staging_slugs: DataFrame, run_states: DataFrame, as_of: datetime,
-                  ttl_hours: int = L.STAGING_TTL_HOURS) -> DataFrame:
+                  ttl_hours: int = L.STAGING_TTL_HOURS, key=X.run_slug) -> DataFrame:
     """Staging folders to remove: no matching run, or a terminal run last
     updated at least ``ttl_hours`` before ``as_of``.  ``run_states`` needs
-    ``run_id, status, updated_at``."""
-    runs = run_states.select(X.run_slug("run_id").alias("slug"), "status", "updated_at")
-    # a wall-clock literal read in the session time zone, like the columns
-    cutoff = F.lit((as_of - timedelta(hours=ttl_hours)).strftime("%Y-%m-%d %H:%M:%S.%f")
-                   ).cast("timestamp")
+    ``run_id, status, updated_at``; ``key`` maps a run id to its folder key.
+    Instants are compared (a naive ``as_of`` is UTC), so the session's time
+    zone plays no part."""
+    runs = run_states.select(key("run_id").alias("slug"), "status", "updated_at")
+    cutoff = X.instant(as_of - timedelta(hours=ttl_hours))
     joined = staging_slugs.join(runs, "slug", "left")
     orphan = F.col("status").isNull()
     expired = F.col("status").isin(L.TERMINAL_STATUSES) & (F.col("updated_at") <= cutoff)
@@ -191,8 +235,9 @@ def gc_staging(spark: SparkSession, staging_root: str, run_states: DataFrame,
     present = list_staging(spark, staging_root)
     if present.isEmpty():
         return []
-    stale = stale_staging(present, run_states, as_of)
-    removed = [r.slug for r in stale.collect()]
-    for slug in removed:
-        drop_staging(spark, staging_root, slug)
+    stale = stale_staging(present, run_states, as_of, key=X.run_key)
+    removed = []
+    for row in stale.toLocalIterator():
+        drop_staging(spark, staging_root, row.slug)
+        removed.append(row.slug)
     return removed

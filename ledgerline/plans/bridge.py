@@ -18,7 +18,6 @@ columns, so it never parses the rendered text and checks the parser too.
 from __future__ import annotations
 
 import hashlib
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from ledgerline import fs
 from ledgerline.session import work_root
 
-RENDER_VERSION = "r1"
+RENDER_VERSION = "r2"
 FILE_ORDERS = 4096  # orders per rendered file
 
 # Rendered raw text of each field (r_*), the file it goes to, and the value
@@ -54,9 +53,10 @@ f AS (
          ELSE CAST(20000000000 + o_custkey AS STRING) END AS r_id,
     CASE WHEN l_partkey % 13 = 0 THEN 'Ñ' || lpad(CAST(l_partkey % 100 AS STRING), 2, '0')
          ELSE lpad(CAST(l_partkey % 1000 AS STRING), 3, '0') END AS r_activity,
-    substr('011 11212 23033 044 0599  ',
-           CAST(1 + 2 * ((l_orderkey + l_linenumber) % (2 + o_custkey % 12)) AS INT), 2)
-      AS r_situation,
+    CASE (l_orderkey + l_linenumber) % (2 + o_custkey % 12)
+         WHEN 0 THEN '01' WHEN 1 THEN '1 ' WHEN 2 THEN '11' WHEN 3 THEN '21' WHEN 4 THEN '2 '
+         WHEN 5 THEN '23' WHEN 6 THEN '03' WHEN 7 THEN '3 ' WHEN 8 THEN '04' WHEN 9 THEN '4 '
+         WHEN 10 THEN '05' WHEN 11 THEN '99' ELSE '  ' END AS r_situation,
     lpad(CAST(p AS STRING), 10, '0') || ',' || CAST(q % 10 AS STRING) AS r_loans,
     lpad(CAST(q * 100 AS STRING), 12, '0') AS r_unused,
     lpad(CAST(o_custkey % 1000 AS STRING), 11, '0') || ',' AS r_guarantees,
@@ -68,7 +68,8 @@ f AS (
     CASE WHEN l_orderkey % 7 = 0 THEN '00000000,125'
          WHEN l_orderkey % 7 = 1 THEN '00000000,135'
          ELSE '000000000000' END AS r_cga,
-    CASE WHEN l_linenumber = 2 THEN rpad(CAST(l_linenumber AS STRING) || 'e3', 12, ' ')
+    CASE WHEN l_linenumber = 3 AND l_orderkey % 31 = 0 THEN '9999999999e9'
+         WHEN l_linenumber = 2 THEN rpad(CAST(l_linenumber AS STRING) || 'e3', 12, ' ')
          ELSE '000000000000' END AS r_cgb,
     lpad(CAST(tp AS STRING), 10, '0') || ',' || CAST(l_linenumber AS STRING) AS r_ncg,
     CASE WHEN l_discount >= 0.05 THEN '-' || lpad(CAST(q AS STRING), 11, '0')
@@ -106,6 +107,7 @@ data AS (
     CASE WHEN is_short THEN 'short_line'
          WHEN r_idtype <> '11' THEN 'id_type'
          WHEN e_situation NOT IN ('01', '11', '21', '23', '03', '04', '05') THEN 'situation'
+         WHEN r_cgb = '9999999999e9' THEN 'parse_error'
          ELSE 'valid' END AS e_kind,
     CASE e_situation WHEN '01' THEN 0 WHEN '11' THEN 1 WHEN '21' THEN 2 WHEN '23' THEN 3
          WHEN '03' THEN 4 WHEN '04' THEN 5 WHEN '05' THEN 6 END AS e_rank,
@@ -121,7 +123,8 @@ data AS (
     CASE WHEN l_orderkey % 7 = 0 THEN CAST('0.13' AS DECIMAL(18,2))
          WHEN l_orderkey % 7 = 1 THEN CAST('0.14' AS DECIMAL(18,2))
          ELSE CAST(0 AS DECIMAL(18,2)) END AS e_cga,
-    CASE WHEN l_linenumber = 2 THEN CAST(l_linenumber * 1000 AS DECIMAL(18,2))
+    CASE WHEN r_cgb = '9999999999e9' THEN CAST(NULL AS DECIMAL(18,2))
+         WHEN l_linenumber = 2 THEN CAST(l_linenumber * 1000 AS DECIMAL(18,2))
          ELSE CAST(0 AS DECIMAL(18,2)) END AS e_cgb,
     CAST(CAST(tp AS STRING) || '.' || CAST(l_linenumber AS STRING) AS DECIMAL(18,2)) AS e_ncg,
     CASE WHEN l_discount >= 0.05 THEN CAST(-q AS DECIMAL(18,2))
@@ -199,8 +202,8 @@ def render(spark: SparkSession, sf_dir: str, out: str) -> None:
 def registry_path(spark: SparkSession, sf_dir: str) -> str:
     """Folder of the rendered registry for ``sf_dir`` (rendered once and
     reused; lives in the shared work folder)."""
-    key = hashlib.sha1(f"{RENDER_VERSION}|{os.path.abspath(sf_dir)}|{FILE_ORDERS}"
-                       .encode()).hexdigest()[:12]
+    inputs = fs.fingerprint(spark, [f"{sf_dir}/lineitem.parquet", f"{sf_dir}/orders.parquet"])
+    key = hashlib.sha1(f"{RENDER_VERSION}|{inputs}|{FILE_ORDERS}".encode()).hexdigest()[:12]
     out = f"{work_root(spark)}/rendered/{key}/registry"
     if not fs.exists(spark, out + "/_SUCCESS"):
         render(spark, sf_dir, out)

@@ -13,9 +13,10 @@ import uuid
 from datetime import datetime
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerline import fs
 from ledgerline import layout as L
 from ledgerline.functions import exprs as X
 from ledgerline.operators import aggregate as A
@@ -25,7 +26,7 @@ from ledgerline.operators import reads as Q
 from ledgerline.operators import runs as R
 from ledgerline.operators import staging as S
 from ledgerline.plans import bridge
-from ledgerline.plans.import_job import Workspace, run_import, slug_of
+from ledgerline.plans.import_job import Workspace, run_import
 from ledgerline.session import work_root
 from ledgerline.sources import registry_text as RT
 from ledgerline.streaming import ingest as J
@@ -68,15 +69,12 @@ def fresh_workspace(spark: SparkSession, name: str) -> Workspace:
     return Workspace(f"{work_root(spark)}/queries/{name}-{uuid.uuid4().hex[:10]}")
 
 
-# Bump when the import's output could change, so a cached import made by
-# older code is never served.
-PIPELINE_VERSION = "p4"
-
-
 def serving_workspace(spark: SparkSession, sf_dir: str) -> Workspace:
-    """A workspace with the full registry imported once (read queries)."""
+    """A workspace with the full registry imported once per application (read
+    queries); the registry's path names its input files' fingerprint."""
     path = registry(spark, sf_dir)
-    key = hashlib.sha1(f"{PIPELINE_VERSION}|{path}".encode()).hexdigest()[:12]
+    app = spark.sparkContext.applicationId
+    key = hashlib.sha1(f"{app}|{path}".encode()).hexdigest()[:12]
     ws = Workspace(f"{work_root(spark)}/serving/{key}")
     if P.current_version(spark, ws.published) is None:
         run_import(spark, path, ws)
@@ -174,8 +172,8 @@ def q_parse_amount(spark, sf_dir):
     slices = d.select(*[X.field_slice("line", pos, ln).alias(name)
                         for name, pos, ln, kind in L.FIELDS if kind == "amount"])
     long = slices.unpivot([], L.AMOUNT_FIELDS, "field", "raw")
-    return long.groupBy("field", "raw", X.parse_amount("raw").alias("amount")).agg(
-        F.count(F.lit(1)).alias("n_lines"))
+    counted = long.groupBy("field", "raw").agg(F.count(F.lit(1)).alias("n_lines"))
+    return counted.select("field", "raw", X.parse_amount("raw").alias("amount"), "n_lines")
 
 
 def q_days_overdue(spark, sf_dir):
@@ -264,12 +262,12 @@ def q_severity(spark, sf_dir):
 
 def q_is_worse_than(spark, sf_dir):
     rows = C.staging_projection(lines(spark, sf_dir))
-    deb = A.debtors(rows)
-    # pre-aggregate to at most seven rows per debtor before the join, so a
-    # debtor with a huge share of all lines adds no skew
+    # at most seven rows per debtor, so a debtor with a huge share of all lines
+    # adds no skew to the window; one scan, no join
     per_code = rows.groupBy("identification_number", "situation").agg(
         F.count(F.lit(1)).alias("n"))
-    j = per_code.join(deb, "identification_number")
+    worst = F.max(X.severity("situation")).over(Window.partitionBy("identification_number"))
+    j = per_code.withColumn("max_situation", X.code_of_rank(worst))
     return j.groupBy(
         "situation", "max_situation",
         X.is_worse_than("situation", "max_situation").alias("row_is_worse"),
@@ -339,6 +337,96 @@ def q_latest_file_wins(spark, sf_dir):
     return _two_deliveries_published(spark, sf_dir, ws).select(*Q.DEBTOR_COLUMNS)
 
 
+def q_publish_out_of_order(spark, sf_dir):
+    """Three versions whose names fall (skewed clocks): the last commit wins."""
+    ws = fresh_workspace(spark, "publish_out_of_order")
+    root = registry(spark, sf_dir)
+    for name, delivery in (("v3", "F"), ("v2", "F"), ("v1", "O")):
+        rows = C.staging_projection(RT.read_lines(spark, bridge.delivery_path(root, delivery)))
+        P.publish(spark, ws.published, {"debtors": A.with_loaded_at(A.debtors(rows), SUMMARY_CLOCK)},
+                  version=name)
+    return P.read_published(spark, ws.published, "debtors").select(*Q.DEBTOR_COLUMNS)
+
+
+def q_rerun_other_file(spark, sf_dir):
+    """A staging left by a failed run is not taken by a run whose id starts
+    alike, nor by the same run on another path."""
+    ws = fresh_workspace(spark, "rerun_other_file")
+    root = registry(spark, sf_dir)
+    first, second = (bridge.delivery_path(root, d) for d in ("F", "O"))
+    left, other = "aabbccddeeff-1111", "aabbccddeeff-2222"
+    for run_id in (left, other):
+        S.stage(S.staged_rows(RT.read_lines(spark, first)), ws.staging, S.run_key(run_id))
+        S.write_input(spark, ws.staging, S.run_key(run_id), first,
+                      fs.fingerprint(spark, [first]))
+        R.append_event(spark, ws.runs, run_id, SUMMARY_CLOCK, status=L.STATUS_FAILED)
+    run_import(spark, second, ws, run_id=other)
+    return P.read_published(spark, ws.published, "debtors").select(*Q.DEBTOR_COLUMNS)
+
+
+def q_import_resume(spark, sf_dir):
+    """A load cut short after some lines of each file, then the import of the
+    same run: the whole registry's debtors."""
+    ws = fresh_workspace(spark, "import_resume")
+    path = registry(spark, sf_dir)
+    key = S.run_key(SUMMARY_RUN_ID)
+    numbered = RT.with_line_numbers(RT.read_lines(spark, path).drop("line"))
+    S.stage(S.staged_rows(numbered.where(F.col("line_number") <= RESUME_AFTER_LINE)),
+            ws.staging, key)
+    S.write_input(spark, ws.staging, key, S.PARTIAL + path)
+    R.append_event(spark, ws.runs, SUMMARY_RUN_ID, SUMMARY_CLOCK, status=L.STATUS_PROCESSING)
+    run_import(spark, path, ws, run_id=SUMMARY_RUN_ID, clock=lambda: SUMMARY_CLOCK)
+    return P.read_published(spark, ws.published, "debtors").select(*Q.DEBTOR_COLUMNS)
+
+
+def _imported(spark, sf_dir, name):
+    ws = fresh_workspace(spark, name)
+    run_import(spark, registry(spark, sf_dir), ws, run_id=SUMMARY_RUN_ID,
+               clock=lambda: SUMMARY_CLOCK)
+    return ws
+
+
+def q_run_log_written(spark, sf_dir):
+    """The log that an import wrote, and the staging folders it left."""
+    ws = _imported(spark, sf_dir, "run_log_written")
+    states = R.run_state(R.read_events(spark, ws.runs))
+    left = S.list_staging(spark, ws.staging).agg(F.count(F.lit(1)).alias("n_staging"))
+    return states.select(
+        "run_id", "status", "filename", "total_records", "valid_records", "invalid_records",
+        "last_loaded_line", "n_events",
+        X.iso_utc("started_at").alias("started_at")).crossJoin(F.broadcast(left))
+
+
+def q_completion_event(spark, sf_dir):
+    """The completion record read back from its JSON, in both spellings."""
+    ws = _imported(spark, sf_dir, "completion_event")
+    names = list(R.EVENT_KEYS.items())
+    written = spark.read.text(f"{ws.summaries}/run={S.run_key(SUMMARY_RUN_ID)}")
+    kinds = {"total_debtors": "long", "total_entities": "long", "duration_ms": "long"}
+    out = None
+    for spelling in ("snake", "camel"):
+        keys = {k: k if spelling == "snake" else v for k, v in names}
+        schema = ", ".join(f"{v} {kinds.get(k, 'string')}" for k, v in keys.items())
+        one = written.select(F.from_json("value", schema).alias("e")).where(
+            F.col(f"e.{keys['import_id']}").isNotNull()).select(
+            F.lit(spelling).alias("spelling"), *[F.col(f"e.{v}").alias(k) for k, v in keys.items()])
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q_load_timestamp(spark, sf_dir):
+    """Distinct load times of each published table: one."""
+    ws = _imported(spark, sf_dir, "load_timestamp")
+    out = None
+    for table in ("debtors", "entities"):
+        one = P.read_published(spark, ws.published, table).agg(
+            F.count_distinct("loaded_at").alias("n_times"),
+            X.iso_utc(F.min("loaded_at")).alias("loaded_at")).select(
+            F.lit(table).alias("table_name"), "n_times", "loaded_at")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def q_stream_ingest(spark, sf_dir):
     ws = fresh_workspace(spark, "stream_ingest")
     root = registry(spark, sf_dir)
@@ -398,6 +486,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "run_summary": q_run_summary,
     "staging_retention": q_staging_retention,
     "latest_file_wins": q_latest_file_wins,
+    "publish_out_of_order": q_publish_out_of_order,
+    "rerun_other_file": q_rerun_other_file,
+    "import_resume": q_import_resume,
+    "run_log_written": q_run_log_written,
+    "completion_event": q_completion_event,
+    "load_timestamp": q_load_timestamp,
     "stream_ingest": q_stream_ingest,
     "stream_latest_file": q_stream_latest_file,
     "roundtrip": q_roundtrip,

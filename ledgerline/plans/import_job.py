@@ -28,7 +28,8 @@ from ledgerline.operators import aggregate as A
 from ledgerline.operators import publish as P
 from ledgerline.operators import runs as R
 from ledgerline.operators import staging as S
-from ledgerline.session import job_description, work_root
+from ledgerline import fs
+from ledgerline.session import job_description, workspace_root
 from ledgerline.sources import registry_text as RT
 
 
@@ -59,7 +60,7 @@ class Workspace:
 
     @classmethod
     def default(cls, spark: SparkSession, name: str = "default") -> "Workspace":
-        return cls(f"{work_root(spark)}/workspaces/{name}")
+        return cls(f"{workspace_root(spark)}/workspaces/{name}")
 
 
 @dataclass
@@ -67,11 +68,11 @@ class ImportResult:
     run_id: str
     version: str
     counts: dict
-    summary: DataFrame
+    summary: DataFrame | None  # None when it could not be made
 
 
 def _utc_now() -> datetime:
-    return datetime.now(timezone.utc).replace(tzinfo=None)
+    return datetime.now(timezone.utc)
 
 
 def _count_exprs() -> list:
@@ -104,37 +105,53 @@ def run_import(spark: SparkSession, path: str, ws: Workspace, run_id: str | None
                clock: Callable[[], datetime] = _utc_now,
                filename: str | None = None) -> ImportResult:
     """Import the registry file(s) at ``path`` (file, folder or glob)."""
-    filename = filename or path.rstrip("/").rsplit("/", 1)[-1]
-    return import_lines(spark, lambda: RT.read_lines(spark, path), ws, filename,
-                        run_id=run_id, clock=clock)
+    return import_lines(spark, lambda: RT.read_lines(spark, path), ws, filename or path,
+                        run_id=run_id, clock=clock, inputs=[path])
 
 
 def import_lines(spark: SparkSession, lines: Callable[[], DataFrame], ws: Workspace,
                  filename: str, run_id: str | None = None,
-                 clock: Callable[[], datetime] = _utc_now) -> ImportResult:
+                 clock: Callable[[], datetime] = _utc_now,
+                 inputs: list[str] | None = None) -> ImportResult:
     """Import lines shaped like ``read_lines`` (``source_file, split_start,
     row_id, raw, n_chars``): a batch read or a streaming micro-batch.
     ``lines`` is called once, inside the run, so that a failure while
-    reading is recorded against the run."""
+    reading is recorded against the run.  ``inputs`` are the paths read; a
+    retry reuses a staging only if their files are unchanged."""
     run_id = run_id or str(uuid.uuid4())
-    slug = slug_of(run_id)
+    slug = S.run_key(run_id)
     started = clock()
     t0 = time.monotonic()
+    R.append_event(spark, ws.runs, run_id, started, status=L.STATUS_PENDING,
+                   filename=filename.rstrip("/").rsplit("/", 1)[-1])
     R.append_event(spark, ws.runs, run_id, started, status=L.STATUS_PROCESSING,
-                   filename=filename, started_at=started)
+                   started_at=started)
     try:
         with job_description(spark, f"ledgerline import {slug}: staging retention"):
             states = R.run_state(R.read_events(spark, ws.runs), ["status"])
             S.gc_staging(spark, ws.staging, states, started)
 
         # 1. one pass over the text: classify, stage and count every line.
-        # A retry of a run whose staging already committed (it failed later)
-        # resumes from that staging instead of reading the text again.
-        if S.exists(spark, ws.staging, slug):
+        # A retry of the same run on the same files resumes: from its staging
+        # if that is whole (the files may be gone by then), else after the
+        # staged lines.  Anything else (another path, changed files) starts clean.
+        source = "\n".join(inputs or [str(uuid.uuid4())])
+        print_ = fs.fingerprint(spark, inputs or [])
+        whole = S.made_from(spark, ws.staging, slug)
+        if S.exists(spark, ws.staging, slug) and S.same_input(whole, source, print_):
             counts = line_counts(S.staged(spark, ws.staging, slug))
+        elif inputs and S.exists(spark, ws.staging, slug) and S.partial_of(
+                spark, ws.staging, slug) == inputs[0]:
+            with job_description(spark, f"ledgerline import {slug}: resume staging"):
+                S.load_with_resume(spark, inputs[0], ws.staging, slug)
+                S.write_input(spark, ws.staging, slug, source, print_)
+                counts = line_counts(S.staged(spark, ws.staging, slug))
         else:
+            S.drop_staging(spark, ws.staging, slug)
             with job_description(spark, f"ledgerline import {slug}: scan, classify, stage"):
                 counts = stage_and_count(S.staged_rows(lines()), ws, slug)
+            S.write_input(spark, ws.staging, slug, source, print_)
+        last_line = S.last_loaded_line(spark, ws.staging, slug)
 
         # 2. aggregate and publish both tables as one version
         with job_description(spark, f"ledgerline import {slug}: aggregate and publish"):
@@ -154,7 +171,7 @@ def import_lines(spark: SparkSession, lines: Callable[[], DataFrame], ws: Worksp
     except Exception as exc:  # the run is marked failed; staging is kept
         R.append_event(spark, ws.runs, run_id, clock(), status=L.STATUS_FAILED,
                        finished_at=clock(),
-                       error_message=f"{type(exc).__name__}: {exc}"[:2000])
+                       error_message=f"{type(exc).__name__}: {exc}")
         raise
 
     finished = clock()
@@ -163,28 +180,21 @@ def import_lines(spark: SparkSession, lines: Callable[[], DataFrame], ws: Worksp
     R.append_event(spark, ws.runs, run_id, finished, status=L.STATUS_COMPLETED,
                    finished_at=finished, total_records=counts["total"],
                    valid_records=counts["valid"], invalid_records=counts["invalid"],
-                   last_loaded_line=None, duration_ms=duration_ms)
+                   last_loaded_line=last_line, duration_ms=duration_ms)
 
     # 4. summary: a failure here does not change the data outcome
-    debtors, entities = P.published_pair(spark, ws.published)
-    summary = R.summary(spark, run_id, filename, counts, P.row_count(debtors),
-                        P.row_count(entities), duration_ms, finished)
+    summary = None
     try:
-        R.summary_json(summary).write.mode("overwrite").text(f"{ws.summaries}/run={slug}")
+        made = [P.row_count(P.read_published(spark, ws.published, table, version))
+                for table in ("debtors", "entities")]
+        summary = R.summary(spark, run_id, filename, counts, *made, duration_ms, finished)
+        (R.summary_json(summary).union(R.summary_json(summary, camel_case=True))
+         .write.mode("overwrite").text(f"{ws.summaries}/run={slug}"))
     except Exception:  # noqa: BLE001 - logged, never fails the published import
         traceback.print_exc()
     return ImportResult(run_id, version, counts, summary)
 
 
-def slug_of(run_id: str) -> str:
-    """Driver-side twin of ``exprs.run_slug`` for folder names."""
-    return run_id.replace("-", "")[:L.SLUG_LENGTH]
-
-
 def rejects_of(spark: SparkSession, ws: Workspace, run_id: str) -> DataFrame:
-    return spark.read.parquet(f"{ws.rejects}/run={slug_of(run_id)}")
-
-
-def current_tables(spark: SparkSession, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    return P.published_pair(spark, ws.published)
+    return spark.read.parquet(f"{ws.rejects}/run={S.run_key(run_id)}")
 

@@ -105,6 +105,7 @@ _TS = "'%Y-%m-%d %H:%M:%S.%f'"
 
 
 def oracle_sql() -> dict[str, str]:
+    clock = D.SUMMARY_CLOCK.strftime('%Y-%m-%dT%H:%M:%SZ')
     staged_cols = ("e_id AS identification_number, r_entity AS entity_code, "
                    "e_situation AS situation, e_loans AS loans")
     amount_union = "\n  UNION ALL ".join(
@@ -149,7 +150,8 @@ SELECT field, raw, amount, count(*) AS n_lines FROM (
         "reject_rows": _with("""
 SELECT line_number, e_kind AS reason,
        CASE e_kind WHEN 'short_line' THEN CAST(length(text) AS VARCHAR)
-                   WHEN 'id_type' THEN r_idtype ELSE e_situation END AS detail
+                   WHEN 'id_type' THEN r_idtype WHEN 'parse_error' THEN r_cgb
+                   ELSE e_situation END AS detail
 FROM dnum WHERE e_kind <> 'valid'"""),
         "staging_rows": _with(f"SELECT {staged_cols}, line_number FROM dnum "
                               "WHERE e_kind = 'valid'"),
@@ -208,7 +210,7 @@ SELECT '{D.SUMMARY_RUN_ID}' AS import_id, 'registry' AS filename,
        (SELECT count(*) FROM odebtors) AS total_debtors,
        (SELECT count(*) FROM oentities) AS total_entities,
        CAST(0 AS BIGINT) AS duration_ms,
-       '{D.SUMMARY_CLOCK.strftime('%Y-%m-%dT%H:%M:%SZ')}' AS completed_at
+       '{clock}' AS completed_at
 FROM data"""),
         "staging_retention": f"""
 WITH runs AS (
@@ -229,6 +231,26 @@ WHERE r.status IS NULL
    OR (r.status IN ('completed', 'failed')
        AND r.updated_at <= TIMESTAMP '{D.RETENTION_AS_OF}' - INTERVAL 24 HOUR)""",
         "latest_file_wins": _with("SELECT * FROM odebtors_o"),
+        "publish_out_of_order": _with("SELECT * FROM odebtors_o"),
+        "rerun_other_file": _with("SELECT * FROM odebtors_o"),
+        "import_resume": _with("SELECT * FROM odebtors"),
+        "run_log_written": _with(f"""
+SELECT '{D.SUMMARY_RUN_ID}' AS run_id, 'completed' AS status, 'registry' AS filename,
+       count(*) AS total_records,
+       count(*) FILTER (WHERE e_kind = 'valid') AS valid_records,
+       count(*) FILTER (WHERE e_kind <> 'valid') AS invalid_records,
+       (SELECT max(line_number) FROM dnum WHERE e_kind = 'valid') AS last_loaded_line,
+       CAST(3 AS BIGINT) AS n_events, '{clock}' AS started_at, CAST(0 AS BIGINT) AS n_staging
+FROM data"""),
+        "completion_event": _with(f"""
+SELECT spelling, '{D.SUMMARY_RUN_ID}' AS import_id, 'registry' AS filename,
+       (SELECT count(*) FROM odebtors) AS total_debtors,
+       (SELECT count(*) FROM oentities) AS total_entities,
+       CAST(0 AS BIGINT) AS duration_ms, '{clock}' AS completed_at
+FROM (VALUES ('snake'), ('camel')) t(spelling)"""),
+        "load_timestamp": f"""
+SELECT table_name, CAST(1 AS BIGINT) AS n_times, '{clock}' AS loaded_at
+FROM (VALUES ('debtors'), ('entities')) t(table_name)""",
         "stream_ingest": _with(f"SELECT {staged_cols} FROM valid"),
         "stream_latest_file": _with("SELECT * FROM odebtors_o"),
         "roundtrip": _with(f"SELECT {_RECORD_SELECT} FROM valid"),

@@ -1,8 +1,11 @@
 """Session defaults and the shared working folder.
 
-Work files (rendered inputs, staging, published versions, run logs) live
-under the cluster's shared ``spark.checkpoint.dir``.  It is read from the
-session; only when it is unset (local tests) is a private folder created.
+Work files (rendered inputs, staging, checkpoints) live under the cluster's
+shared ``spark.checkpoint.dir``, which is read from the session.  Only in local
+mode may it be unset; a private folder is then created.  Elsewhere a folder of
+the driver would be invisible to the executors, so that is an error.  Tables
+that must outlive checkpoints (published versions, run log) go to
+``spark.ledgerline.workspace.dir`` where it is set.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from contextlib import contextmanager
 from pyspark.sql import SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+WORKSPACE_KEY = "spark.ledgerline.workspace.dir"
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
@@ -47,11 +51,12 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; set a private one only if none is set."""
+    """The shared checkpoint folder; a private one only in local mode."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        check_local(spark.sparkContext.master)
         root = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
         spark.conf.set(CHECKPOINT_KEY, root)
     if not spark.sparkContext.getCheckpointDir():
@@ -59,6 +64,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def check_local(master: str) -> None:
+    """A work folder of the driver is only right when everything runs there."""
+    if master != "local" and not master.startswith("local["):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors "
+                         f"of {master} share")
+
+
+def workspace_root(spark: SparkSession) -> str:
+    """Folder of published tables and run logs."""
+    return (spark.conf.get(WORKSPACE_KEY, None) or work_root(spark)).rstrip("/")
+
+
 def work_root(spark: SparkSession) -> str:
     """Folder for this library's work files inside the shared checkpoint dir."""
     return ensure_checkpoint_dir(spark) + "/ledgerline"

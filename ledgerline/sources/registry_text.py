@@ -117,11 +117,19 @@ def format_amount(x: Column) -> Column:
     frac = F.substring_index(digits, ".", -1)
     frac = F.when(frac.endswith("0"), F.substring(frac, 1, 1)).otherwise(frac)
     body = F.concat(whole, F.lit(","), frac)
-    return F.when(x < 0, F.concat(F.lit("-"), F.lpad(body, 11, "0"))).otherwise(
-        F.lpad(body, 12, "0"))
+    return F.when(x < 0, F.concat(F.lit("-"), fitted(F.lpad, body, 11, "0", "amount"))).otherwise(
+        fitted(F.lpad, body, 12, "0", "amount"))
 
 
-def render_line(rec: DataFrame | None = None) -> Column:
+def fitted(pad, value: Column, length: int, fill: str, name: str) -> Column:
+    """``value`` padded to ``length``; a longer value is an error, never cut."""
+    problem = F.raise_error(F.concat(F.lit(f"{name}: value does not fit {length} characters: "),
+                                     value))
+    return F.when(F.length(value) <= length, pad(value, length, fill)).otherwise(
+        problem.cast("string"))
+
+
+def render_line() -> Column:
     """Fixed-width line (171 characters) from the typed record columns."""
     parts = []
     for name, _, length, kind in L.FIELDS:
@@ -129,9 +137,9 @@ def render_line(rec: DataFrame | None = None) -> Column:
         if kind == "amount":
             parts.append(format_amount(c))
         elif kind == "int":
-            parts.append(F.lpad(c.cast("string"), length, "0"))
+            parts.append(fitted(F.lpad, c.cast("string"), length, "0", name))
         else:
-            parts.append(F.rpad(F.coalesce(c, F.lit("")), length, " "))
+            parts.append(fitted(F.rpad, F.coalesce(c, F.lit("")), length, " ", name))
     return F.concat(*parts)
 
 

@@ -4,10 +4,9 @@
 its valid rows appended to a Parquet sink; the checkpoint records which
 files are done, so a rerun adds nothing and a new file adds only its rows.
 
-``stream_latest_delivery`` (J2): each micro-batch picks its newest delivery
-(folder of files, by file modification time) and runs the batch import on
-it: stage → aggregate → publish, so the newest delivery replaces the
-published tables.
+``stream_latest_delivery`` (J2): arriving files trigger the batch import (stage
+→ aggregate → publish) of the newest complete delivery, a folder with a
+``_SUCCESS``, so the newest delivery replaces the published tables.
 
 Both use ``trigger(availableNow=True)``: process what has arrived, then stop
 — the bounded, restartable form of the reference's file-at-a-time ingest.
@@ -20,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline import fs
 from ledgerline.operators import classify as C
 from ledgerline.sources.registry_text import line_columns
 
@@ -35,7 +35,6 @@ def stream_lines(spark: SparkSession, landing: str,
     return raw.select(
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("split_start"),
-        F.col("_metadata.file_modification_time").alias("file_mtime"),
         *line_columns(F.col("value")),
     )
 
@@ -56,45 +55,53 @@ def stream_valid_rows(spark: SparkSession, landing: str, sink: str, checkpoint:
     q.awaitTermination()
 
 
-def delivery_of(source_file) -> F.Column:
-    """A delivery is the folder its files arrived in."""
-    return F.regexp_extract(source_file, r"^(.*)/[^/]*$", 1)
+def newest_complete(spark: SparkSession, landing: str) -> str | None:
+    """Name of the delivery folder whose ``_SUCCESS`` is the newest (ties:
+    larger name).  A folder without one is still arriving."""
+    done = [(fs.modified_ms(spark, f"{landing}/{name}/_SUCCESS"), name)
+            for name in fs.list_names(spark, landing)
+            if fs.exists(spark, f"{landing}/{name}/_SUCCESS")]
+    return max(done)[1] if done else None
 
 
-def latest_delivery(batch: DataFrame) -> DataFrame:
-    """Rows of the newest delivery in a batch (ties: larger folder name).
+def import_newest(spark: SparkSession, landing: str, ws, clock=None) -> str | None:
+    """Import the newest complete delivery, all its files, unless that was done
+    before; returns its name if it was imported now."""
+    from ledgerline.plans.import_job import run_import  # avoid an import cycle
 
-    The choice is a one-row table, so the semi-join broadcasts a bounded side.
-    """
-    with_delivery = batch.withColumn("delivery", delivery_of(F.col("source_file")))
-    newest = (with_delivery.groupBy("delivery").agg(F.max("file_mtime").alias("m"))
-              .orderBy(F.col("m").desc(), F.col("delivery").desc()).limit(1)
-              .select("delivery"))
-    return with_delivery.join(F.broadcast(newest), "delivery", "left_semi")
+    name = newest_complete(spark, landing)
+    noted = f"{ws.root}/deliveries/{name}"
+    if name is None or fs.exists(spark, noted):
+        return None
+    kwargs = {"clock": clock} if clock else {}
+    result = run_import(spark, f"{landing}/{name}", ws, **kwargs)
+    fs.write_marker(spark, noted, result.run_id)
+    return name
 
 
 def stream_latest_delivery(spark: SparkSession, landing: str, ws, checkpoint: str,
                            clock=None) -> None:
-    """J2: import the newest delivery of each micro-batch (stage, aggregate,
-    publish, reject log, run log, summary — the batch import on the batch's
-    rows), so the newest delivery replaces the published tables.  Batches
-    are not capped by file count, so a delivery is never split."""
-    from ledgerline.plans.import_job import import_lines  # avoid an import cycle
+    """J2: arriving files trigger the import (stage, aggregate, publish, reject
+    log, run log, summary) of the newest complete delivery under ``landing``,
+    which replaces the published tables.
+
+    The stream only says that something arrived; which delivery to import is
+    read from the folders, so a delivery whose files come in several batches
+    is imported once, whole, and older ones are not read.  The folders are
+    looked at once more at the end, as a ``_SUCCESS`` alone triggers nothing.
+    """
+    root = landing[:-2] if landing.endswith("/*") else landing.rstrip("/")
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        if batch.isEmpty():
-            return
-        chosen = latest_delivery(batch).withColumn("row_id", F.monotonically_increasing_id())
-        name = chosen.select("delivery").first()["delivery"].rstrip("/").rsplit("/", 1)[-1]
-        kwargs = {"clock": clock} if clock else {}
-        import_lines(spark, lambda: chosen, ws, name, **kwargs)
-
-    q = (stream_lines(spark, landing).writeStream
+        import_newest(spark, root, ws, clock)
+
+    q = (stream_lines(spark, f"{root}/*").select("source_file").writeStream
          .foreachBatch(handle)
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True)
          .start())
     q.awaitTermination()
+    import_newest(spark, root, ws, clock)
 
 
 def deliver(spark: SparkSession, source: str, landing_folder: str) -> None:

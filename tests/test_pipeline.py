@@ -11,7 +11,7 @@ from ledgerline import layout as L
 from ledgerline.operators import publish as P
 from ledgerline.operators import runs as R
 from ledgerline.operators import staging as S
-from ledgerline.plans.import_job import run_import, rejects_of, slug_of
+from ledgerline.plans.import_job import run_import, rejects_of
 from ledgerline.sources import registry_text as RT
 
 
@@ -103,9 +103,106 @@ def test_abandoned_version_is_removed(spark, tmp_path):
     assert P.current_version(spark, root) is None
     v1 = P.publish(spark, root, {"debtors": d, "entities": e})
     assert P.current_version(spark, root) == v1
+    # within the grace period it may be a writer still at work
+    assert sorted(P.fs.list_names(spark, f"{root}/{P.VERSIONS}")) == sorted([v0, v1])
+    P.remove_old(spark, root, keep=2, grace_hours=0)
     assert P.fs.list_names(spark, f"{root}/{P.VERSIONS}") == [v1]
 
 
+def test_commit_order_not_name_decides(spark, tmp_path):
+    root = str(tmp_path / "pub")
+    e = spark.createDataFrame([("E1", Decimal("1"), None)], L.ENTITIES_SCHEMA)
+    held = None
+    for i, name in enumerate(["v3", "v2", "v1", "v0"]):
+        d = spark.createDataFrame([(str(i), "01", Decimal("1"), None)], L.DEBTORS_SCHEMA)
+        P.publish(spark, root, {"debtors": d, "entities": e}, version=name)
+        assert P.current_version(spark, root) == name
+        held = held or P.read_published(spark, root, "debtors")
+    # a reader that resolved the first version outlives three publishes
+    assert [r.identification_number for r in held.collect()] == ["0"]
+    P.remove_old(spark, root, keep=2, grace_hours=0)
+    assert P.committed_versions(spark, root) == ["v1", "v0"]
+    assert sorted(P.fs.list_names(spark, f"{root}/{P.VERSIONS}")) == ["v0", "v1"]
+
+
+def test_staging_of_another_run_or_path_is_not_taken(spark, write_file, workspace, monkeypatch):
+    old, new = write_file([make_line(ident="20111111111")]), write_file([make_line(ident="20222222222")])
+    publish = P.publish
+
+    def boom(*a, **k):
+        raise RuntimeError("disk full")
+    monkeypatch.setattr(P, "publish", boom)
+    for run_id in ("aabbccddeeff-1111", "aabbccddeeff-2222"):
+        with pytest.raises(RuntimeError):
+            run_import(spark, old, workspace, run_id=run_id)
+    monkeypatch.setattr(P, "publish", publish)
+    run_import(spark, new, workspace, run_id="aabbccddeeff-2222")  # same run, other path
+    d, _ = P.published_pair(spark, workspace.published)
+    assert [r.identification_number for r in d.collect()] == ["20222222222"]
+    assert S.exists(spark, workspace.staging, S.run_key("aabbccddeeff-1111"))
+    run_import(spark, old, workspace, run_id="aabbccddeeff-1111")  # resumes its own
+    d, _ = P.published_pair(spark, workspace.published)
+    assert [r.identification_number for r in d.collect()] == ["20111111111"]
+
+
+def test_import_resumes_a_partial_staging(spark, write_file, workspace):
+    path = write_file([make_line(ident="20000000001"), "short", make_line(ident="20000000002")])
+    run_id = "cccccccc-0000-4000-8000-000000000001"
+    lines = RT.with_line_numbers(RT.read_lines(spark, path).drop("line"))
+    S.stage(S.staged_rows(lines.where("line_number = 1")), workspace.staging, S.run_key(run_id))
+    S.write_input(spark, workspace.staging, S.run_key(run_id), S.PARTIAL + path)
+    R.append_event(spark, workspace.runs, run_id, datetime(2026, 1, 1), status="processing")
+    res = run_import(spark, path, workspace, run_id=run_id)
+    assert res.counts == {"valid": 2, "invalid": 1, "total": 3}
+    d, _ = P.published_pair(spark, workspace.published)
+    assert sorted(r.identification_number for r in d.collect()) == ["20000000001", "20000000002"]
+    assert [(r.line_number, r.reason) for r in rejects_of(spark, workspace, run_id).collect()] == [
+        (2, "short_line")]
+    assert R.run_state(R.read_events(spark, workspace.runs)).first().last_loaded_line == 3
+
+
+def test_overflowing_amount_is_a_parse_error(spark, write_file, workspace):
+    path = write_file([make_line(), make_line(loans="9999999999e9"),
+                       make_line(rest=["000000000000"] * 6 + ["        1e17"])])
+    res = run_import(spark, path, workspace)
+    assert res.counts == {"valid": 1, "invalid": 2, "total": 3}
+    got = sorted((r.line_number, r.reason, r.detail.strip())
+                 for r in rejects_of(spark, workspace, res.run_id).collect())
+    assert got == [(2, "parse_error", "9999999999e9"), (3, "parse_error", "1e17")]
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/Argentina/Buenos_Aires", "Asia/Tokyo"])
+def test_retention_compares_instants(spark, tmp_path, zone):
+    root, now = str(tmp_path / "runs"), datetime(2026, 6, 8, 12)
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        for hours in (22, 24, 25):
+            R.append_event(spark, root, f"r{hours}", now - timedelta(hours=hours), status="failed")
+        states = R.run_state(R.read_events(spark, root), ["status"])
+        slugs = spark.createDataFrame([("r22",), ("r24",), ("r25",)], "slug string")
+        got = sorted(r.slug for r in S.stale_staging(slugs, states, now).collect())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == ["r24", "r25"]
+
+
+def test_writer_never_cuts(spark):
+    from ledgerline.sources.registry_text import fitted, format_amount
+    one = spark.createDataFrame([(Decimal("12345678901.25"), "12345")], "a decimal(18,2), d string")
+    for column in (format_amount(F.col("a")), fitted(F.lpad, F.col("d"), 4, "0", "days_overdue")):
+        with pytest.raises(Exception, match="does not fit"):
+            one.select(column).collect()
+
+
+def test_work_folder_must_be_set_off_local_mode():
+    from ledgerline.session import check_local
+    for master in ("local", "local[4]", "local[*]"):
+        check_local(master)
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            check_local(master)
+
+
 def test_latest_file_replaces_old_rows(spark, write_file, workspace):
     first = write_file([make_line(ident="20111111111", entity="OLD01")])
     second = write_file([make_line(ident="20222222222", entity="NEW01")])
@@ -130,11 +227,11 @@ def test_import_counts_rejects_and_summary(spark, write_file, workspace):
     rej = sorted((r.line_number, r.reason) for r in rejects_of(spark, workspace, res.run_id).collect())
     assert rej == [(1, "short_line"), (4, "id_type")]
     # staging is dropped after success; the run is completed
-    assert not S.exists(spark, workspace.staging, slug_of(res.run_id))
+    assert not S.exists(spark, workspace.staging, S.run_key(res.run_id))
     st = R.run_state(R.read_events(spark, workspace.runs)).first()
     assert (st.status, st.valid_records, st.invalid_records, st.total_records, st.filename) == (
         "completed", 2, 2, 4, "debtors.txt")
-    js = spark.read.text(f"{workspace.summaries}/run={slug_of(res.run_id)}").first()[0]
+    js = spark.read.text(f"{workspace.summaries}/run={S.run_key(res.run_id)}").first()[0]
     assert js.startswith('{"import_id":"aabbccdd-1122-3344-5566-778899aabbcc"')
 
 
@@ -149,7 +246,7 @@ def test_failed_import_keeps_staging_and_tables(spark, write_file, workspace, mo
     with pytest.raises(RuntimeError):
         run_import(spark, write_file([make_line(ident="20000000001")]), workspace, run_id="f" * 32)
     assert P.current_version(spark, workspace.published) == before
-    assert S.exists(spark, workspace.staging, slug_of("f" * 32))
+    assert S.exists(spark, workspace.staging, S.run_key("f" * 32))
     states = {r.run_id: (r.status, r.error_message)
               for r in R.run_state(R.read_events(spark, workspace.runs)).collect()}
     assert states["f" * 32] == ("failed", "RuntimeError: disk full")

@@ -3,10 +3,28 @@ from ledgerline.operators import publish as P
 from ledgerline.streaming import ingest as J
 
 
-def _drop(tmp_path, folder, lines):
+def _drop(tmp_path, folder, lines, part=0, complete=True):
     d = tmp_path / "landing" / folder
-    d.mkdir(parents=True)
-    (d / "part-0.txt").write_bytes(("\n".join(lines) + "\n").encode("latin-1"))
+    d.mkdir(parents=True, exist_ok=True)
+    (d / f"part-{part}.txt").write_bytes(("\n".join(lines) + "\n").encode("latin-1"))
+    if complete:
+        (d / "_SUCCESS").write_bytes(b"")
+
+
+def test_half_a_delivery_publishes_nothing(spark, tmp_path):
+    from ledgerline.plans.import_job import Workspace
+    landing, ws = str(tmp_path / "landing" / "*"), Workspace(str(tmp_path / "ws"))
+    ckpt = str(tmp_path / "ck")
+    _drop(tmp_path, "d1", [make_line(ident="20000000001")], part=0, complete=False)
+    J.stream_latest_delivery(spark, landing, ws, ckpt)
+    assert P.current_version(spark, ws.published) is None
+    _drop(tmp_path, "d1", [make_line(ident="20000000002")], part=1)
+    J.stream_latest_delivery(spark, landing, ws, ckpt)
+    d = P.read_published(spark, ws.published, "debtors").collect()
+    assert sorted(r.identification_number for r in d) == ["20000000001", "20000000002"]
+    before = P.current_version(spark, ws.published)
+    J.stream_latest_delivery(spark, landing, ws, ckpt)  # nothing new
+    assert P.current_version(spark, ws.published) == before
 
 
 def test_stream_ingest_is_incremental(spark, tmp_path):
