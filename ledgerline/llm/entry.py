@@ -29,7 +29,6 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_line_dedup": OP1_SQL,
     "op3_jaccard_join": OP3_SQL,
-    "op4_kd_shards": op4_kd_shards,
     "op5_quality_rules": OP5_SQL,
     "op7_substring_dedup": OP7_SQL,
 }

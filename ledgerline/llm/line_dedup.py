@@ -345,7 +345,8 @@ class LineIndex:
         """``docs`` with text cut, plus n_lines, n_dropped and kept_sha256."""
         short_batches(self.spark)
         drops = saved(self.drops(), self.folder, f"drops-{self.step}")
-        names = [c for c in docs.columns]
+        own = {"n_lines", "n_dropped", "kept_sha256"}  # replaces columns of these names
+        names = [c for c in docs.columns if c.lower() not in own]
         renamed = drops.select(F.col("doc_id").alias("_drop_doc"), F.col("drop").alias("_drop"))
         joined = docs.join(renamed.hint("shuffle_hash"),
                            docs["doc_id"].cast("long") == F.col("_drop_doc"), "left")

@@ -10,7 +10,9 @@ its budget is filled with documents chosen by their exact word count:
    longest down, until a budget of at most ``DP_BUDGET`` words is left;
 3. a bounded-knapsack dynamic program over the counts that remain fills that
    budget as exactly as they allow;
-4. within a word count, the documents with the smallest seeded rank are taken.
+4. within a word count, the documents with the smallest seeded rank are taken;
+5. a gap that whole documents leave (a source of few, long ones) is filled the
+   same way with repeats, as long as none is taken more than ``MAX_EPOCHS`` times.
 
 A histogram has at most one row per distinct length, however large the source;
 documents are ranked in hash buckets, so a length (or a group of copies) that
@@ -171,29 +173,37 @@ def mix(docs: DataFrame, size: Column, weights=WEIGHTS, epochs: int = MAX_EPOCHS
         sizes, counts = frame["size"].to_numpy(np.int64), frame["n"].to_numpy(np.int64)
         place = np.argsort(sizes, kind="stable")
         extra = np.zeros(len(frame), dtype=np.int64)
-        extra[place] = fit_budget(sizes[place], counts[place], round(target - whole * words))
-        return frame.assign(whole=np.int64(whole), extra=extra)[
-            ["source", "size", "source_size", "target", "whole", "extra"]]
+        budget = round(target - whole * words)
+        extra[place] = fit_budget(sizes[place], counts[place], budget)
+        more = np.zeros(len(frame), dtype=np.int64)
+        gap = budget - int((extra * sizes).sum())
+        if gap > 0 and whole + 2 <= epochs:
+            more[place] = fit_budget(sizes[place], counts[place], gap)
+        return frame.assign(whole=np.int64(whole), extra=extra, more=more)[
+            ["source", "size", "source_size", "target", "whole", "extra", "more"]]
 
     joined = lengths.alias("l").join(
         _shipped(targets).alias("t"), F.col("l.source").eqNullSafe(F.col("t.source"))).select(
         "l.source", "l.size", "l.n", "t.source_size", "t.target")
     plan = saved(joined.groupBy("source").applyInPandas(
         choose, f"source {kind}, size long, source_size long, target double, "
-                "whole long, extra long"), folder, "plan")
+                "whole long, extra long, more long"), folder, "plan")
     plan = plan.select(F.col("source").alias("_s"), F.col("size").alias("_z"),
                        F.col("source_size").alias("_words"), F.col("target").alias("_target"),
-                       F.col("whole").alias("_whole"), F.col("extra").alias("_extra"))
+                       F.col("whole").alias("_whole"), F.col("extra").alias("_extra"),
+                       F.col("more").alias("_more"))
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"))
     buckets = rank_buckets(lengths.agg(F.sum("n")).first()[0] or 0)
     ranked = gapless_rank(sized.withColumn("_draw", draw), ["source", "size"], F.col("_draw"),
                           [F.col("_draw"), F.col("doc_id")], "_rank", buckets)
-    times = (F.col("_whole") + F.when(F.col("_rank") < F.col("_extra"), 1).otherwise(0))
+    times = (F.col("_whole") + (F.col("_rank") < F.col("_extra")).cast("long")
+             + (F.col("_rank") < F.col("_more")).cast("long"))
     on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
     return (ranked.join(_shipped(plan), on)
             .withColumn("source_size", F.col("_words")).withColumn("target", F.col("_target"))
             .withColumn("times", times)
-            .drop("_s", "_z", "_words", "_target", "_whole", "_extra", "_rank", "_draw"))
+            .drop("_s", "_z", "_words", "_target", "_whole", "_extra", "_more", "_rank",
+                  "_draw"))
 
 
 def mixed_rows(docs: DataFrame, size: Column, **options) -> DataFrame:
