@@ -120,9 +120,22 @@ def classify(lines: DataFrame) -> DataFrame:
 
 
 def parse_fields(lines: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """Add the typed layout fields (all 24 unless ``names`` narrows them)."""
+    """Add the typed layout fields (all 24 unless ``names`` narrows them).
+
+    Many amounts are parsed as one array by one expression: written out field
+    by field they make a generated method over the JVM's 8,000-byte limit,
+    which is then never compiled.  The array is used by several fields, so the
+    optimizer keeps its projection apart.
+    """
     names = names or L.FIELD_NAMES
-    return lines.select("*", *[field(n).alias(n) for n in names])
+    amounts = [n for n in names if n in L.AMOUNT_FIELDS]
+    if len(amounts) <= 2:
+        return lines.select("*", *[field(n).alias(n) for n in names])
+    texts = F.array(*[ascii_slice("raw", *_FIELD[n][:2]) for n in amounts])
+    wide = lines.withColumn("_amounts", F.transform(texts, lambda x: X.parse_amount(x)))
+    return wide.select(*lines.columns, *[
+        (F.get("_amounts", amounts.index(n)) if n in amounts else field(n)).alias(n)
+        for n in names])
 
 
 def valid_records(lines: DataFrame, names: list[str] | None = None) -> DataFrame:
