@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from ledgerline import layout as L
 
-# A broadcast split table of this many rows is ~40 MB; beyond it the
-# numbering join shuffles instead.
-MAX_BROADCAST_SPLITS = 1_000_000
+# The split table is broadcast up to this many bytes (paths and numbers);
+# beyond it the numbering join shuffles instead.
+MAX_BROADCAST_BYTES = 32 << 20
 
 POSITION_COLUMNS = ["source_file", "split_start", "row_id"]
 
@@ -69,12 +69,13 @@ def split_offsets(lines: DataFrame) -> DataFrame:
         "source_file",
         "split_start",
         "first_row_id",
+        "n_lines",
         F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("lines_before"),
     )
 
 
 def with_line_numbers(lines: DataFrame, rows: DataFrame | None = None, *,
-                      max_broadcast_splits: int = MAX_BROADCAST_SPLITS) -> DataFrame:
+                      max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Add ``line_number`` (1-based, per file, counting every physical line).
 
     ``lines`` holds every line of its files with the position columns of
@@ -87,22 +88,27 @@ def with_line_numbers(lines: DataFrame, rows: DataFrame | None = None, *,
     numbering must not span two scans of the raw text (an executor lost or
     added in between could change the layout). Without ``rows``, ``lines``
     is therefore checkpointed first: its row ids are fixed by one job. A
-    staged copy already has them fixed and is used as it is.
+    staged copy already has them fixed and is used as it is.  Every row's
+    place is checked against its split's range, so a row of another scan is
+    an error, never a wrong number.
 
-    The split table is materialized once and counted; it is broadcast only
-    when that count is within the bound.
+    The split table is materialized once and measured; it is broadcast only
+    when its bytes are within the bound.
     """
     if rows is None:
         lines = lines.checkpoint(eager=True)
     offsets = split_offsets(lines.select(*POSITION_COLUMNS)).checkpoint(eager=True)
-    n_splits = offsets.count()
-    side = F.broadcast(offsets) if n_splits <= max_broadcast_splits else offsets
+    size = offsets.agg(F.sum(F.length("source_file") + F.lit(96))).first()[0] or 0
+    side = F.broadcast(offsets) if size <= max_broadcast_bytes else offsets
     target = lines if rows is None else rows
-    joined = target.join(side, ["source_file", "split_start"], "inner")
+    joined = target.join(side, ["source_file", "split_start"], "left")
+    place = F.col("row_id") - F.col("first_row_id")
+    fits = F.coalesce((place >= 0) & (place < F.col("n_lines")), F.lit(False))
     return joined.withColumn(
         "line_number",
-        F.col("lines_before") + (F.col("row_id") - F.col("first_row_id")) + F.lit(1),
-    ).drop("first_row_id", "lines_before")
+        F.when(fits, F.col("lines_before") + place + F.lit(1)).otherwise(
+            F.raise_error("rows of another scan can't be numbered").cast("long")),
+    ).drop("first_row_id", "lines_before", "n_lines")
 
 
 # ---------------------------------------------------------------------------

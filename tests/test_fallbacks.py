@@ -22,7 +22,7 @@ def test_line_numbers_without_broadcast(spark, write_file):
     a = sorted(tuple(r) for r in RT.with_line_numbers(lines).select("line_number", "line").collect())
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        df = RT.with_line_numbers(lines, max_broadcast_splits=0)
+        df = RT.with_line_numbers(lines, max_broadcast_bytes=0)
         assert "BroadcastHashJoin" not in _plan(df)
         b = sorted(tuple(r) for r in df.select("line_number", "line").collect())
     finally:
