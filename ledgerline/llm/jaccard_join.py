@@ -267,11 +267,11 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
 
 
 def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its component (smallest
-    doc_id); all columns kept."""
-    heads = link_components(docs, k, percent).where("doc_id = component_id").select(
+    """``docs`` without the rows of documents that a smaller doc_id of their
+    component stands for; all columns kept.  Rows without doc_id stay."""
+    others = link_components(docs, k, percent).where("doc_id <> component_id").select(
         F.col("doc_id").alias("_id")).distinct()
-    return docs.join(heads, docs["doc_id"].cast("long") == F.col("_id"), "left_semi")
+    return docs.join(others, docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,3 +41,11 @@ def test_stages(spark, tables, tmp_path):
 
 def test_no_documents(spark, no_rows):
     assert pipeline.run(spark, no_rows).collect() == []
+
+
+def test_one_of_each_keeps_rows_without_id(spark):
+    from ledgerline.llm.jaccard_join import one_of_each
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(2, text, "a"), (1, text + " end", "b"), (None, text, "c"),
+                                  (3, "", "d"), (4, None, "e")], "doc_id long, text string, x string")
+    assert sorted(r["x"] for r in one_of_each(docs).collect()) == ["b", "c", "d", "e"]
