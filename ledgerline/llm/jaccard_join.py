@@ -1,21 +1,25 @@
 """N-gram Jaccard join by grouped prefixes; every link found is exact.
 
-1. A bounded sketch counts how many documents hold the shingles of each hash
-   bucket, over all documents.  Its levels order shingles globally, rare before
-   frequent, ties by hash; any fixed order is right, this one keeps passages
-   that many documents share out of the prefixes.
+1. Shingles are ordered globally, rare before frequent, ties by hash; any fixed
+   order is right, this one keeps passages that many documents share out of the
+   prefixes.  A bounded sketch counts how many documents hold the shingles of
+   each hash bucket, over all documents, and so finds the very frequent ones;
+   then the shingles of the prefixes in that order are counted exactly, and
+   those in ``FREQUENT`` documents or more go to the end of the order.
 2. A set of n shingles that links with another shares one of its first
    n - ceil(t n) + 1 shingles with it: its prefix.  Equal sets are one class;
    classes with the same prefix and size are one group, and only groups are
    joined on prefix shingles.
-3. Candidates are verified on their whole sets.  First every class against its
-   group's head, then in each list of a prefix shingle (by size band) every
-   group's head against one leader: a number of pairs that grows with the
-   lists' lengths, not with their squares.  Their links are joined into
-   components.
-4. What is left is done in full: all pairs of classes that share a prefix
-   shingle, agree in size and lie in different components.  Pairs inside a
-   component change nothing, so the components are exact.
+3. Candidates are screened by the places of the shared shingle and by their
+   whole prefixes, then verified on their whole sets.  First every class against
+   its group's head, then in each list of a prefix shingle (by size band) every
+   group's head against the list's first and last one: a number of pairs that
+   grows with the lists' lengths, not with their squares.  Their links are
+   joined into components.
+4. What is left is done in full: all pairs of groups that share a prefix
+   shingle, pass the screens and aren't in one component already are expanded
+   into pairs of their members in different components and verified.  Pairs
+   inside a component change nothing, so the components are exact.
 
 The result is one row per document with its component; class members aren't
 expanded into pairs.
@@ -34,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline import fs
 from ledgerline.llm.common import (WordHasher, documents, list_array, mix, saved, scratch_dir,
                                    short_batches, text_chunks, word_bounds)
 from ledgerline.llm.components import components
@@ -43,8 +48,15 @@ PERCENT = 85
 SKETCH_BITS = 20
 _BLOCK = 1 << 12
 _SEED = 20250301
+#: prefix shingles in so many documents are ordered last
+FREQUENT = 10
+#: such shingles are shipped to the second scan up to this many (8 bytes each);
+#: beyond it the order stays as the sketch has it
+SHIPPED_FREQUENT = 4_000_000
 #: doc_ids of candidates are shipped to the scan of their texts up to this many
 SHIPPED_IDS = 1_000_000
+_SIGN = np.uint64(1 << 63)
+_LAST = np.uint64(15 << 60)
 _OTHER = np.uint64(0xD1B54A32D192ED03)
 
 
@@ -114,14 +126,29 @@ def frequency_levels(docs: DataFrame, k: int, bits: int, folder: str) -> np.ndar
     return np.clip(levels, 0, 15).astype(np.uint8)
 
 
-def prefixes(docs: DataFrame, levels: np.ndarray, k: int, percent: int, bits: int) -> DataFrame:
+def frequent_keys(docs: DataFrame, levels: np.ndarray, k: int, percent: int, bits: int,
+                  folder: str) -> np.ndarray | None:
+    """Sorted order keys that at least FREQUENT documents have in their
+    prefixes; None if there are too many to ship."""
+    keys = prefixes(docs, levels, None, k, percent, bits).select(
+        F.explode("prefix").alias("key"))
+    found = saved(keys.groupBy("key").agg(F.count("*").alias("n"))
+                  .where(F.col("n") >= FREQUENT).select("key"), folder, "frequent")
+    if found.count() > SHIPPED_FREQUENT:
+        return None
+    return np.sort(found.toArrow().column(0).to_numpy().view(np.uint64) ^ _SIGN)
+
+
+def prefixes(docs: DataFrame, levels: np.ndarray, frequent: np.ndarray | None, k: int,
+             percent: int, bits: int) -> DataFrame:
     """(doc_id, n, s1, s2, p, prefix): set size, 128-bit digest of the set, hash
     of the prefix, and the prefix's order keys."""
-    shipped = docs.sparkSession.sparkContext.broadcast(levels)
+    shipped = docs.sparkSession.sparkContext.broadcast((levels, frequent))
 
     def run(batches):
         hasher = WordHasher(_SEED, fold_case=True)
-        order = shipped.value.astype(np.uint64) << np.uint64(60)
+        order = shipped.value[0].astype(np.uint64) << np.uint64(60)
+        last = shipped.value[1]
         shift = np.uint64(64 - bits)
         for batch in batches:
             size = len(batch.column(0))
@@ -133,13 +160,16 @@ def prefixes(docs: DataFrame, levels: np.ndarray, k: int, percent: int, bits: in
                 for row, unique in shingle_sets(hasher, batch.column(1), k):
                     m = len(unique)
                     keys = order[(unique >> shift).astype(np.int64)] | (unique >> np.uint64(4))
+                    if last is not None and len(last):
+                        at = np.minimum(np.searchsorted(last, keys), len(last) - 1)
+                        keys = np.where(last[at] == keys, keys | _LAST, keys)
                     p = m - (percent * m + 99) // 100 + 1
                     prefix = np.sort(np.partition(keys, p - 1)[:p])
                     n[row], counts[row] = m, p
                     digest[0, row] = mix(unique).sum()
                     digest[1, row] = mix(unique ^ _OTHER).sum()
                     digest[2, row] = mix(prefix + _OTHER).sum()
-                    kept.append(prefix)
+                    kept.append(prefix ^ _SIGN)  # signed order is then the keys' order
             values = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(n)]
@@ -151,16 +181,60 @@ def prefixes(docs: DataFrame, levels: np.ndarray, k: int, percent: int, bits: in
         run, "doc_id long, n long, s1 long, s2 long, p long, prefix array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, folder: str,
-             name: str) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar enough.  Only the
-    candidates' texts are hashed again and only their sets are shuffled."""
-    pairs = saved(pairs.where("a <> b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-        folder, f"pairs-{name}")
+def _only(df: DataFrame, pairs: DataFrame, folder: str, name: str) -> DataFrame:
+    """The rows of ``df`` (key ``id``) that occur in a pair; the ids are shipped
+    where they are few, so that the others' rows aren't shuffled."""
     ids = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(),
-                folder, f"ids-{name}")
-    wanted = F.broadcast(ids) if ids.count() <= SHIPPED_IDS else ids
+                folder, name)
+    return df.join(F.broadcast(ids) if ids.count() <= SHIPPED_IDS else ids, "id", "left_semi")
+
+
+def possible(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their prefixes don't rule out.  Up to the smaller of the
+    two prefixes' ends both sets are known in full; beyond it at most the
+    smaller rest is shared.  Loses no link; costs prefixes, not whole sets."""
+    left = heads.select(F.col("id").alias("a"), F.col("n").alias("na"),
+                        F.col("prefix").alias("pa"))
+    right = heads.select(F.col("id").alias("b"), F.col("n").alias("nb"),
+                         F.col("prefix").alias("pb"))
+    both = pairs.join(left, "a").join(right, "b").where(
+        100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    end = F.least(F.element_at("pa", -1), F.element_at("pb", -1))
+    known = both.withColumn("end", end).select(
+        "a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).alias("c"),
+        F.size(F.filter("pa", lambda x: x <= F.col("end"))).alias("ka"),
+        F.size(F.filter("pb", lambda x: x <= F.col("end"))).alias("kb"))
+    most = F.col("c") + F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))
+    return known.where(100 * most >= percent * (F.col("na") + F.col("nb") - most)).select("a", "b")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def in_reach(n, place, other_n, other_place, percent: int):
+    """Whether two sets can be similar enough if the shingle at these (0-based)
+    places is the first that they share; true for the first one of every link."""
+    most = F.least(n - place, other_n - other_place)  # this one and all behind it
+    return ((100 * F.least(n, other_n) >= percent * F.greatest(n, other_n))
+            & ((100 + percent) * most >= percent * (n + other_n)))
+
+
+def screened(pairs: DataFrame, sets: DataFrame, percent: int, folder: str,
+             name: str) -> DataFrame:
+    """Distinct pairs that their prefixes don't rule out."""
+    pairs = saved(_ordered(pairs), folder, f"pairs-{name}")
+    heads = _only(sets.select(F.col("doc_id").alias("id"), "n", "prefix"), pairs, folder,
+                  f"met-{name}")
+    return saved(possible(pairs, heads, percent).distinct(), folder, f"possible-{name}")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, folder: str, name: str,
+             percent: int) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are similar enough.  Only their
+    own texts are hashed again, and only their sets are shuffled."""
+    spark = docs.sparkSession
 
     def run(batches):
         hasher = WordHasher(_SEED, fold_case=True)
@@ -176,16 +250,18 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, folder: st
                  list_array(values.view(np.int64), np.array(counts, np.int64), pa.int64())],
                 names=["id", "grams"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(
-        wanted, "id", "left_semi")
+    texts = _only(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), pairs, folder,
+                  f"ids-{name}")
     sets = saved(texts.mapInArrow(run, "id long, grams array<long>"), folder, f"sets-{name}")
     left = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
     right = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
     shared = F.size(F.array_intersect("ga", "gb"))
     joined = pairs.join(left, "a").join(right, "b").select(
         "a", "b", shared.alias("i"), (F.size("ga") + F.size("gb")).alias("total"))
-    return saved(joined.where(100 * F.col("i") >= percent * (F.col("total") - F.col("i")))
-                 .select("a", "b"), folder, f"links-{name}")
+    links = saved(joined.where(100 * F.col("i") >= percent * (F.col("total") - F.col("i")))
+                  .select("a", "b"), folder, f"links-{name}")
+    fs.delete(spark, f"{folder}/sets-{name}")
+    return links
 
 
 def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
@@ -196,7 +272,8 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     folder = scratch_dir(spark, "jaccard")
     docs = docs.select("doc_id", "text")
     levels = frequency_levels(docs, k, bits, folder)
-    rows = saved(prefixes(docs, levels, k, percent, bits), folder, "rows")
+    frequent = frequent_keys(docs, levels, k, percent, bits, folder)
+    rows = saved(prefixes(docs, levels, frequent, k, percent, bits), folder, "rows")
     sets = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = saved(sets.groupBy("s1", "s2").agg(
         F.min("doc_id").alias("id"), F.min("n").alias("n"), F.min("p").alias("p")),
@@ -208,7 +285,8 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     # lists of the prefix shingles that at least two groups hold
     heads = groups.select(F.col("head").alias("doc_id"), "n", "p")
     held = (sets.select("doc_id", "n", "p", "prefix").join(heads, ["doc_id", "n", "p"], "left_semi")
-            .select(F.explode("prefix").alias("token"), F.col("doc_id").alias("head"), "n"))
+            .select(F.posexplode("prefix").alias("place", "token"),
+                    F.col("doc_id").alias("head"), "n"))
     shared = saved(held.groupBy("token").agg(F.min("head").alias("lo"), F.max("head").alias("hi"))
                    .where("lo < hi").select("token"), folder, "shared")
     lists = saved(held.join(shared, "token", "left_semi"), folder, "lists")
@@ -216,36 +294,47 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
     # linear candidates: class against its group's head, head against leaders
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100.0 / percent)))
     banded = lists.withColumn("band", band)
+    one = F.struct("head", "n", "place")
     leaders = saved(banded.groupBy("token", "band").agg(
-        F.min("head").alias("first"), F.max("head").alias("last")), folder, "leaders")
+        F.min(one).alias("first"), F.max(one).alias("last")), folder, "leaders")
     stars = banded.join(leaders, ["token", "band"])
-    pairs = (members.select(F.col("head").alias("a"), F.col("id").alias("b"))
-             .union(stars.select("first", "head")).union(stars.select("last", "head")))
-    links = verified(pairs, docs, k, percent, folder, "stars")
+    pairs = members.select(F.col("head").alias("a"), F.col("id").alias("b"))
+    for end in ("first", "last"):
+        pairs = pairs.union(stars.where(in_reach(
+            F.col("n"), F.col("place"), F.col(f"{end}.n"), F.col(f"{end}.place"), percent))
+            .select(f"{end}.head", "head"))
+    links = verified(screened(pairs, sets, percent, folder, "stars"), docs, k, folder,
+                     "stars", percent)
     joined = components(links, folder)
     placed = saved(
         members.join(joined.withColumnRenamed("node", "id"), "id", "left")
         .select("head", "id", "n", F.coalesce("component", "id").alias("c")), folder, "placed")
 
-    # the rest in full: classes of different components in one list
-    spread = saved(lists.select("token", "head").join(placed, "head"), folder, "spread")
-    mixed = saved(spread.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-                  .where("lo < hi").select("token"), folder, "mixed")
-    open_ = spread.join(mixed, "token", "left_semi").select("token", "id", "n", "c")
-    left = open_.select("token", F.col("id").alias("a"), F.col("n").alias("na"),
-                        F.col("c").alias("ca"))
-    right = open_.select("token", F.col("id").alias("b"), F.col("n").alias("nb"),
-                         F.col("c").alias("cb"))
-    rest = left.join(right, "token").where(
-        (F.col("ca") < F.col("cb"))
-        & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b")
-    inside = placed.groupBy("head").agg(F.min("c").alias("lo"), F.max("c").alias("hi")) \
-        .where("lo < hi").select("head")
-    split = placed.join(inside, "head", "left_semi")
+    # the rest in full: groups that aren't in one component yet
+    spread = placed.groupBy("head").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    known = saved(lists.join(spread, "head"), folder, "known")
+    mixed = saved(known.groupBy("token").agg(F.min("lo").alias("low"), F.max("hi").alias("high"))
+                  .where("low < high").select("token"), folder, "mixed")
+    open_ = saved(known.join(mixed, "token", "left_semi"), folder, "open")
+    left, right = (open_.select("token", *[F.col(c).alias(f"{c}_{side}") for c in
+                                           ("head", "n", "place", "lo", "hi")]) for side in "ab")
+    met = left.join(right, "token").where(
+        (F.col("head_a") < F.col("head_b"))
+        & (F.least("lo_a", "lo_b") < F.greatest("hi_a", "hi_b"))
+        & in_reach(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"), percent)) \
+        .select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    groups_left = screened(met, sets, percent, folder, "rest")
+    own = placed.select("head", "id", "c")
+    between = groups_left.join(own.select(F.col("head").alias("a"), F.col("id").alias("ia"),
+                                          F.col("c").alias("ca")), "a").join(
+        own.select(F.col("head").alias("b"), F.col("id").alias("ib"), F.col("c").alias("cb")), "b"
+    ).where(F.col("ca") != F.col("cb")).select(F.col("ia").alias("a"), F.col("ib").alias("b"))
+    split = own.join(spread.where("lo < hi").select("head"), "head", "left_semi")
     within = split.select("head", F.col("id").alias("a"), F.col("c").alias("ca")).join(
         split.select("head", F.col("id").alias("b"), F.col("c").alias("cb")), "head").where(
         F.col("ca") < F.col("cb")).select("a", "b")
-    more = verified(rest.union(within), docs, k, percent, folder, "rest")
+    members_left = saved(_ordered(between.union(within)), folder, "pairs-members")
+    more = verified(members_left, docs, k, folder, "rest", percent)
     if more.limit(1).count():
         # components of the first round are single nodes of the second
         at = placed.select("id", "c")
