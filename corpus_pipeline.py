@@ -6,7 +6,8 @@ columns of documents; the last returns the packed pieces.
 
 1. toxicity: documents scored at or above the threshold go.
 2. line dedup: lines that many documents share stay in one of them.
-3. n-gram Jaccard join: one document of each group of near copies stays.
+3. n-gram Jaccard join: one document of each group of near copies stays
+   (shingles of ``NEAR_WORDS`` words, similarity ``NEAR_PERCENT`` percent).
 4. mixing: sources are drawn to their target weights, rows repeated as taken.
 5. packing: token sequences of bounded length with little padding.
 
@@ -26,6 +27,11 @@ from ledgerline.llm.mixing import mixed_rows, word_count
 from ledgerline.llm.packing import pack
 
 
+#: near copies of the stage; op3's own figures bind its query only
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The lexicon is learned from the labelled rows of ``documents``."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -46,7 +52,7 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    return one_of_each(docs, k=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,16 @@ def test_one_of_each_keeps_rows_without_id(spark):
     docs = spark.createDataFrame([(2, text, "a"), (1, text + " end", "b"), (None, text, "c"),
                                   (3, "", "d"), (4, None, "e")], "doc_id long, text string, x string")
     assert sorted(r["x"] for r in one_of_each(docs).collect()) == ["b", "c", "d", "e"]
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark):
+    words = [f"word{i}" for i in range(500)]
+    near, far = list(words), list(words)
+    for i in range(11):  # 441 of 551 shingles of five words: 0.8004
+        near[40 * i + 20] = f"edit{i}"
+    for i in range(12):  # 436 of 556: 0.784
+        far[40 * i + 10] = f"other{i}"
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))],
+                                 "doc_id long, text string")
+    kept = pipeline.one_per_group(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
