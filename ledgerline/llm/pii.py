@@ -38,7 +38,7 @@ CARD = r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){13,}+"  # shorter runs can't be cards
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 TOKEN = (r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])"
-         r"[A-Za-z0-9]{12,128}+(?![A-Za-z0-9])")
+         r"[A-Za-z0-9]{12,}+")
 LEFT = 32
 FORMS = r"^(?:AKIA|ASIA|ghp|gho|xox[abp]|sk|pk)[A-Za-z0-9]{12,}$|^(?=.*[a-f])[0-9a-f]{16,}$"
 SECRET_WORDS = r"(?i)(?:pass|passwd|password|pwd|secret|token|key|apikey|credential|credentials|bearer|auth)$"

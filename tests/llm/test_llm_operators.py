@@ -162,6 +162,16 @@ def test_pii_spans(spark, tables, texts):
         assert set(known) <= set(secrets)
 
 
+def test_pii_long_secrets(spark, tmp_path):
+    from llm_fixtures import write_tables
+    rng = np.random.default_rng(3)
+    keys = ["0a" + "".join(rng.choice(list("0123456789abcdef"), n - 2)) for n in [40] * 20 + [128, 129, 256]]
+    folder = write_tables(tmp_path, [f'some words token = "{k}" and more' for k in keys], base=False)
+    rows = by_id(QUERIES["op6_pii"](spark, folder), "spans")
+    assert [rows[10_000 + i][0] for i in range(len(keys))] == [
+        f"secret:20:{20 + len(k)}" for k in keys]
+
+
 def test_labelers_reliability():
     from ledgerline.llm.pii import reliabilities
     rng = np.random.default_rng(1)
