@@ -135,9 +135,9 @@ def run_slug(run_id: Column | str) -> Column:
 
 
 def run_key(run_id: Column | str) -> Column:
-    """Folder key of a run: its whole id with unusual characters escaped (the
-    column form of ``staging.run_key``; run ids are letters, digits, dashes)."""
-    return _col(run_id)
+    """Folder key of a run: its whole id, URL-encoded (the column form of
+    ``staging.run_key``; an asterisk would be a glob)."""
+    return F.replace(F.url_encode(_col(run_id)), F.lit("*"), F.lit("%2A"))
 
 
 def instant(at) -> Column:

@@ -14,6 +14,7 @@ is retried and only committed files become visible.
 from __future__ import annotations
 
 from datetime import datetime, timedelta
+from urllib.parse import quote_plus
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +35,9 @@ def run_dir(staging_root: str, slug: str) -> str:
 
 
 def run_key(run_id: str) -> str:
-    """Folder key of a run: its whole id, so that no two runs share one."""
-    return "".join(c if c.isalnum() or c == "-" else f"%{ord(c):x}" for c in run_id)
+    """Folder key of a run: its whole id, URL-encoded, so that no two runs share
+    one (``exprs.run_key`` is the column form of the same key)."""
+    return quote_plus(run_id, safe="").replace("~", "%7E")
 
 
 #: note of a staging that line-level loading may still add to
@@ -44,7 +46,10 @@ PARTIAL = "partial:"
 
 def write_input(spark: SparkSession, staging_root: str, key: str, source: str,
                 fingerprint: str = "") -> None:
-    """Note beside a committed staging which input it was made from."""
+    """Note beside a committed staging which input it was made from.  The note
+    of a partial staging always has the fingerprint its input has now."""
+    if source.startswith(PARTIAL) and not fingerprint:
+        fingerprint = fs.fingerprint(spark, [source[len(PARTIAL):]])
     path = f"{staging_root}/input-{key}"
     fs.delete(spark, path)
     fs.write_marker(spark, path, f"{source}\n{fingerprint}" if fingerprint else source)
@@ -170,10 +175,13 @@ def remaining_lines(numbered_lines: DataFrame, last_lines: DataFrame) -> DataFra
     ).drop("last_loaded_line")
 
 
-def partial_of(spark: SparkSession, staging_root: str, key: str) -> str | None:
-    """The path whose loading was cut short, if this staging is such a one."""
-    note = made_from(spark, staging_root, key) or ""
-    return note[len(PARTIAL):] if note.startswith(PARTIAL) else None
+def is_partial_of(spark: SparkSession, staging_root: str, key: str, path: str) -> bool:
+    """Whether this staging is a load of ``path`` that was cut short, and the
+    path's files are still those it was made from."""
+    if not exists(spark, staging_root, key):
+        return False
+    note = made_from(spark, staging_root, key)
+    return note == f"{PARTIAL}{path}\n{fs.fingerprint(spark, [path])}"
 
 
 def last_loaded_line(spark: SparkSession, staging_root: str, key: str) -> int | None:

@@ -42,6 +42,7 @@ RESUME_AFTER_LINE = 3000
 SUMMARY_RUN_ID = "aabbccdd-1122-3344-5566-778899aabbcc"
 SUMMARY_CLOCK = datetime(2026, 6, 8, 12, 0, 0)
 RETENTION_AS_OF = "1998-06-01 00:00:00"
+EVENTS_AS_OF = "2024-01-31 12:00:00"
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
 RECORD_COLUMNS = L.FIELD_NAMES
@@ -325,6 +326,16 @@ def q_staging_retention(spark, sf_dir):
     return S.stale_staging(staged_slugs, states, datetime.fromisoformat(RETENTION_AS_OF))
 
 
+def q_retention_odd_ids(spark, sf_dir):
+    """Retention by the import's own folder keys, for run ids with dots,
+    slashes, blanks and other signs: folders of known runs are never orphans."""
+    states = _run_states(spark, sf_dir).select(
+        F.concat(F.lit("imp_"), F.regexp_replace("run_id", "-", "./ *~"), F.lit("é")).alias("run_id"),
+        "status", "updated_at")
+    folders = states.select(X.run_key("run_id").alias("slug"))
+    return S.stale_staging(folders, states, datetime.fromisoformat(EVENTS_AS_OF), key=X.run_key)
+
+
 def _two_deliveries_published(spark, sf_dir, ws):
     root = registry(spark, sf_dir)
     for delivery in ("F", "O"):
@@ -379,6 +390,24 @@ def q_import_resume(spark, sf_dir):
     return P.read_published(spark, ws.published, "debtors").select(*Q.DEBTOR_COLUMNS)
 
 
+def q_resume_changed_file(spark, sf_dir):
+    """A load of delivery F cut short, its files replaced by those of O, then
+    the import of the same run on the same path: O's debtors only."""
+    ws = fresh_workspace(spark, "resume_changed_file")
+    root = registry(spark, sf_dir)
+    path, key = f"{ws.root}/arriving", S.run_key("changed_file/1")
+    J.deliver(spark, bridge.delivery_path(root, "F"), path)
+    numbered = RT.with_line_numbers(RT.read_lines(spark, path).drop("line"))
+    S.stage(S.staged_rows(numbered.where(F.col("line_number") <= RESUME_AFTER_LINE)),
+            ws.staging, key)
+    S.write_input(spark, ws.staging, key, S.PARTIAL + path)
+    R.append_event(spark, ws.runs, "changed_file/1", SUMMARY_CLOCK, status=L.STATUS_PROCESSING)
+    fs.delete(spark, path)
+    J.deliver(spark, bridge.delivery_path(root, "O"), path)
+    run_import(spark, path, ws, run_id="changed_file/1", clock=lambda: SUMMARY_CLOCK)
+    return P.read_published(spark, ws.published, "debtors").select(*Q.DEBTOR_COLUMNS)
+
+
 def _imported(spark, sf_dir, name):
     ws = fresh_workspace(spark, name)
     run_import(spark, registry(spark, sf_dir), ws, run_id=SUMMARY_RUN_ID,
@@ -485,10 +514,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "active_runs": q_active_runs,
     "run_summary": q_run_summary,
     "staging_retention": q_staging_retention,
+    "retention_odd_ids": q_retention_odd_ids,
     "latest_file_wins": q_latest_file_wins,
     "publish_out_of_order": q_publish_out_of_order,
     "rerun_other_file": q_rerun_other_file,
     "import_resume": q_import_resume,
+    "resume_changed_file": q_resume_changed_file,
     "run_log_written": q_run_log_written,
     "completion_event": q_completion_event,
     "load_timestamp": q_load_timestamp,

@@ -140,8 +140,7 @@ def import_lines(spark: SparkSession, lines: Callable[[], DataFrame], ws: Worksp
         whole = S.made_from(spark, ws.staging, slug)
         if S.exists(spark, ws.staging, slug) and S.same_input(whole, source, print_):
             counts = line_counts(S.staged(spark, ws.staging, slug))
-        elif inputs and S.exists(spark, ws.staging, slug) and S.partial_of(
-                spark, ws.staging, slug) == inputs[0]:
+        elif inputs and S.is_partial_of(spark, ws.staging, slug, source):
             with job_description(spark, f"ledgerline import {slug}: resume staging"):
                 S.load_with_resume(spark, inputs[0], ws.staging, slug)
                 S.write_input(spark, ws.staging, slug, source, print_)

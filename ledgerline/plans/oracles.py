@@ -230,6 +230,14 @@ FROM st LEFT JOIN runs r ON st.slug = r.slug
 WHERE r.status IS NULL
    OR (r.status IN ('completed', 'failed')
        AND r.updated_at <= TIMESTAMP '{D.RETENTION_AS_OF}' - INTERVAL 24 HOUR)""",
+        "retention_odd_ids": _RUN_EVENTS + f"""
+SELECT replace(replace(replace(replace(replace(replace(
+         'imp_' || replace(run_id, '-', './ *~') || 'é',
+         '/', '%2F'), ' ', '+'), '*', '%2A'), '~', '%7E'), 'é', '%C3%A9'), ',', '%2C') AS slug,
+       'expired' AS reason
+FROM st WHERE status IN ('completed', 'failed')
+  AND updated_at <= TIMESTAMP '{D.EVENTS_AS_OF}' - INTERVAL 24 HOUR""",
+        "resume_changed_file": _with("SELECT * FROM odebtors_o"),
         "latest_file_wins": _with("SELECT * FROM odebtors_o"),
         "publish_out_of_order": _with("SELECT * FROM odebtors_o"),
         "rerun_other_file": _with("SELECT * FROM odebtors_o"),

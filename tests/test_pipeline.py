@@ -161,6 +161,46 @@ def test_import_resumes_a_partial_staging(spark, write_file, workspace):
     assert R.run_state(R.read_events(spark, workspace.runs)).first().last_loaded_line == 3
 
 
+def test_resume_of_a_replaced_file_starts_clean(spark, write_file, workspace):
+    path = write_file([make_line(ident=f"2000000000{i}") for i in range(4)])
+    run_id = "my_run/1.x"
+    lines = RT.with_line_numbers(RT.read_lines(spark, path).drop("line"))
+    S.stage(S.staged_rows(lines.where("line_number <= 2")), workspace.staging, S.run_key(run_id))
+    S.write_input(spark, workspace.staging, S.run_key(run_id), S.PARTIAL + path)
+    R.append_event(spark, workspace.runs, run_id, datetime(2026, 1, 1), status="processing")
+    with open(path, "w") as f:
+        f.write("".join(make_line(ident=f"3000000000{i}") + "\n" for i in range(4)))
+    res = run_import(spark, path, workspace, run_id=run_id)
+    assert res.counts["valid"] == 4
+    d, _ = P.published_pair(spark, workspace.published)
+    assert sorted(r.identification_number for r in d.collect()) == [f"3000000000{i}" for i in range(4)]
+
+
+ODD_IDS = ["my_run.1", "a/b", "~x y", "50%", "100*", "e+f", "ñandú", "a_b", "a.b", "%5f", "..", "a=b,c"]
+
+
+def test_run_keys_agree_and_differ(spark):
+    from ledgerline.functions import exprs as X
+    df = spark.createDataFrame([(i,) for i in ODD_IDS], "run_id string")
+    got = {r.run_id: r.k for r in df.select("run_id", X.run_key("run_id").alias("k")).collect()}
+    assert got == {i: S.run_key(i) for i in ODD_IDS}
+    assert len(set(got.values())) == len(ODD_IDS)
+    assert not any(set("/*?{}[] ") & set(k) for k in got.values())
+
+
+def test_retention_keeps_running_imports_of_any_id(spark, write_file, workspace):
+    path, now = write_file([make_line()]), datetime(2026, 6, 8, 12)
+    for i in ODD_IDS:
+        S.stage(S.staged_rows(RT.read_lines(spark, path)), workspace.staging, S.run_key(i))
+        R.append_event(spark, workspace.runs, i, now - timedelta(days=9),
+                       status="processing" if i != "a_b" else "failed")
+    S.stage(S.staged_rows(RT.read_lines(spark, path)), workspace.staging, "nobody")
+    states = R.run_state(R.read_events(spark, workspace.runs), ["status"])
+    removed = S.gc_staging(spark, workspace.staging, states, now)
+    assert sorted(removed) == ["a_b", "nobody"]
+    assert all(S.exists(spark, workspace.staging, S.run_key(i)) for i in ODD_IDS if i != "a_b")
+
+
 def test_overflowing_amount_is_a_parse_error(spark, write_file, workspace):
     path = write_file([make_line(), make_line(loans="9999999999e9"),
                        make_line(rest=["000000000000"] * 6 + ["        1e17"])])
