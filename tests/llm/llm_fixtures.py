@@ -46,6 +46,8 @@ def write_tables(folder, texts, first=10_000, base=True):
     pq.write_table(table, f"{folder}/documents.parquet")
     pq.write_table(pq.read_table(f"{SMALL}/labels.parquet") if base else
                    pq.read_table(f"{SMALL}/labels.parquet").slice(0, 0), f"{folder}/labels.parquet")
+    vectors = pq.read_table(f"{SMALL}/embeddings.parquet")
+    pq.write_table(vectors if base else vectors.slice(0, 0), f"{folder}/embeddings.parquet")
     return str(folder)
 
 
