@@ -304,17 +304,19 @@ def _located(units: DataFrame, pivots: dict) -> DataFrame:
 
 
 # -------------------------------------------------------------------- search
-def _met(forest: Forest, asked: DataFrame, k: int, factor: float) -> DataFrame:
-    """Search the shards that queries were sent to.  ``asked``: query_id, unit,
-    floor (score to reach, or null), cell, part."""
-    asked = saved(asked, forest.folder, f"asked-{_next(forest)}")
-    blocks = asked.groupBy("cell", "part").agg(
+def _met(forest: Forest, queries: DataFrame, sent: DataFrame, k: int,
+         factor: float) -> DataFrame:
+    """Search the shards that queries were sent to.  ``queries``: query_id, unit,
+    floor (score to reach, or null); ``sent``: a written table of query_id, cell,
+    part.  Vectors are put to the pairs on their way to the shards only."""
+    blocks = sent.groupBy("cell", "part").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK_QUERIES))).cast("int").alias("blocks"))
     blocks = saved(blocks, forest.folder, f"blocks-{_next(forest)}")
     points = forest.points.join(blocks, ["cell", "part"]).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    asked = asked.join(blocks, ["cell", "part"]).withColumn(
-        "block", F.pmod(F.xxhash64("query_id", F.lit(3)), F.col("blocks")).cast("int"))
+    asked = sent.join(blocks, ["cell", "part"]).withColumn(
+        "block", F.pmod(F.xxhash64("query_id", F.lit(3)), F.col("blocks")).cast("int")).join(
+        queries.select("query_id", "unit", "floor"), "query_id")
     keys = ["cell", "part", "block"]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -391,18 +393,18 @@ def search(forest: Forest, queries: DataFrame, k: int, factor: float = 1.0) -> D
     home = forest.shards.select("cell", "part", "parts")
     sent = queries.join(home, "cell").where(
         F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int") == F.col("part")).select(
-        "query_id", "unit", F.lit(None).cast("double").alias("floor"), "cell", "part")
+        "query_id", "cell", "part")
     sent = saved(sent, forest.folder, f"home-{_next(forest)}")
-    first = saved(_met(forest, sent, k, factor), forest.folder, f"first-{_next(forest)}")
+    first = _met(forest, queries.withColumn("floor", F.lit(None).cast("double")), sent, k, factor)
+    first = saved(first, forest.folder, f"first-{_next(forest)}")
     floors = first.groupBy("query_id").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
     asking = saved(queries.join(floors, "query_id", "left"), forest.folder,
                    f"asking-{_next(forest)}")
     visited = _reachable(forest, asking, factor).join(home, "cell").join(
-        sent.select("query_id", "cell", "part"), ["query_id", "cell", "part"], "left_anti")
-    rest = visited.join(asking.select("query_id", "unit", "floor"), "query_id").select(
-        "query_id", "unit", "floor", "cell", "part")
-    found = first.unionByName(_met(forest, rest, k, factor))
+        sent, ["query_id", "cell", "part"], "left_anti").select("query_id", "cell", "part")
+    rest = saved(visited, forest.folder, f"rest-{_next(forest)}")
+    found = first.unionByName(_met(forest, asking, rest, k, factor))
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
