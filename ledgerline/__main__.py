@@ -44,6 +44,7 @@ def parser() -> argparse.ArgumentParser:
     imp = sub.add_parser("import", help="import a registry file or folder")
     imp.add_argument("path")
     imp.add_argument("--run-id")
+    imp.add_argument("--part-bytes", type=int, help="commit after every so many bytes of text")
     imp.add_argument("--force", action="store_true",
                      help="import even if another run is pending or processing")
     sub.add_parser("debtor").add_argument("cuit")
@@ -71,7 +72,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
                 print(json.dumps({"error": "an import is already active",
                                   "run_id": blocking[0].run_id}), file=out)
                 return 3
-            res = run_import(spark, args.path, ws, run_id=args.run_id)
+            res = run_import(spark, args.path, ws, run_id=args.run_id,
+                             part_bytes=args.part_bytes)
             _print(res.summary, out)
             return 0
         if args.cmd == "runs":

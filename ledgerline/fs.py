@@ -51,23 +51,28 @@ def modified_ms(spark: SparkSession, path: str) -> int:
     return int(fs.getFileStatus(p).getModificationTime()) if fs.exists(p) else 0
 
 
+def files_below(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, length, modification time) of every file below a path or glob;
+    files of hidden names are left out, as readers do."""
+    fs, p = _fs(spark, path)
+    found, stack = [], list(fs.globStatus(p) or [])
+    while stack:
+        status = stack.pop()
+        if str(status.getPath().getName()).startswith(("_", ".")):
+            continue
+        if status.isDirectory():
+            stack.extend(fs.listStatus(status.getPath()))
+        else:
+            found.append((str(status.getPath()), int(status.getLen()),
+                          int(status.getModificationTime())))
+    return found
+
+
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """Identity of a set of inputs: path, length and modification time of every
-    file below them (files of hidden names left out, as readers do); empty when
-    there is no file."""
-    found = []
-    for path in paths:
-        fs, p = _fs(spark, path)
-        stack = [s for s in (fs.globStatus(p) or [])]
-        while stack:
-            status = stack.pop()
-            name = str(status.getPath().getName())
-            if name.startswith(("_", ".")):
-                continue
-            if status.isDirectory():
-                stack.extend(fs.listStatus(status.getPath()))
-            else:
-                found.append(f"{status.getPath()}|{status.getLen()}|{status.getModificationTime()}")
+    file below them; empty when there is no file."""
+    found = [f"{name}|{length}|{at}" for path in paths
+             for name, length, at in files_below(spark, path)]
     return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest() if found else ""
 
 

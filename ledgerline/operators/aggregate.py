@@ -33,6 +33,35 @@ def entities(staged: DataFrame) -> DataFrame:
     )
 
 
+# Partial aggregates of a part of the input.  Sums are kept wide: only the sum
+# over all parts has to fit the published type.
+DEBTOR_PARTIAL = "identification_number string, worst int, total decimal(38,2)"
+ENTITY_PARTIAL = "entity_code string, total decimal(38,2)"
+
+
+def debtor_partials(staged: DataFrame) -> DataFrame:
+    return staged.groupBy("identification_number").agg(
+        F.max(X.severity("situation")).alias("worst"),
+        F.sum("loans").cast("decimal(38,2)").alias("total"))
+
+
+def entity_partials(staged: DataFrame) -> DataFrame:
+    return staged.groupBy("entity_code").agg(
+        F.sum("loans").cast("decimal(38,2)").alias("total"))
+
+
+def merge_debtors(partials: DataFrame) -> DataFrame:
+    """The ``debtors`` of all rows, from the partials of disjoint parts."""
+    return partials.groupBy("identification_number").agg(
+        X.code_of_rank(F.max("worst")).alias("max_situation"),
+        F.sum("total").cast(L.MONEY).alias("total_loan_amount"))
+
+
+def merge_entities(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("entity_code").agg(
+        F.sum("total").cast(L.MONEY).alias("total_loan_amount"))
+
+
 def with_loaded_at(df: DataFrame, loaded_at) -> DataFrame:
     """One load timestamp literal per run (not a per-row clock)."""
     return df.withColumn("loaded_at", X.instant(loaded_at))

@@ -66,8 +66,9 @@ def made_from(spark: SparkSession, staging_root: str, key: str) -> str | None:
     return fs.read_text(spark, f"{staging_root}/input-{key}")
 
 
-def staged_rows(lines: DataFrame) -> DataFrame:
-    """Classify lines into the staged shape (one pass, no shuffle).
+def staged_rows(lines: DataFrame, *more: str) -> DataFrame:
+    """Classify lines into the staged shape (one pass, no shuffle), keeping the
+    columns ``more``.
 
     ``lines`` has ``line`` and the position columns; ``line_number`` is kept
     when present (resume mode) and NULL otherwise.  ``kind`` is computed
@@ -86,6 +87,7 @@ def staged_rows(lines: DataFrame) -> DataFrame:
         F.when(valid, C.field("loans")).alias("loans"),
         C.reject_detail(F.col("kind")).alias("detail"),
         "kind",
+        *more,
     )
 
 
@@ -113,27 +115,41 @@ _STAGED_SCHEMA = T.StructType([
 def staged(spark: SparkSession, staging_root: str, slug: str,
            kinds: list[str] | None = None) -> DataFrame:
     """Read a run's staging; ``kinds`` filters lines (pushed to the scan)."""
-    df = spark.read.schema(_STAGED_SCHEMA).parquet(run_dir(staging_root, slug))
+    df = spark.read.schema(_STAGED_SCHEMA).parquet(run_dir(staging_root, slug)).select(
+        *STAGED_COLUMNS)  # a staging made in parts has their number as well
     if kinds is not None:
         df = df.where(F.col("kind").isin(kinds))
     return df
 
 
-def staged_rejects(spark: SparkSession, staging_root: str, slug: str) -> DataFrame:
+def split_table(spark: SparkSession, staging_root: str, slug: str) -> DataFrame:
+    """The staging's splits (one row each) with the place of their last valid
+    line; materialized, as both the reject log and the checkpoints use it."""
+    return RT.split_offsets(
+        staged(spark, staging_root, slug).select(*RT.POSITION_COLUMNS, "line_number", "kind"),
+        F.max(F.when(F.col("kind") == L.KIND_VALID, F.col("row_id"))).alias("last_valid"),
+        F.max(F.when(F.col("kind") == L.KIND_VALID, F.col("line_number"))).alias("last_number"),
+        F.count("line_number").alias("n_numbered"),
+    ).checkpoint(eager=True)
+
+
+def staged_rejects(spark: SparkSession, staging_root: str, slug: str,
+                   splits: DataFrame | None = None) -> DataFrame:
     """Rejects of a staged run with line numbers derived from the staged
     positions (the raw text is not read again)."""
-    every = staged(spark, staging_root, slug)
+    splits = split_table(spark, staging_root, slug) if splits is None else splits
     rej = staged(spark, staging_root, slug, L.REJECT_REASONS)
-    if every.where("line_number IS NOT NULL").limit(1).count():
+    if not splits.where("n_numbered > 0").isEmpty():
         # resumed: numbered when staged (positions of two scans don't mix)
         return rej.select("source_file", "line_number", F.col("kind").alias("reason"), "detail")
-    numbered = RT.with_line_numbers(every, rej.drop("line_number"))
+    numbered = RT.with_line_numbers(None, rej.drop("line_number"), splits=splits)
     return numbered.select("source_file", "line_number", F.col("kind").alias("reason"), "detail")
 
 
 def drop_staging(spark: SparkSession, staging_root: str, slug: str) -> None:
-    fs.delete(spark, f"{staging_root}/input-{slug}")
-    fs.delete(spark, run_dir(staging_root, slug))
+    """The note goes first: without it nothing else of a staging is believed."""
+    for name in (f"input-{slug}", f"manifest-{slug}", f"partials-{slug}", f"run={slug}"):
+        fs.delete(spark, f"{staging_root}/{name}")
 
 
 def exists(spark: SparkSession, staging_root: str, slug: str) -> bool:
@@ -184,16 +200,12 @@ def is_partial_of(spark: SparkSession, staging_root: str, key: str, path: str) -
     return note == f"{PARTIAL}{path}\n{fs.fingerprint(spark, [path])}"
 
 
-def last_loaded_line(spark: SparkSession, staging_root: str, key: str) -> int | None:
-    """Largest line number of a staged valid line in its file (line numbers
-    from the staged positions; a resumed staging has them as a column)."""
-    valid = staged(spark, staging_root, key, [L.KIND_VALID])
-    known = valid.agg(F.max("line_number").alias("n")).first()["n"]
-    if known is None:
-        numbered = RT.with_line_numbers(staged(spark, staging_root, key),
-                                        valid.drop("line_number"))
-        known = numbered.agg(F.max("line_number").alias("n")).first()["n"]
-    return known
+def last_loaded_lines(splits: DataFrame) -> DataFrame:
+    """Per file the largest line number of a staged valid line (null without
+    one), from the split table alone."""
+    return splits.groupBy("source_file").agg(F.max(F.coalesce(
+        "last_number", F.col("lines_before") + F.col("last_valid") - F.col("first_row_id") + 1))
+        .alias("last_loaded_line"))
 
 
 def load_with_resume(spark: SparkSession, path: str, staging_root: str, slug: str,

@@ -21,6 +21,7 @@ from ledgerline import layout as L
 from ledgerline.functions import exprs as X
 from ledgerline.operators import aggregate as A
 from ledgerline.operators import classify as C
+from ledgerline.operators import parts as PT
 from ledgerline.operators import publish as P
 from ledgerline.operators import reads as Q
 from ledgerline.operators import runs as R
@@ -28,6 +29,7 @@ from ledgerline.operators import staging as S
 from ledgerline.plans import bridge
 from ledgerline.plans.import_job import Workspace, run_import
 from ledgerline.session import work_root
+from ledgerline.sources import byte_ranges as BR
 from ledgerline.sources import registry_text as RT
 from ledgerline.streaming import ingest as J
 
@@ -39,6 +41,9 @@ PAGE_SITUATION = "03"
 PAGE = 2
 PER_PAGE = 50
 RESUME_AFTER_LINE = 3000
+SPLIT_BYTES = 100_000
+#: parts into which the loads that stop and go on inside files cut their input
+PARTS = 5
 SUMMARY_RUN_ID = "aabbccdd-1122-3344-5566-778899aabbcc"
 SUMMARY_CLOCK = datetime(2026, 6, 8, 12, 0, 0)
 RETENTION_AS_OF = "1998-06-01 00:00:00"
@@ -148,6 +153,12 @@ def q_line_numbers(spark, sf_dir):
     return RT.with_line_numbers(lines(spark, sf_dir)).select("line_number", "line")
 
 
+def q_split_numbers(spark, sf_dir):
+    """Line numbers over files of many splits, with the split each line is in."""
+    many = RT.read_lines(spark, registry(spark, sf_dir), split_bytes=SPLIT_BYTES)
+    return RT.with_line_numbers(many).select("split_start", "line_number", "line")
+
+
 def q_skip_blank_comment(spark, sf_dir):
     k = C.line_kind()
     return lines(spark, sf_dir).agg(
@@ -408,6 +419,64 @@ def q_resume_changed_file(spark, sf_dir):
     return P.read_published(spark, ws.published, "debtors").select(*Q.DEBTOR_COLUMNS)
 
 
+def part_sizes(spark, path) -> dict[str, int]:
+    """Bytes of a part and of a range, for ``PARTS`` parts of several ranges."""
+    part = sum(length for _, length in BR.files_of(spark, path)) // PARTS + 1
+    return {"part_bytes": part, "range_bytes": max(1, min(BR.RANGE_BYTES, part // 8))}
+
+
+def q_import_in_parts(spark, sf_dir):
+    """A load stopped inside a file after two of five parts, then the import of
+    the same run: it reads the other ranges and merges the parts' aggregates."""
+    ws = fresh_workspace(spark, "import_in_parts")
+    path = registry(spark, sf_dir)
+    sizes = part_sizes(spark, path)
+    key = S.run_key(SUMMARY_RUN_ID)
+    R.append_event(spark, ws.runs, SUMMARY_RUN_ID, SUMMARY_CLOCK, status=L.STATUS_PROCESSING)
+    before = PT.load(spark, path, ws.staging, key, **sizes, max_parts=2)
+    after = PT.load(spark, path, ws.staging, key, **sizes)
+    if {(r.path, r.start) for r in before} & {(r.path, r.start) for r in after}:
+        raise AssertionError("a committed range was read again")
+    run_import(spark, path, ws, run_id=SUMMARY_RUN_ID, clock=lambda: SUMMARY_CLOCK,
+               part_bytes=sizes["part_bytes"], range_bytes=sizes["range_bytes"])
+    return P.read_published(spark, ws.published, "debtors").select(*Q.DEBTOR_COLUMNS)
+
+
+def q_parts_changed_file(spark, sf_dir):
+    """A load of F in parts cut short, its files replaced by O's, then the rest of
+    the run: O's debtors only, from the parts' aggregates."""
+    ws = fresh_workspace(spark, "parts_changed_file")
+    root, path = registry(spark, sf_dir), f"{ws.root}/arriving"
+    J.deliver(spark, bridge.delivery_path(root, "F"), path)
+    sizes = part_sizes(spark, path)
+    PT.load(spark, path, ws.staging, "changed", **sizes, max_parts=3)
+    fs.delete(spark, path)
+    J.deliver(spark, bridge.delivery_path(root, "O"), path)
+    PT.load(spark, path, ws.staging, "changed", **sizes)
+    return PT.merged(spark, ws.staging, "changed")[0]
+
+
+def q_staged_rejects(spark, sf_dir):
+    """The reject log as the import writes it: from the staged positions, of a
+    staging made in parts."""
+    ws = fresh_workspace(spark, "staged_rejects")
+    path = registry(spark, sf_dir)
+    PT.load(spark, path, ws.staging, "run1", **part_sizes(spark, path))
+    return S.staged_rejects(spark, ws.staging, "run1").select("line_number", "reason", "detail")
+
+
+def q_stream_within_file(spark, sf_dir):
+    """A stream over files cut into five batches, stopped after the second and
+    again after the third, then run to the end: as one shot."""
+    ws = fresh_workspace(spark, "stream_within_file")
+    path = registry(spark, sf_dir)
+    sizes = part_sizes(spark, path)
+    for batches in (2, 1, None):
+        J.stream_within_files(spark, path, f"{ws.root}/sink", f"{ws.root}/checkpoint",
+                              sizes["part_bytes"], sizes["range_bytes"], max_batches=batches)
+    return spark.read.parquet(f"{ws.root}/sink").select(*STAGING_COLUMNS)
+
+
 def _imported(spark, sf_dir, name):
     ws = fresh_workspace(spark, name)
     run_import(spark, registry(spark, sf_dir), ws, run_id=SUMMARY_RUN_ID,
@@ -490,6 +559,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_records": q_parse_records,
     "decode_latin1": q_decode_latin1,
     "line_numbers": q_line_numbers,
+    "split_numbers": q_split_numbers,
     "skip_blank_comment": q_skip_blank_comment,
     "normalize_situation": q_normalize_situation,
     "parse_amount": q_parse_amount,
@@ -520,6 +590,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rerun_other_file": q_rerun_other_file,
     "import_resume": q_import_resume,
     "resume_changed_file": q_resume_changed_file,
+    "import_in_parts": q_import_in_parts,
+    "parts_changed_file": q_parts_changed_file,
+    "staged_rejects": q_staged_rejects,
+    "stream_within_file": q_stream_within_file,
     "run_log_written": q_run_log_written,
     "completion_event": q_completion_event,
     "load_timestamp": q_load_timestamp,

@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 
 from ledgerline import layout as L
 from ledgerline.operators import aggregate as A
+from ledgerline.operators import parts as PT
 from ledgerline.operators import publish as P
 from ledgerline.operators import runs as R
 from ledgerline.operators import staging as S
 from ledgerline import fs
 from ledgerline.session import job_description, workspace_root
+from ledgerline.sources import byte_ranges as BR
 from ledgerline.sources import registry_text as RT
 
 
@@ -103,16 +105,23 @@ def stage_and_count(rows: DataFrame, ws: Workspace, slug: str) -> dict:
 
 def run_import(spark: SparkSession, path: str, ws: Workspace, run_id: str | None = None,
                clock: Callable[[], datetime] = _utc_now,
-               filename: str | None = None) -> ImportResult:
-    """Import the registry file(s) at ``path`` (file, folder or glob)."""
+               filename: str | None = None, part_bytes: int | None = None,
+               range_bytes: int = BR.RANGE_BYTES) -> ImportResult:
+    """Import the registry file(s) at ``path`` (file, folder or glob).
+
+    With ``part_bytes`` the load commits after every so many bytes of text, inside
+    files too, and a retry of the same run goes on from there (``parts``)."""
     return import_lines(spark, lambda: RT.read_lines(spark, path), ws, filename or path,
-                        run_id=run_id, clock=clock, inputs=[path])
+                        run_id=run_id, clock=clock, inputs=[path], part_bytes=part_bytes,
+                        range_bytes=range_bytes)
 
 
 def import_lines(spark: SparkSession, lines: Callable[[], DataFrame], ws: Workspace,
                  filename: str, run_id: str | None = None,
                  clock: Callable[[], datetime] = _utc_now,
-                 inputs: list[str] | None = None) -> ImportResult:
+                 inputs: list[str] | None = None,
+                 part_bytes: int | None = None,
+                 range_bytes: int = BR.RANGE_BYTES) -> ImportResult:
     """Import lines shaped like ``read_lines`` (``source_file, split_start,
     row_id, raw, n_chars``): a batch read or a streaming micro-batch.
     ``lines`` is called once, inside the run, so that a failure while
@@ -138,7 +147,12 @@ def import_lines(spark: SparkSession, lines: Callable[[], DataFrame], ws: Worksp
         source = "\n".join(inputs or [str(uuid.uuid4())])
         print_ = fs.fingerprint(spark, inputs or [])
         whole = S.made_from(spark, ws.staging, slug)
-        if S.exists(spark, ws.staging, slug) and S.same_input(whole, source, print_):
+        if part_bytes:
+            with job_description(spark, f"ledgerline import {slug}: stage in parts"):
+                PT.load(spark, inputs[0], ws.staging, slug, part_bytes,
+                        min(part_bytes, range_bytes))
+                counts = line_counts(S.staged(spark, ws.staging, slug))
+        elif S.exists(spark, ws.staging, slug) and S.same_input(whole, source, print_):
             counts = line_counts(S.staged(spark, ws.staging, slug))
         elif inputs and S.is_partial_of(spark, ws.staging, slug, source):
             with job_description(spark, f"ledgerline import {slug}: resume staging"):
@@ -150,20 +164,26 @@ def import_lines(spark: SparkSession, lines: Callable[[], DataFrame], ws: Worksp
             with job_description(spark, f"ledgerline import {slug}: scan, classify, stage"):
                 counts = stage_and_count(S.staged_rows(lines()), ws, slug)
             S.write_input(spark, ws.staging, slug, source, print_)
-        last_line = S.last_loaded_line(spark, ws.staging, slug)
+        splits = S.split_table(spark, ws.staging, slug)
+        loaded = S.last_loaded_lines(splits)
+        last_line = loaded.agg(F.max("last_loaded_line").alias("n")).first()["n"]
 
         # 2. aggregate and publish both tables as one version
         with job_description(spark, f"ledgerline import {slug}: aggregate and publish"):
-            valid = S.staged(spark, ws.staging, slug, [L.KIND_VALID])
             loaded_at = clock()
+            if part_bytes:
+                debtors, entities = PT.merged(spark, ws.staging, slug)
+            else:
+                valid = S.staged(spark, ws.staging, slug, [L.KIND_VALID])
+                debtors, entities = A.debtors(valid), A.entities(valid)
             version = P.publish(spark, ws.published, {
-                "debtors": A.with_loaded_at(A.debtors(valid), loaded_at),
-                "entities": A.with_loaded_at(A.entities(valid), loaded_at),
+                "debtors": A.with_loaded_at(debtors, loaded_at),
+                "entities": A.with_loaded_at(entities, loaded_at),
             })
 
         # 3. reject log with line numbers, then the staging is no longer needed
         with job_description(spark, f"ledgerline import {slug}: reject log"):
-            (S.staged_rejects(spark, ws.staging, slug)
+            (S.staged_rejects(spark, ws.staging, slug, splits)
              .withColumn("run_id", F.lit(run_id))
              .write.mode("overwrite").parquet(f"{ws.rejects}/run={slug}"))
         S.drop_staging(spark, ws.staging, slug)

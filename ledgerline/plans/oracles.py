@@ -101,6 +101,13 @@ st AS (
 )
 """
 
+_REJECTS = """
+SELECT line_number, e_kind AS reason,
+       CASE e_kind WHEN 'short_line' THEN CAST(length(text) AS VARCHAR)
+                   WHEN 'id_type' THEN r_idtype WHEN 'parse_error' THEN r_cgb
+                   ELSE e_situation END AS detail
+FROM dnum WHERE e_kind <> 'valid'"""
+
 _TS = "'%Y-%m-%d %H:%M:%S.%f'"
 
 
@@ -129,6 +136,15 @@ FROM (SELECT entity_code, count(*) AS n FROM oentities GROUP BY 1) t"""),
                                "AS n_chars, count(*) AS n_lines FROM data GROUP BY 1, 2"),
         "line_numbers": _with("SELECT CAST(line_number AS BIGINT) AS line_number, text AS line "
                               "FROM numbered"),
+        # a line is in the split that holds the byte before its first one
+        "split_numbers": _with(f"""
+SELECT CAST(greatest(byte_at - 1, 0) // {D.SPLIT_BYTES} * {D.SPLIT_BYTES} AS BIGINT) AS split_start,
+       CAST(line_number AS BIGINT) AS line_number, text AS line
+FROM (SELECT line_number, text,
+             coalesce(sum(length(text) + 1 + CASE WHEN is_crlf THEN 1 ELSE 0 END)
+               OVER (PARTITION BY delivery, file_no ORDER BY line_number
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS byte_at
+      FROM numbered) t"""),
         "skip_blank_comment": _with("""
 SELECT count(*) AS n_lines,
        count(*) FILTER (WHERE sub = 1) AS n_blank,
@@ -147,12 +163,11 @@ SELECT field, raw, amount, count(*) AS n_lines FROM (
                               "count(*) AS n_lines FROM data WHERE NOT is_short GROUP BY 1, 2"),
         "reject_reasons": _with("SELECT e_kind AS reason, count(*) AS n_lines FROM data "
                                 "WHERE e_kind <> 'valid' GROUP BY 1"),
-        "reject_rows": _with("""
-SELECT line_number, e_kind AS reason,
-       CASE e_kind WHEN 'short_line' THEN CAST(length(text) AS VARCHAR)
-                   WHEN 'id_type' THEN r_idtype WHEN 'parse_error' THEN r_cgb
-                   ELSE e_situation END AS detail
-FROM dnum WHERE e_kind <> 'valid'"""),
+        "reject_rows": _with(_REJECTS),
+        "staged_rejects": _with(_REJECTS),
+        "import_in_parts": _with("SELECT * FROM odebtors"),
+        "parts_changed_file": _with("SELECT * FROM odebtors_o"),
+        "stream_within_file": _with(f"SELECT {staged_cols} FROM valid"),
         "staging_rows": _with(f"SELECT {staged_cols}, line_number FROM dnum "
                               "WHERE e_kind = 'valid'"),
         "resume_append": _with(f"SELECT {staged_cols}, line_number FROM dnum "

@@ -6,8 +6,9 @@ only where text is needed (``line``, output fields).
 Line numbers restart per file and are computed without a global window:
 each input split reports ``(first row id, line count)``, a prefix sum over
 the (small) split table gives the lines before each split, and a join puts
-the offset back on every row.  The row ids are fixed by materializing the
-lines once (or by reading a staged copy), never by two scans of the text.
+the offset back on every row.  The text is never stored for it: it is scanned
+once for the split table and once for the rows, over the same splits, because
+``read_lines`` pins the split layout of what it reads.
 """
 
 from __future__ import annotations
@@ -37,67 +38,95 @@ def line_columns(value: Column) -> list[Column]:
     return [raw.alias("raw"), n_chars, line.alias("line")]
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+# Settings that decide how files are cut into splits and packed into tasks.
+_LAYOUT = ["spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"]
+_MIN_TASKS = "spark.sql.files.minPartitionNum"
+_pinned: dict[tuple, SparkSession] = {}
+
+
+def pinned_session(spark: SparkSession, split_bytes: int | None = None) -> SparkSession:
+    """A session of the same application whose split layout doesn't change.
+
+    Spark plans a scan with the settings of the session that made the relation,
+    and sizes small inputs by the cores present when a job is planned.  Here the
+    settings are copied and the number of tasks aimed at is fixed, so every job
+    over one relation cuts and packs its files alike.
+    """
+    values = [str(split_bytes)] if split_bytes else [spark.conf.get(_LAYOUT[0])]
+    values += [spark.conf.get(_LAYOUT[1]),
+               spark.conf.get(_MIN_TASKS, None) or str(spark.sparkContext.defaultParallelism)]
+    key = (spark.sparkContext.applicationId, *values)
+    if key not in _pinned:
+        session = spark.newSession()
+        for name, value in zip([*_LAYOUT, _MIN_TASKS], values):
+            session.conf.set(name, value)
+        _pinned[key] = session
+    return _pinned[key]
+
+
+def read_lines(spark: SparkSession, path: str | list[str],
+               split_bytes: int | None = None) -> DataFrame:
     """One row per physical line: ``source_file, split_start, row_id, raw,
     n_chars, line``.
 
     ``path`` is anything ``spark.read.text`` takes (a file, a folder, a glob,
     on any Hadoop file system).  Lines split on ``\\n`` only; a lone ``\\r``
-    stays inside a line.
+    stays inside a line.  The split layout is pinned (``split_bytes`` at most, by
+    default the session's), so ``split_start`` and ``row_id`` of a line are the
+    same in every job over the result.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    raw = spark.read.option("lineSep", "\n").text(paths)
-    return raw.select(
+    raw = pinned_session(spark, split_bytes).read.option("lineSep", "\n").text(paths)
+    rows = raw.select(
         F.col("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_block_start").alias("split_start"),
         F.monotonically_increasing_id().alias("row_id"),
         *line_columns(F.col("value")),
     )
+    # back into the caller's session: the optimizer drops the side without rows
+    none = spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name)
+                                   for f in rows.schema]).where(F.lit(False))
+    return none.union(rows)
 
 
-def split_offsets(lines: DataFrame) -> DataFrame:
-    """Per input split: the first row id and the number of lines before it in
-    its file.  One row per split, so its size is bounded by the file listing,
-    not by the data."""
+def split_offsets(lines: DataFrame, *more) -> DataFrame:
+    """Per input split: the first row id, the number of lines and the number of
+    lines before it in its file, and ``more`` aggregates.  One row per split, so
+    its size is bounded by the file listing, not by the data."""
     stats = lines.groupBy("source_file", "split_start").agg(
         F.min("row_id").alias("first_row_id"),
         F.count(F.lit(1)).alias("n_lines"),
+        *more,
     )
     before = Window.partitionBy("source_file").orderBy("split_start").rowsBetween(
         Window.unboundedPreceding, -1)
-    return stats.select(
-        "source_file",
-        "split_start",
-        "first_row_id",
-        "n_lines",
-        F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("lines_before"),
-    )
+    return stats.withColumn(
+        "lines_before", F.coalesce(F.sum("n_lines").over(before), F.lit(0)))
 
 
 def with_line_numbers(lines: DataFrame, rows: DataFrame | None = None, *,
+                      splits: DataFrame | None = None,
                       max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """Add ``line_number`` (1-based, per file, counting every physical line).
 
     ``lines`` holds every line of its files with the position columns of
     ``read_lines``.  ``rows`` (optional) are the rows to number, taken from
     an already materialized copy of ``lines``, such as the rejects of a
-    staging.
+    staging; ``splits`` its split table where the caller has it.
 
-    Row ids come from the scan's partition layout, and for small inputs
-    Spark sizes splits by the cores present when a job is planned. So
-    numbering must not span two scans of the raw text (an executor lost or
-    added in between could change the layout). Without ``rows``, ``lines``
-    is therefore checkpointed first: its row ids are fixed by one job. A
-    staged copy already has them fixed and is used as it is.  Every row's
-    place is checked against its split's range, so a row of another scan is
-    an error, never a wrong number.
+    Without ``rows`` the lines themselves are numbered, in two scans: one counts
+    lines per split, which reads the text but keeps only the split table, the
+    other numbers the rows.  Both see the splits that ``read_lines`` pinned.
+    Every row's place is checked against its split's range, so a row of another
+    layout is an error, never a wrong number.
 
     The split table is materialized once and measured; it is broadcast only
     when its bytes are within the bound.
     """
-    if rows is None:
-        lines = lines.checkpoint(eager=True)
-    offsets = split_offsets(lines.select(*POSITION_COLUMNS)).checkpoint(eager=True)
+    if splits is None:
+        splits = split_offsets(lines.select(*POSITION_COLUMNS)).checkpoint(eager=True)
+    offsets = splits.select("source_file", "split_start", "first_row_id", "n_lines",
+                            "lines_before")
     size = offsets.agg(F.sum(F.length("source_file") + F.lit(96))).first()[0] or 0
     side = F.broadcast(offsets) if size <= max_broadcast_bytes else offsets
     target = lines if rows is None else rows

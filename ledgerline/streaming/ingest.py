@@ -4,11 +4,14 @@
 its valid rows appended to a Parquet sink; the checkpoint records which
 files are done, so a rerun adds nothing and a new file adds only its rows.
 
+``stream_within_files`` (J1 inside a file): the same for long files, committed
+every so many bytes of text, so a stopped load goes on inside the file.
+
 ``stream_latest_delivery`` (J2): arriving files trigger the batch import (stage
 → aggregate → publish) of the newest complete delivery, a folder with a
 ``_SUCCESS``, so the newest delivery replaces the published tables.
 
-Both use ``trigger(availableNow=True)``: process what has arrived, then stop
+The first and last use ``trigger(availableNow=True)``: process what has arrived, then stop
 — the bounded, restartable form of the reference's file-at-a-time ingest.
 A file replaced under the same name is not re-read by the file source;
 each delivery must arrive under a new name.
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerline import fs
 from ledgerline.operators import classify as C
+from ledgerline.sources import byte_ranges as BR
 from ledgerline.sources.registry_text import line_columns
 
 TEXT_SCHEMA = "value string"
@@ -55,6 +59,30 @@ def stream_valid_rows(spark: SparkSession, landing: str, sink: str, checkpoint:
     q.awaitTermination()
 
 
+def stream_within_files(spark: SparkSession, path: str, sink: str, checkpoint: str,
+                        batch_bytes: int, range_bytes: int = BR.RANGE_BYTES,
+                        max_batches: int | None = None) -> None:
+    """J1 inside a file: append the valid rows of ``path``, with their range and
+    place, to ``sink``, committing after every ``batch_bytes`` of text.  A stream that
+    stopped goes on at the byte its last committed batch ended at; a batch that
+    was planned but not committed is done again, and the sink's own log keeps
+    it from being added twice.  ``max_batches`` stops after that many.
+
+    For few, long files that don't change while they are read; many files that
+    keep arriving are ``stream_valid_rows``'s case.
+    """
+    lines = BR.stream_ranges(spark, path, checkpoint, batch_bytes, range_bytes, max_batches)
+    rows = C.valid_records(lines, ["identification_number", "entity_code", "situation", "loans"])
+    q = (rows.select("source_file", "split_start", "row_id", "identification_number",
+                     "entity_code", "situation", "loans")
+         .writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", checkpoint).start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+
+
 def newest_complete(spark: SparkSession, landing: str) -> str | None:
     """Name of the delivery folder whose ``_SUCCESS`` is the newest (ties:
     larger name).  A folder without one is still arriving."""
