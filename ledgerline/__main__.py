@@ -86,12 +86,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
         elif args.cmd == "entity":
             found = _print(Q.entity_by_code(entities, args.code), out)
         elif args.cmd == "top":
-            _print(Q.top_debtors_ranked(debtors, args.n).orderBy("position"), out)
+            _print(Q.published_top(spark, ws.published, args.n).orderBy("position"), out)
             found = 1
         else:
-            _print(Q.page_meta(debtors, args.situation, args.page, args.per_page), out)
-            _print(Q.debtors_page(debtors, args.situation, args.page, args.per_page)
-                   .orderBy("position"), out)
+            asked = (spark, ws.published, args.situation, args.page, args.per_page)
+            _print(Q.published_page_meta(*asked), out)
+            _print(Q.published_page(*asked).orderBy("position"), out)
             found = 1
         return 0 if found else 2  # 2: not found
     except ValueError as exc:  # argument checks

@@ -13,12 +13,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline import layout as L
+from ledgerline.operators import publish as P
 
-# Pages ending within this many rows use ORDER BY + OFFSET/LIMIT (a bounded
+# Tables that weren't published (no rank index): pages ending within this many rows use ORDER BY + OFFSET/LIMIT (a bounded
 # per-task heap merged in one task); deeper pages number rows in a sorted
 # copy, so no task ever holds more than its own share.
 DEEP_PAGE_ROWS = 10_000
@@ -170,6 +171,10 @@ def page_meta(debtors: DataFrame, situation: str | None = None, page: int | None
     per_page = check_per_page(per_page)
     page = check_page(page)
     total = debtors_filtered(debtors, situation).agg(F.count(F.lit(1)).alias("total"))
+    return _meta(total, page, per_page)
+
+
+def _meta(total: DataFrame, page: int, per_page: int) -> DataFrame:
     return total.select(
         "total",
         F.lit(per_page).alias("per_page"),
@@ -177,3 +182,63 @@ def page_meta(debtors: DataFrame, situation: str | None = None, page: int | None
         F.greatest(F.ceil(F.col("total") / F.lit(per_page)), F.lit(1)).cast("long")
         .alias("last_page"),
     )
+
+
+# -- published tables: layouts and rank index ---------------------------------
+# The same results as above, reading only the files that can hold them.
+
+def _files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], L.DEBTORS_SCHEMA)
+    return spark.read.schema(L.DEBTORS_SCHEMA).parquet(*paths)
+
+
+def published_page(spark: SparkSession, root: str, situation: str | None = None,
+                   page: int | None = None, per_page: int | None = None,
+                   version: str | None = None) -> DataFrame:
+    """``debtors_page`` of a published version, at any depth: the rank index names
+    the files that hold the page, and the rows before the first of them.  The
+    files of a layout are consecutive ranges, so the page lies in the sorted rows
+    of one file or of two (more only where files are smaller than a page)."""
+    situation, per_page, page = check_situation(situation), check_per_page(per_page), check_page(page)
+    version = version or P.current_version(spark, root)
+    skip = (page - 1) * per_page
+    layout = P.BY_KEY if situation is None else P.BY_SITUATION
+    found = P.files_holding(spark, root, version, layout, skip, per_page, situation) if version else []
+    rows = debtors_filtered(_files(spark, [path for path, _ in found]), situation)
+    before = found[0][1] if found else 0
+    return with_position(
+        rows.orderBy("identification_number").offset(skip - before if found else 0).limit(per_page),
+        [F.col("identification_number")]).withColumn(
+        "position", (F.col("position") + F.lit(skip)).cast("long"))
+
+
+def published_page_meta(spark: SparkSession, root: str, situation: str | None = None,
+                        page: int | None = None, per_page: int | None = None,
+                        version: str | None = None) -> DataFrame:
+    """``page_meta`` from the rank index alone."""
+    situation, per_page, page = check_situation(situation), check_per_page(per_page), check_page(page)
+    version = version or P.current_version(spark, root)
+    total = P.count_of(spark, root, version, situation) if version else \
+        spark.range(1).select(F.lit(0).cast("long").alias("total"))
+    return _meta(total, page, per_page)
+
+
+def published_top(spark: SparkSession, root: str, n: int, version: str | None = None) -> DataFrame:
+    """``top_debtors_ranked`` of a published version: files are ordered by total, so
+    the walk ends at the file that completes ``n`` rows; no later one can hold a
+    better row."""
+    n = check_top_n(n)
+    version = version or P.current_version(spark, root)
+    found = P.files_holding(spark, root, version, P.BY_TOTAL, 0, n) if version else []
+    return top_debtors_ranked(_files(spark, [path for path, _ in found]), n)
+
+
+def published_by_situation(spark: SparkSession, root: str, situation: str,
+                           version: str | None = None) -> DataFrame:
+    """``debtors_filtered`` by a situation, from the files that hold it."""
+    situation = check_situation(situation)
+    version = version or P.current_version(spark, root)
+    found = P.files_holding(spark, root, version, P.BY_SITUATION, 0, 1 << 62, situation) \
+        if version else []
+    return debtors_filtered(_files(spark, [path for path, _ in found]), situation)

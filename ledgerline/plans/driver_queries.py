@@ -40,6 +40,7 @@ TOP_N = 10
 PAGE_SITUATION = "03"
 PAGE = 2
 PER_PAGE = 50
+INDEXED_FILE_ROWS = 100
 RESUME_AFTER_LINE = 3000
 SPLIT_BYTES = 100_000
 #: parts into which the loads that stop and go on inside files cut their input
@@ -259,6 +260,53 @@ def q_page_meta(spark, sf_dir):
     return Q.page_meta(published_debtors(spark, sf_dir), PAGE_SITUATION, PAGE, PER_PAGE)
 
 
+def indexed_workspace(spark, sf_dir) -> Workspace:
+    """The registry published in files of few rows, so that pages and top n have
+    files to leave out."""
+    app = spark.sparkContext.applicationId
+    key = hashlib.sha1(f"{app}|{registry(spark, sf_dir)}|indexed".encode()).hexdigest()[:12]
+    ws = Workspace(f"{work_root(spark)}/serving/{key}")
+    if P.current_version(spark, ws.published) is None:
+        P.publish(spark, ws.published, {"debtors": A.with_loaded_at(
+            q_debtors(spark, sf_dir), SUMMARY_CLOCK)}, file_rows=INDEXED_FILE_ROWS)
+    return ws
+
+
+def few_files(df: DataFrame, most: int) -> DataFrame:
+    """``df``, which may read this many files at most."""
+    if len(df.inputFiles()) > most:
+        raise AssertionError(f"{len(df.inputFiles())} files read")
+    return df
+
+
+def q_deep_page(spark, sf_dir):
+    """The last page of the whole table, found by the rank index."""
+    root = indexed_workspace(spark, sf_dir).published
+    last = Q.published_page_meta(spark, root, None, 1, PER_PAGE).first()["last_page"]
+    return few_files(Q.published_page(spark, root, None, last, PER_PAGE), 2)
+
+
+def q_situation_page(spark, sf_dir):
+    """A filtered page by the index of the situation layout, with its metadata."""
+    root = indexed_workspace(spark, sf_dir).published
+    page = few_files(Q.published_page(spark, root, PAGE_SITUATION, PAGE, PER_PAGE), 2)
+    meta = Q.published_page_meta(spark, root, PAGE_SITUATION, PAGE, PER_PAGE).first()
+    return page.select("*", F.lit(meta["total"]).alias("total"),
+                       F.lit(meta["last_page"]).alias("last_page"))
+
+
+def q_top_by_total(spark, sf_dir):
+    """The top n from the files that can hold it."""
+    root = indexed_workspace(spark, sf_dir).published
+    out = few_files(Q.published_top(spark, root, TOP_N), 1)
+    return out.withColumn("position", F.col("position").cast("long"))
+
+
+def q_list_by_situation(spark, sf_dir):
+    root = indexed_workspace(spark, sf_dir).published
+    return Q.published_by_situation(spark, root, PAGE_SITUATION)
+
+
 def q_valid_cuit(spark, sf_dir):
     d = published_debtors(spark, sf_dir)
     return d.select("identification_number",
@@ -575,6 +623,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "debtors_by_situation": q_debtors_by_situation,
     "debtors_page": q_debtors_page,
     "page_meta": q_page_meta,
+    "deep_page": q_deep_page,
+    "situation_page": q_situation_page,
+    "top_by_total": q_top_by_total,
+    "list_by_situation": q_list_by_situation,
     "valid_cuit": q_valid_cuit,
     "severity": q_severity,
     "is_worse_than": q_is_worse_than,

@@ -194,6 +194,24 @@ ORDER BY identification_number LIMIT {D.PER_PAGE} OFFSET {(D.PAGE - 1) * D.PER_P
 SELECT count(*) AS total, {D.PER_PAGE} AS per_page, {D.PAGE} AS current_page,
        CAST(greatest(ceil(count(*) / {D.PER_PAGE}), 1) AS BIGINT) AS last_page
 FROM odebtors WHERE max_situation = '{D.PAGE_SITUATION}'"""),
+        "deep_page": _with(f"""
+SELECT identification_number, max_situation, total_loan_amount, position FROM (
+  SELECT *, CAST(row_number() OVER (ORDER BY identification_number) AS BIGINT) AS position,
+         count(*) OVER () AS n FROM odebtors) t
+WHERE position > (ceil(n / {D.PER_PAGE}) - 1) * {D.PER_PAGE}"""),
+        "situation_page": _with(f"""
+SELECT identification_number, max_situation, total_loan_amount, position, n AS total,
+       CAST(greatest(ceil(n / {D.PER_PAGE}), 1) AS BIGINT) AS last_page
+FROM (SELECT *, CAST(row_number() OVER (ORDER BY identification_number) AS BIGINT) AS position,
+             count(*) OVER () AS n
+      FROM odebtors WHERE max_situation = '{D.PAGE_SITUATION}') t
+WHERE position > {(D.PAGE - 1) * D.PER_PAGE} AND position <= {D.PAGE * D.PER_PAGE}"""),
+        "top_by_total": _with(f"""
+SELECT identification_number, max_situation, total_loan_amount,
+       CAST(row_number() OVER (ORDER BY {top_order}) AS BIGINT) AS position
+FROM odebtors ORDER BY {top_order} LIMIT {D.TOP_N}"""),
+        "list_by_situation": _with(f"SELECT * FROM odebtors WHERE max_situation = "
+                                   f"'{D.PAGE_SITUATION}'"),
         "valid_cuit": _with("SELECT identification_number, regexp_full_match("
                             "trim(identification_number), '[0-9]{11}') AS is_valid_cuit "
                             "FROM odebtors"),
