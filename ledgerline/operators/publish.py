@@ -13,7 +13,7 @@ or a top n opens the files it needs and no others.  Keys carry Parquet Bloom
 filters, so a missing key reads no row group.  That keys are unique is checked by
 the sorted write itself; a repeated key fails it, and nothing is committed.
 
-Commits are numbered; the highest number is current.  Versions before the last
+Commits are numbered; the highest is current.  Versions before the last
 ``keep`` are removed once they have been superseded for a grace period, which
 bounds how long a query may go on reading the version it resolved.
 """
@@ -22,7 +22,9 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -82,19 +84,14 @@ def current_version(spark: SparkSession, root: str) -> str | None:
 
 
 def commit(spark: SparkSession, root: str, version: str) -> int:
-    """Take the next commit number.  The marker is created without overwrite,
-    so of two commits at a time one gets the number and the other the next;
-    clocks of drivers play no part in which version is current."""
-    while True:
-        taken = fs.list_names(spark, f"{root}/{COMMITS}")
-        number = int(taken[-1]) + 1 if taken else 1
-        marker = f"{root}/{COMMITS}/{number:012d}"
-        try:
-            fs.write_marker(spark, marker, version)
-            return number
-        except Exception:  # noqa: BLE001 - another commit took the number
-            if not fs.exists(spark, marker):
-                raise
+    """Take the next commit number.  Markers are named ``<number>-<random>``: of
+    two commits at a time both may take a number, and both stay, ordered by name
+    for every reader, also on a store that would overwrite a file silently.
+    Clocks of drivers play no part in which version is current."""
+    taken = fs.list_names(spark, f"{root}/{COMMITS}")
+    number = int(taken[-1].split("-")[0]) + 1 if taken else 1
+    fs.write_marker(spark, f"{root}/{COMMITS}/{number:012d}-{uuid.uuid4().hex}", version)
+    return number
 
 
 def remove_old(spark: SparkSession, root: str, keep: int, grace_hours: float) -> None:
@@ -162,29 +159,39 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame],
     """Write every table of a version, then commit it with one marker."""
     version = version or new_version()
     target = version_dir(root, version)
-    for name, df in tables.items():
+
+    def write(name: str) -> None:
+        df = tables[name]
         if name == "debtors":
             order = _orders()[BY_KEY]
             df = df.repartitionByRange(*order).sortWithinPartitions(*order)
         _write(unique_keys(df, KEYS[name]), f"{target}/{name}", file_rows, KEYS[name])
-    if "debtors" in tables:
-        _write_copies(spark, target, file_rows)
+        if name == "debtors":
+            _write_copies(spark, target, file_rows)
+
+    together(spark, [partial(write, name) for name in tables])
     commit(spark, root, version)
     remove_old(spark, root, keep, grace_hours)
     return version
 
 
+def together(spark: SparkSession, jobs: Sequence[Callable[[], object]]) -> list:
+    """Independent jobs at the same time (small ones, one after another, only
+    wait); their results, or the first error after all have ended."""
+    with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+        ends = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+    return [end.result() for end in ends]
+
+
 def _write_copies(spark: SparkSession, target: str, file_rows: int) -> None:
-    """The other layouts of ``debtors``, from the written one, at the same time:
-    on a small table two jobs one after the other only wait."""
+    """The other layouts of ``debtors``, from the written one, and the index."""
     def copy(layout: str) -> None:
         df = spark.read.schema(L.DEBTORS_SCHEMA).parquet(f"{target}/{BY_KEY}")
         order = _orders()[layout]
         _write(df.repartitionByRange(*order).sortWithinPartitions(*order),
                f"{target}/{layout}", file_rows)
 
-    with ThreadPoolExecutor(2) as pool:
-        list(pool.map(inheritable_thread_target(spark)(copy), (BY_SITUATION, BY_TOTAL)))
+    together(spark, [partial(copy, layout) for layout in (BY_SITUATION, BY_TOTAL)])
     _rank_index(spark, target).coalesce(1).write.mode("error").parquet(f"{target}/{INDEX}")
 
 

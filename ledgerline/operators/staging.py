@@ -124,13 +124,16 @@ def staged(spark: SparkSession, staging_root: str, slug: str,
 
 def split_table(spark: SparkSession, staging_root: str, slug: str) -> DataFrame:
     """The staging's splits (one row each) with the place of their last valid
-    line; materialized, as both the reject log and the checkpoints use it."""
-    return RT.split_offsets(
+    line; written beside it, as both the reject log and the checkpoints use it."""
+    splits = RT.split_offsets(
         staged(spark, staging_root, slug).select(*RT.POSITION_COLUMNS, "line_number", "kind"),
         F.max(F.when(F.col("kind") == L.KIND_VALID, F.col("row_id"))).alias("last_valid"),
         F.max(F.when(F.col("kind") == L.KIND_VALID, F.col("line_number"))).alias("last_number"),
         F.count("line_number").alias("n_numbered"),
-    ).checkpoint(eager=True)
+    )
+    path = f"{staging_root}/splits-{slug}"
+    splits.write.mode("overwrite").parquet(path)
+    return spark.read.schema(splits.schema).parquet(path)
 
 
 def staged_rejects(spark: SparkSession, staging_root: str, slug: str,
@@ -148,7 +151,8 @@ def staged_rejects(spark: SparkSession, staging_root: str, slug: str,
 
 def drop_staging(spark: SparkSession, staging_root: str, slug: str) -> None:
     """The note goes first: without it nothing else of a staging is believed."""
-    for name in (f"input-{slug}", f"manifest-{slug}", f"partials-{slug}", f"run={slug}"):
+    for name in (f"input-{slug}", f"manifest-{slug}", f"partials-{slug}", f"splits-{slug}",
+                 f"run={slug}"):
         fs.delete(spark, f"{staging_root}/{name}")
 
 

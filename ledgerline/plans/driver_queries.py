@@ -543,6 +543,15 @@ def q_run_log_written(spark, sf_dir):
         X.iso_utc("started_at").alias("started_at")).crossJoin(F.broadcast(left))
 
 
+def q_file_checkpoints(spark, sf_dir):
+    """The last loaded line of every file of an import, with the run's state."""
+    ws = _imported(spark, sf_dir, "file_checkpoints")
+    at = R.file_checkpoints(spark, ws.runs, SUMMARY_RUN_ID)
+    return at.select(F.regexp_extract("source_file", "delivery=([^/]+)", 1).alias("delivery"),
+                     F.regexp_extract("source_file", "file_no=([0-9]+)", 1).cast("long")
+                     .alias("file_no"), "last_loaded_line")
+
+
 def q_completion_event(spark, sf_dir):
     """The completion record read back from its JSON, in both spellings."""
     ws = _imported(spark, sf_dir, "completion_event")
@@ -647,6 +656,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "staged_rejects": q_staged_rejects,
     "stream_within_file": q_stream_within_file,
     "run_log_written": q_run_log_written,
+    "file_checkpoints": q_file_checkpoints,
     "completion_event": q_completion_event,
     "load_timestamp": q_load_timestamp,
     "stream_ingest": q_stream_ingest,

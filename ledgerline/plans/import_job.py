@@ -3,7 +3,8 @@
     read text ─► classify (scan stage, no shuffle) ─► staging (Parquet, by kind)
     staging ─► debtors  (one hash aggregation) ┐
     staging ─► entities (one hash aggregation) ┴─► publish version ─► commit marker
-    staging ─► reject log with line numbers (columnar pass over positions)
+    staging ─► reject log with line numbers, checkpoint per file (columnar pass
+               over positions, while the tables are published)
     run events: processing → completed | failed;  summary JSON
 
 The raw text is scanned once.  Counts come from the staged Parquet; line
@@ -127,11 +128,11 @@ def import_lines(spark: SparkSession, lines: Callable[[], DataFrame], ws: Worksp
     ``lines`` is called once, inside the run, so that a failure while
     reading is recorded against the run.  ``inputs`` are the paths read; a
     retry reuses a staging only if their files are unchanged."""
-    run_id = run_id or str(uuid.uuid4())
+    new, run_id = run_id is None, run_id or str(uuid.uuid4())
     slug = S.run_key(run_id)
     started = clock()
     t0 = time.monotonic()
-    R.append_event(spark, ws.runs, run_id, started, status=L.STATUS_PENDING,
+    R.append_event(spark, ws.runs, run_id, started, new=new, status=L.STATUS_PENDING,
                    filename=filename.rstrip("/").rsplit("/", 1)[-1])
     R.append_event(spark, ws.runs, run_id, started, status=L.STATUS_PROCESSING,
                    started_at=started)
@@ -164,28 +165,35 @@ def import_lines(spark: SparkSession, lines: Callable[[], DataFrame], ws: Worksp
             with job_description(spark, f"ledgerline import {slug}: scan, classify, stage"):
                 counts = stage_and_count(S.staged_rows(lines()), ws, slug)
             S.write_input(spark, ws.staging, slug, source, print_)
-        splits = S.split_table(spark, ws.staging, slug)
-        loaded = S.last_loaded_lines(splits)
-        last_line = loaded.agg(F.max("last_loaded_line").alias("n")).first()["n"]
+        # 2. aggregate and publish both tables as one version; meanwhile, from the
+        # staged positions, the reject log and the files' checkpoints
+        ends = Observation(f"last_lines_{slug}")
 
-        # 2. aggregate and publish both tables as one version
-        with job_description(spark, f"ledgerline import {slug}: aggregate and publish"):
+        def publish() -> str:
             loaded_at = clock()
             if part_bytes:
                 debtors, entities = PT.merged(spark, ws.staging, slug)
             else:
                 valid = S.staged(spark, ws.staging, slug, [L.KIND_VALID])
                 debtors, entities = A.debtors(valid), A.entities(valid)
-            version = P.publish(spark, ws.published, {
+            return P.publish(spark, ws.published, {
                 "debtors": A.with_loaded_at(debtors, loaded_at),
                 "entities": A.with_loaded_at(entities, loaded_at),
             })
 
-        # 3. reject log with line numbers, then the staging is no longer needed
-        with job_description(spark, f"ledgerline import {slug}: reject log"):
+        def logs() -> None:
+            splits = S.split_table(spark, ws.staging, slug)
             (S.staged_rejects(spark, ws.staging, slug, splits)
              .withColumn("run_id", F.lit(run_id))
              .write.mode("overwrite").parquet(f"{ws.rejects}/run={slug}"))
+            R.write_checkpoints(S.last_loaded_lines(splits).observe(
+                ends, F.max("last_loaded_line").alias("n")), ws.runs, run_id)
+
+        with job_description(spark, f"ledgerline import {slug}: publish, reject log"):
+            version, _ = P.together(spark, [publish, logs])
+        last_line = ends.get.get("n")
+
+        # 3. the staging is no longer needed
         S.drop_staging(spark, ws.staging, slug)
     except Exception as exc:  # the run is marked failed; staging is kept
         R.append_event(spark, ws.runs, run_id, clock(), status=L.STATUS_FAILED,

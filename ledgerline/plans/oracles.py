@@ -283,6 +283,10 @@ SELECT '{D.SUMMARY_RUN_ID}' AS run_id, 'completed' AS status, 'registry' AS file
        (SELECT max(line_number) FROM dnum WHERE e_kind = 'valid') AS last_loaded_line,
        CAST(3 AS BIGINT) AS n_events, '{clock}' AS started_at, CAST(0 AS BIGINT) AS n_staging
 FROM data"""),
+        "file_checkpoints": _with("""
+SELECT delivery, CAST(file_no AS BIGINT) AS file_no,
+       CAST(max(CASE WHEN e_kind = 'valid' THEN line_number END) AS BIGINT) AS last_loaded_line
+FROM dnum GROUP BY delivery, file_no"""),
         "completion_event": _with(f"""
 SELECT spelling, '{D.SUMMARY_RUN_ID}' AS import_id, 'registry' AS filename,
        (SELECT count(*) FROM odebtors) AS total_debtors,
