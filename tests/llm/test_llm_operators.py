@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -136,6 +137,76 @@ def test_kd_shards_are_even(spark):
     assert len(sums) == 40 and max(sums) <= 1.1 * sum(sums) / 40 and min(sums) >= 0.9 * sum(sums) / 40
 
 
+def _tree(atoms, room, node=0):
+    """Shard of every (w, key of each dimension) by plain recursion."""
+    k = len(room)
+    if k == 1 or not atoms:
+        return {name: node for name in atoms}
+    spans = [max(a[1][d] >> 32 for a in atoms.values()) - min(a[1][d] >> 32 for a in atoms.values())
+             for d in range(3)]
+    d = spans.index(max(spans))
+    part = sum(room[:k // 2]) / sum(room)
+    want, before, left = sum(w for w, _ in atoms.values()) * part, 0, {}
+    for name, (w, key) in sorted(atoms.items(), key=lambda a: a[1][1][d]):
+        if before + w >= want:
+            if (want - before) * 2 >= w:
+                left[name] = (w, key)
+            break
+        left[name] = (w, key)
+        before += w
+    right = {name: a for name, a in atoms.items() if name not in left}
+    return {**_tree(left, room[:k // 2], node), **_tree(right, room[k // 2:], node + k // 2)}
+
+
+def test_kd_tree_matches_recursion(spark):
+    from ledgerline.llm import kd_shards
+    rnd = random.Random(11)
+    docs = spark.createDataFrame(
+        [(i, f"{i} " + "ab " * rnd.randint(0, 90), rnd.choice(["common_crawl_a", "common_crawl_b", "x", None]),
+          rnd.choice(["en", "de", None])) for i in range(900)],
+        "doc_id long, text string, source string, lang string")
+    folder = kd_shards.scratch_dir(spark, "kd-test")
+    rows, atoms, room, _ = kd_shards._atoms(kd_shards.weighted(docs, folder), 8, folder)
+    assert rows.where("shard IS NOT NULL").count() == 0 and len(set(room)) == 1
+    named = {(r["h1"], r["h2"]): (r["w"], [(r[v] << 32) + r["tie"] for v in ("v0", "v1", "v2")])
+             for r in atoms.collect()}
+    want = _tree(named, room)
+    ids = {r["doc_id"]: (r["h1"], r["h2"]) for r in rows.collect()}
+    got = {r["doc_id"]: r["shard"] for r in kd_shards.shard(docs, 8).collect()}
+    assert got == {d: want[h] for d, h in ids.items()}
+
+
+def test_kd_places_tell_names_with_a_common_beginning_apart(spark, tmp_path):
+    from ledgerline.llm.kd_shards import _PLACE, _ranks
+    names = [None, "", "common_crawl_a", "common_crawl_b", "common_zebra"]
+    docs = spark.createDataFrame([(n,) for n in names * 3], "source string")
+    got = {r["_source"]: r["place"] for r in _ranks(docs, "source", str(tmp_path)).collect()}
+    assert got == {n: i * _PLACE // 4 for i, n in enumerate(names)}
+
+
+def test_kd_copies_stay_together(spark):
+    from ledgerline.llm.kd_shards import shard, spread
+    # 24 and 70 copies fit a shard; 1,500 are more than one shard's bytes; 2,000 null texts weigh little
+    copies = ["a" * 400] * 24 + ["b" * 400] * 70 + ["c" * 400] * 1500 + [None] * 2000
+    texts = copies + [f"{i} " + "w" * (i % 300) for i in range(8000)] + ["z" * 20_000]
+    docs = spark.createDataFrame([(i, t, "hot", "en") for i, t in enumerate(texts)],
+                                 "doc_id long, text string, source string, lang string")
+    rows = shard(docs, 40).collect()
+    target = sum(r["size"] for r in rows) / 40
+    shards, sums, slots = {}, {}, {}
+    for r in rows:
+        shards.setdefault(texts[r["doc_id"]], set()).add(r["shard"])
+        sums[r["shard"]] = sums.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert len(rows) == len(texts)
+    assert {len(shards[t]) for t in shards if t != "c" * 400} == {1}
+    assert len(shards["c" * 400]) <= -(-1500 * 416 // target)
+    assert len(sums) == 40 and max(sums.values()) <= 1.1 * target and min(sums.values()) >= 0.9 * target
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert spread([(1, 1, 100, 1), (2, 2, 30, 3), (3, 3, 60, 2)], 3, 50.0) == [
+        (1, 1, [0]), (2, 2, [1]), (3, 3, [2, 1])]
+
+
 # ----------------------------------------------------------------------------- PII
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
             "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
