@@ -50,6 +50,18 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def fresh(name: str, columns: Sequence[str]) -> str:
+    """``name``, made longer until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 # ------------------------------------------------------------- gapless ranks
 def rank_buckets(n_rows: int, rows_per_bucket: int = 20_000) -> int:
     """Hash buckets into which a group is split for ranking, so that a group

@@ -13,6 +13,10 @@ stuck, the sketch was too small for the difference and is tried again four
 times as large, until it succeeds; so the likeness, shared paragraphs over all
 paragraphs, is exact.
 
+``sketches`` gives a version's sketches as a table to keep; ``subtract`` peels
+the digests out of two such tables, and says which rows need larger sketches;
+``difference`` makes these for the rows that need them, until all are decoded.
+
 The next document (descending doc_id, the last one's is the first) is met
 without a global sort: quantiles of doc_id cut the table into buckets, the top
 row of every bucket is also sent to the bucket before it, and rows are sorted
@@ -20,7 +24,10 @@ within their bucket.
 
 Defined cases: null text is empty; texts without a word have no paragraph and
 are alike (1.0); equal doc_ids are ordered by their text's hash; null doc_ids
-come last; a lone document is its own next one.
+come last; a lone document is its own next one.  In tables of sketches null
+doc_ids take no part, of rows that repeat a doc_id the one with the smallest
+text hash counts, and a document that only one version has differs by all its
+paragraphs.
 """
 
 from __future__ import annotations
@@ -30,11 +37,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import (WordHasher, documents, mix, short_batches,
-                                   text_chunks, word_bounds)
+from ledgerline.llm.common import (WordHasher, documents, list_array, mix, saved, scratch_dir,
+                                   short_batches, text_chunks, word_bounds)
 
 CELLS = 8
 PARTS = 3
@@ -111,10 +119,35 @@ class Sketch:
                 + (self.check[part] >> np.uint64(32)).astype("<u4").tobytes())
         return f"{n}:{base64.b64encode(data).decode()}"
 
+    def dump(self, row: int) -> bytes:
+        part = slice(row * PARTS * self.cells, (row + 1) * PARTS * self.cells)
+        return (self.count[part].astype("<i8").tobytes() + self.key[part].astype("<u8").tobytes()
+                + self.check[part].astype("<u8").tobytes())
+
+    @classmethod
+    def load(cls, dumps: list[bytes | None], cells: int) -> "Sketch":
+        """Sketches side by side; None is an empty one."""
+        out = cls(len(dumps), cells)
+        width = PARTS * cells
+        for row, data in enumerate(dumps):
+            if data is not None:
+                part = slice(row * width, (row + 1) * width)
+                out.count[part], out.key[part], out.check[part] = (
+                    np.frombuffer(data, kind, width, at * 8 * width)
+                    for at, kind in enumerate(("<i8", "<u8", "<u8")))
+        return out
+
     def peel(self, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(decoded, digests only left, digests only right) of every row."""
+        done, rows, _, signs = self.recover(n_rows)
+        return (done, np.bincount(rows[signs > 0], minlength=n_rows),
+                np.bincount(rows[signs < 0], minlength=n_rows))
+
+    def recover(self, n_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(decoded, by row; row, digest and side of the differing digests: 1
+        for the left version only, -1 for the right one only)."""
         width = PARTS * self.cells
-        left, right = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64)
+        found = []
         while True:
             pure = np.flatnonzero((np.abs(self.count) == 1) & (self.check == mix(self.key ^ _CHECK)))
             if not len(pure):
@@ -124,11 +157,13 @@ class Sketch:
             rows, keys, signs = rows[order], keys[order], signs[order]
             one = np.r_[True, (rows[1:] != rows[:-1]) | (keys[1:] != keys[:-1])]
             rows, keys, signs = rows[one], keys[one], signs[one]
-            np.add.at(left, rows[signs > 0], 1)
-            np.add.at(right, rows[signs < 0], 1)
+            found.append((rows, keys, signs))
             self.add(rows, keys, -signs)
         dirty = (self.count != 0) | (self.key != 0) | (self.check != 0)
-        return ~dirty.reshape(n_rows, width).any(axis=1), left, right
+        rows, keys, signs = (np.concatenate([f[i] for f in found]) if found else
+                             np.zeros(0, kind) for i, kind in enumerate(
+                                 (np.int64, np.uint64, np.int64)))
+        return ~dirty.reshape(n_rows, width).any(axis=1), rows, keys, signs
 
 
 def likeness(rows_a, keys_a, rows_b, keys_b, n_rows: int, first: Sketch | None = None) -> np.ndarray:
@@ -163,6 +198,91 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - n] + following[:n]
 
 
+# ------------------------------------------------------------- kept sketches
+def _blocks(n_rows: int, cells: int):
+    """Row ranges whose sketches fit a task's memory together."""
+    step = max(1, _ITEMS // (PARTS * cells))
+    return [(at, min(n_rows, at + step)) for at in range(0, n_rows, step)]
+
+
+def sketches(docs: DataFrame, cells: int = CELLS) -> DataFrame:
+    """(doc_id, cells, n_paragraphs, sketch) of a version, a row per doc_id;
+    ``cells`` is a power of two."""
+    short_batches(docs.sparkSession)
+
+    def run(batches):
+        hasher = WordHasher(_SEED, fold_case=False)
+        for batch in batches:
+            for lo, hi in _blocks(len(batch.column(0)), cells):
+                part = batch.slice(lo, hi - lo)
+                rows, keys = paragraphs(hasher, part.column(1))
+                sketch = Sketch(hi - lo, cells)
+                sketch.add(rows, keys, 1)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(2),
+                     pa.array(np.bincount(rows, minlength=hi - lo), pa.int64()),
+                     pa.array([sketch.dump(i) for i in range(hi - lo)], pa.binary())],
+                    names=["doc_id", "th", "n_paragraphs", "sketch"])
+
+    rows = docs.where("doc_id IS NOT NULL").select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    made = rows.mapInArrow(run, "doc_id long, th long, n_paragraphs long, sketch binary")
+    one = made.groupBy("doc_id").agg(F.min(F.struct("th", "n_paragraphs", "sketch")).alias("s"))
+    return one.select("doc_id", F.lit(cells).alias("cells"), "s.n_paragraphs", "s.sketch")
+
+
+def subtract(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(doc_id, decoded, removed, added) of two tables of sketches with equal
+    cells: the digests that only the old or the new version has, ascending;
+    null where the sketches are too small for the difference."""
+    left = old.select("doc_id", F.col("cells").alias("c1"), F.col("sketch").alias("s1"))
+    right = new.select("doc_id", F.col("cells").alias("c2"), F.col("sketch").alias("s2"))
+    pairs = left.join(right, "doc_id", "full").select("doc_id", "c1", "c2", "s1", "s2")
+
+    def run(batches):
+        for batch in batches:
+            ids, c1, c2, s1, s2 = (column.to_pylist() for column in batch.columns)
+            widths = {c for c in c1 + c2 if c is not None}
+            if len(widths) > 1:
+                raise ValueError(f"sketches of different sizes: {sorted(widths)}")
+            for lo, hi in _blocks(len(ids), max(widths, default=1)):
+                n, cells = hi - lo, max(widths)
+                diff = Sketch.load(s1[lo:hi], cells).minus(Sketch.load(s2[lo:hi], cells))
+                done, rows, keys, signs = diff.recover(n)
+                out = [pa.array(ids[lo:hi], pa.int64()), pa.array(done)]
+                digests = keys.view(np.int64)
+                for side in (1, -1):
+                    mine = (signs == side) & done[rows]
+                    order = np.lexsort((digests[mine], rows[mine]))
+                    counts = np.bincount(rows[mine], minlength=n)
+                    lists = list_array(digests[mine][order], counts, pa.int64())
+                    out.append(pc.if_else(pa.array(done), lists, pa.scalar(None, lists.type)))
+                yield pa.RecordBatch.from_arrays(
+                    out, names=["doc_id", "decoded", "removed", "added"])
+
+    return pairs.mapInArrow(
+        run, "doc_id long, decoded boolean, removed array<long>, added array<long>")
+
+
+def difference(old: DataFrame, new: DataFrame, cells: int = CELLS) -> DataFrame:
+    """(doc_id, removed, added): digests of the paragraphs in which two versions
+    of the documents differ.  Rows that don't decode are sketched again four
+    times as large; each round only reads these rows' texts."""
+    folder = scratch_dir(old.sparkSession, "difference")
+    found = None
+    while True:
+        diff = saved(subtract(sketches(old, cells), sketches(new, cells)), folder, f"cells-{cells}")
+        done = diff.where("decoded").select("doc_id", "removed", "added")
+        found = done if found is None else found.unionAll(done)
+        open_ = diff.where("NOT decoded").select(F.col("doc_id").alias("open_id"))
+        if not open_.limit(1).count():
+            return found
+        old, new = (docs.select("doc_id", "text").join(
+            open_, F.col("doc_id").cast("long") == F.col("open_id"), "left_semi")
+            for docs in (old, new))
+        cells *= 4
+
+
 # --------------------------------------------------------------- row neighbours
 def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
     """Rows with their bucket of doc_id; the top row of each bucket once more

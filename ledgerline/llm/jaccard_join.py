@@ -39,8 +39,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline import fs
-from ledgerline.llm.common import (WordHasher, documents, list_array, mix, saved, scratch_dir,
-                                   short_batches, text_chunks, word_bounds)
+from ledgerline.llm.common import (WordHasher, documents, fresh, list_array, mix, saved,
+                                   scratch_dir, short_batches, text_chunks, word_bounds)
 from ledgerline.llm.components import components
 
 WORDS = 4
@@ -358,9 +358,10 @@ def link_components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT,
 def one_of_each(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the rows of documents that a smaller doc_id of their
     component stands for; all columns kept.  Rows without doc_id stay."""
+    other = fresh("_id", docs.columns)
     others = link_components(docs, k, percent).where("doc_id <> component_id").select(
-        F.col("doc_id").alias("_id")).distinct()
-    return docs.join(others, docs["doc_id"].cast("long") == F.col("_id"), "left_anti")
+        F.col("doc_id").alias(other)).distinct()
+    return docs.join(others, docs["doc_id"].cast("long") == F.col(other), "left_anti")
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline import fs
-from ledgerline.llm.common import SPACES, documents, saved, scratch_dir, short_batches
+from ledgerline.llm.common import (SPACES, documents, fresh, quoted, saved, scratch_dir,
+                                   short_batches)
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -341,22 +342,25 @@ class LineIndex:
 
         return refs.mapInArrow(run, refs.schema)
 
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with text cut, plus n_lines, n_dropped and kept_sha256."""
+    def apply(self, docs: DataFrame, counts: bool = True) -> DataFrame:
+        """``docs`` with text cut, plus n_lines, n_dropped and kept_sha256, which
+        replace columns of these names; without ``counts``, only the text changes."""
         short_batches(self.spark)
         drops = saved(self.drops(), self.folder, f"drops-{self.step}")
-        own = {"n_lines", "n_dropped", "kept_sha256"}  # replaces columns of these names
+        own = {"n_lines", "n_dropped", "kept_sha256"} if counts else set()
         names = [c for c in docs.columns if c.lower() not in own]
-        renamed = drops.select(F.col("doc_id").alias("_drop_doc"), F.col("drop").alias("_drop"))
+        drop_doc, drop = fresh("_drop_doc", docs.columns), fresh("_drop", docs.columns)
+        renamed = drops.select(F.col("doc_id").alias(drop_doc), F.col("drop").alias(drop))
         joined = docs.join(renamed.hint("shuffle_hash"),
-                           docs["doc_id"].cast("long") == F.col("_drop_doc"), "left")
-        joined = joined.select(*[docs[c] for c in names], "_drop")
+                           docs["doc_id"].cast("long") == F.col(drop_doc), "left")
+        joined = joined.select(*[docs[quoted(c)] for c in names], drop)
         at = [c.lower() for c in names].index("text")
         wide = len(names)
-        schema = joined.drop("_drop").schema
         from pyspark.sql.types import LongType, StringType, StructType
-        out = StructType([*schema.fields]).add("n_lines", LongType()).add(
-            "n_dropped", LongType()).add("kept_sha256", StringType())
+        out = StructType(joined.schema.fields[:wide])
+        if counts:
+            out = out.add("n_lines", LongType()).add("n_dropped", LongType()).add(
+                "kept_sha256", StringType())
 
         def run(batches):
             for batch in batches:
@@ -379,10 +383,10 @@ class LineIndex:
                     sha.append(hashlib.sha256(text or b"").hexdigest())
                 columns = [batch.column(i) for i in range(wide)]
                 columns[at] = pa.array(kept, pa.binary()).cast(batch.column(at).type)
-                yield pa.RecordBatch.from_arrays(
-                    columns + [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()),
-                               pa.array(sha, pa.string())],
-                    names=[*batch.schema.names[:wide], "n_lines", "n_dropped", "kept_sha256"])
+                if counts:
+                    columns += [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()),
+                                pa.array(sha, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=out.names)
 
         return joined.mapInArrow(run, out)
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.common import (WORD_RE, documents, gapless_rank, rank_buckets, saved,
+from ledgerline.llm.common import (WORD_RE, documents, gapless_rank, quoted, rank_buckets, saved,
                                    scratch_dir)
 
 WEIGHTS = (1, 2, 3)
@@ -155,10 +155,20 @@ def _shipped(df: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, size: Column, weights=WEIGHTS, epochs: int = MAX_EPOCHS,
         seed: int = SEED) -> DataFrame:
     """``docs`` with size, source_size, target and times (how often the mix
-    takes the row).  Own columns of these names are replaced."""
+    takes the row); these replace columns of the same names."""
+    own = ("size", "source_size", "target", "times")
+    names = [quoted(c) for c in docs.columns if c.lower() not in own]
+    return _taken(docs, size, weights, epochs, seed).select(*[f"doc.{c}" for c in names], *own)
+
+
+def _taken(docs: DataFrame, size: Column, weights=WEIGHTS, epochs: int = MAX_EPOCHS,
+           seed: int = SEED) -> DataFrame:
+    """(doc, size, source_size, target, times): the whole row is the struct
+    ``doc``, so that no column of it meets a name used here."""
     spark = docs.sparkSession
     folder = scratch_dir(spark, "mix")
-    sized = docs.withColumn("size", size)
+    sized = docs.select(F.struct(*[quoted(c) for c in docs.columns]).alias("doc"),
+                        "doc_id", "source", size.alias("size"))
     lengths = saved(sized.groupBy("source", "size").agg(F.count("*").alias("n")),
                     folder, "lengths")
     totals = lengths.groupBy("source").agg(
@@ -199,18 +209,17 @@ def mix(docs: DataFrame, size: Column, weights=WEIGHTS, epochs: int = MAX_EPOCHS
     times = (F.col("_whole") + (F.col("_rank") < F.col("_extra")).cast("long")
              + (F.col("_rank") < F.col("_more")).cast("long"))
     on = F.col("source").eqNullSafe(F.col("_s")) & (F.col("size") == F.col("_z"))
-    return (ranked.join(_shipped(plan), on)
-            .withColumn("source_size", F.col("_words")).withColumn("target", F.col("_target"))
-            .withColumn("times", times)
-            .drop("_s", "_z", "_words", "_target", "_whole", "_extra", "_more", "_rank",
-                  "_draw"))
+    return ranked.join(_shipped(plan), on).select(
+        "doc", "size", F.col("_words").alias("source_size"), F.col("_target").alias("target"),
+        times.alias("times"))
 
 
 def mixed_rows(docs: DataFrame, size: Column, **options) -> DataFrame:
-    """The mix itself: the columns of ``docs``, each row as often as it is taken."""
-    taken = mix(docs, size, **options).where("times > 0")
-    copies = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
-    return copies.select(*docs.columns)
+    """The mix itself: the columns of ``docs`` unchanged, each row as often as
+    it is taken."""
+    taken = _taken(docs, size, **options).where("times > 0")
+    copies = taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return copies.select("doc.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The pipeline's stages against the operators' rules."""
 
 import corpus_pipeline as pipeline
+from pyspark.sql import functions as F
 from llm_fixtures import by_id, no_rows, oracle, tables, texts  # noqa: F401
 from ledgerline.llm import toxicity
 from ledgerline.llm.jaccard_join import link_components
@@ -25,7 +26,8 @@ def test_stages(spark, tables, tmp_path):
     index.insert(kept["toxicity"])
     want = by_id(index.apply(kept["toxicity"]).select(*columns), "text")
     assert by_id(kept["line_dedup"], "text") == want
-    groups = by_id(link_components(kept["line_dedup"]), "component_id")
+    groups = by_id(link_components(kept["line_dedup"], pipeline.NEAR_WORDS, pipeline.NEAR_PERCENT),
+                   "component_id")
     assert {r["doc_id"] for r in kept["jaccard_join"].collect()} == {c for c, in groups.values()}
     before = {r["doc_id"] for r in kept["jaccard_join"].collect()}
     times = {}
@@ -62,3 +64,24 @@ def test_near_copies_by_five_words_and_four_fifths(spark):
                                  "doc_id long, text string")
     kept = pipeline.one_per_group(spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+def test_own_columns_keep_their_values(spark, tables):
+    names = ["_id", "_rank", "_draw", "_drop", "_drop_doc", "_copy", "_part", "_n", "doc", "size",
+             "source_size", "target", "times", "n_lines", "n_dropped", "kept_sha256", "h1"]
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    docs = docs.unionAll(docs.where("doc_id % 40 = 0"))  # repeated rows
+    docs = docs.unionAll(docs.limit(1).selectExpr("CAST(NULL AS BIGINT) AS doc_id", *[
+        f"`{c}`" for c in docs.columns if c != "doc_id"]).select(*docs.columns))
+    docs = docs.select("*", *[
+        F.concat_ws("-", F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n)
+        for n in names])
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, tables)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows, name
+        for r in rows:
+            own = "none" if r["doc_id"] is None else str(r["doc_id"])
+            assert all(r[n] == f"{n}-{own}" for n in names), (name, r["doc_id"])
+    assert pipeline.STAGES[-1][1](spark, docs, tables).count() >= docs.count()

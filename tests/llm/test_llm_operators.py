@@ -357,6 +357,49 @@ def test_fingerprints(spark, tables, texts):
     assert len(rows) == len(texts)
 
 
+def _paragraph_sets(texts):
+    """Digests of every text by itself."""
+    import pyarrow as pa
+    from ledgerline.llm.common import WordHasher
+    from ledgerline.llm.fingerprints import _SEED, paragraphs
+    hasher = WordHasher(_SEED, fold_case=False)
+    return [set(paragraphs(hasher, pa.array([t], pa.large_string()))[1].view(np.int64).tolist())
+            for t in texts]
+
+
+def test_likeness_matches_sets(spark, tables, texts):
+    rows = {r["doc_id"]: r for r in QUERIES["op10_fingerprints"](spark, tables).collect()}
+    order = sorted(texts, reverse=True)
+    for i, d in enumerate(order):
+        text, following = texts[d] or "", texts[order[(i + 1) % len(order)]] or ""
+        n = len(text) // 3
+        own, changed, after = _paragraph_sets([text, text[:len(text) - n] + following[:n], following])
+        for other, got in ((changed, rows[d]["near_edited"]), (after, rows[d]["near_next"])):
+            assert got == (len(own & other) / len(own | other) if own | other else 1.0), d
+
+
+def test_difference_gives_the_digests(spark):
+    from ledgerline.llm.fingerprints import difference, sketches, subtract
+    long = "\n".join(f"line {i} of the text" for i in range(3000))
+    old = {1: "a b\nc d", 2: long, 3: None, 4: "only old", 5: "same", 7: ""}
+    new = {1: "a b\nc e", 2: long.replace("7", "x"), 3: "some\nwords", 5: "same", 6: "only new", 7: " "}
+    table = lambda v: spark.createDataFrame(
+        [(d, t, "x") for d, t in v.items()] + [(None, "no id", "x")] + [(5, "same", "y")],
+        "doc_id long, text string, sketch string")
+    got = {r["doc_id"]: (r["removed"], r["added"]) for r in difference(table(old), table(new)).collect()}
+    assert set(got) == set(old) | set(new)
+    for d, (removed, added) in got.items():
+        a, b = _paragraph_sets([old.get(d) or "", new.get(d) or ""])
+        assert (removed, added) == (sorted(a - b), sorted(b - a)), d
+    assert len(got[2][0]) > 700
+    small = {r["doc_id"]: r for r in subtract(sketches(table(old)), sketches(table(new))).collect()}
+    assert not small[2]["decoded"] and small[2]["removed"] is None and small[1]["decoded"]
+    with pytest.raises(Exception, match="different sizes"):
+        subtract(sketches(table(old), 8), sketches(table(new), 32)).collect()
+    none = table(old).limit(0)
+    assert difference(none, none).collect() == []
+
+
 def test_sketch_recovers_the_difference():
     from ledgerline.llm.fingerprints import Sketch, likeness
     rng = np.random.default_rng(4)
