@@ -11,7 +11,9 @@ columns of documents; the last returns the packed pieces.
 4. mixing: sources are drawn to their target weights, rows repeated as taken.
 5. packing: token sequences of bounded length with little padding.
 
-Empty tables pass through; null texts are clean, empty documents.
+Empty tables pass through; null texts are clean, empty documents.  Other columns
+keep their values in the first four stages, whatever their names (but for names
+with a dot, which Spark's Arrow maps refuse).
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     index = LineIndex(spark, scratch_dir(spark, "pipeline-lines"))
     index.insert(docs)
-    return with_length(index.apply(docs).select(*docs.columns))
+    return with_length(index.apply(docs, counts=False))
 
 
 def with_length(docs: DataFrame) -> DataFrame:
