@@ -284,16 +284,29 @@ def vote_table(docs: DataFrame, families: tuple[Family, ...] = FAMILIES) -> Data
     are scanned once for all kinds."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
-    def cast(family: Family, c: Column) -> Column:
-        return F.struct(F.lit(family.kind).alias("kind"),
-                        *[v.cast("int").alias(f"v{i}") for i, v in enumerate(family.votes(c))],
-                        *[f.cast("int").alias(f"f{i}") for i, f in enumerate(family.features(c))])
-
-    def cast_all(family: Family) -> Column:
-        return F.transform(candidates(text, family), lambda c: cast(family, c))
-
-    found = [cast_all(f) for f in families]
-    return docs.select(F.explode(F.concat(*found)).alias("c")).select("c.*")
+    def named(family: Family) -> Column:
+        return F.transform(F.col(f"c_{family.kind}"), lambda c: F.struct(
+            F.lit(family.kind).alias("kind"), c["t"].alias("t"), c["left"].alias("left"),
+            c["right"].alias("right")))
+
+    # columns first: inside the explode, or its size filter, all would be found twice
+    c = F.col("c")
+    found = docs.select(*[candidates(text, f).alias(f"c_{f.kind}") for f in families])
+    rows = found.select(F.explode_outer(F.concat(*[named(f) for f in families])).alias("c")) \
+        .where("c IS NOT NULL")
+
+    def by_kind(columns: list[list[Column]], name: str) -> list[Column]:
+        """The i-th column is that of the row's own kind."""
+        merged = []
+        for i in range(len(columns[0])):
+            value = F.lit(None).cast("int")
+            for family, own in zip(families, columns):
+                value = F.when(c["kind"] == family.kind, own[i].cast("int")).otherwise(value)
+            merged.append(value.alias(f"{name}{i}"))
+        return merged
+
+    return rows.select(c["kind"].alias("kind"), *by_kind([f.votes(c) for f in families], "v"),
+                       *by_kind([f.features(c) for f in families], "f"))
 
 
 # ---------------------------------------------------------------- aggregation
@@ -347,7 +360,7 @@ def train(docs: DataFrame, families: tuple[Family, ...] = FAMILIES) -> list[Span
     names = [c for c in table.columns if c.startswith("v")]
     fields = [c for c in table.columns if c.startswith("f")]
     counted = table.groupBy("kind", *names).agg(F.count("*").alias("n")).collect()  # <= 81 a kind
-    posterior, totals, p = {}, {}, F.lit(0.0)
+    totals, chances = {}, []
     for family in families:
         patterns = sorted((tuple(r[n] for n in names), r["n"]) for r in counted if r["kind"] == family.kind)
         if not patterns:
@@ -356,12 +369,10 @@ def train(docs: DataFrame, families: tuple[Family, ...] = FAMILIES) -> list[Span
         totals[family.kind] = [sum(posterior[v] * n for v, n in patterns) + 1.0,
                                sum((1 - posterior[v]) * n for v, n in patterns) + 1.0]
         for pattern, value in posterior.items():
-            same = F.col("kind") == family.kind
-            for name, v in zip(names, pattern):
-                same = same & (F.col(name) == v)
-            p = F.when(same, F.lit(value)).otherwise(p)
+            chances += [F.lit(":".join(map(str, (family.kind, *pattern)))), F.lit(value)]
     if not totals:
         return []
+    p = F.element_at(F.create_map(*chances), F.concat_ws(":", "kind", *names))
     # the probability is a function of the votes: counts first, then one value per pattern
     soft = table.select("kind", *names, F.explode(F.array(*[
         F.struct(F.lit(i).alias("i"), F.col(f).alias("x")) for i, f in enumerate(fields)])).alias("f"))
