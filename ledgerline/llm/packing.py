@@ -7,8 +7,8 @@ is all the optimiser sees:
 
 * the linear program "as few sequences as possible, every length covered" is
   solved by column generation: a knapsack dynamic program over the capacity,
-  with the duals as prices, finds the pattern to add, until none improves or
-  the bound on the optimum is within ``GAP``;
+  with the duals as prices, finds the pattern to add, until none improves,
+  the bound on the optimum is within ``GAP``, or 60 pivots are made;
 * pattern counts are rounded down; what is left over (less than one sequence a
   basis pattern) is packed one sequence at a time by the same knapsack;
 * pieces are ranked within their length, and rank ranges map them to patterns,
@@ -18,6 +18,7 @@ Token ids never leave the task that made them.  Ranking is split by hash
 buckets, so a length that a third of all pieces share is no hot group.
 
 Defined cases: null text is empty text (one piece with the end id alone);
+strings of special tokens in a text (``<|endoftext|>``) are ordinary text;
 repeated rows are documents of their own and are all packed; an empty table
 gives no piece; only doc_id and text are read.
 """

@@ -1,13 +1,13 @@
-"""Substring dedup: join documents on winnowed anchors, extend, cut repeats.
+"""Substring dedup: join documents on winnowed anchors, compare windows, cut repeats.
 
 Seed: of every ``window`` consecutive words the smallest ``k``-gram hash is the
 window's anchor, so two documents that share ``window`` words share an anchor
 at the same place in them.  Anchors that only one document holds end there.
 
-Extend: around an anchor shared with another document a repeat reaches the
-threshold length only through one of the windows whose anchor it is, to the
+In place of an extension word by word: around an anchor shared with another
+document a repeat reaches the threshold length only through one of the windows whose anchor it is, to the
 left or to the right of it.  These windows are compared across documents by
-the hash of all their words; the smallest doc_id that holds a window keeps it.
+the 64-bit hash of all their words (not verified on the words); the smallest doc_id that holds a window keeps it.
 Neighbouring windows that match join to maximal repeats (at least ``window``
 words), whose words are removed.  No pair of documents is ever formed: a
 passage in a third of all documents costs one row per window and document.
