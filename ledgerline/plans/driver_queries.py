@@ -453,16 +453,15 @@ def q_resume_changed_file(spark, sf_dir):
     """A load of delivery F cut short, its files replaced by those of O, then
     the import of the same run on the same path: O's debtors only."""
     ws = fresh_workspace(spark, "resume_changed_file")
-    root = registry(spark, sf_dir)
     path, key = f"{ws.root}/arriving", S.run_key("changed_file/1")
-    J.deliver(spark, bridge.delivery_path(root, "F"), path)
+    J.deliver(spark, bridge.rendered_lines(spark, sf_dir, "F"), path)
     numbered = RT.with_line_numbers(RT.read_lines(spark, path).drop("line"))
     S.stage(S.staged_rows(numbered.where(F.col("line_number") <= RESUME_AFTER_LINE)),
             ws.staging, key)
     S.write_input(spark, ws.staging, key, S.PARTIAL + path)
     R.append_event(spark, ws.runs, "changed_file/1", SUMMARY_CLOCK, status=L.STATUS_PROCESSING)
     fs.delete(spark, path)
-    J.deliver(spark, bridge.delivery_path(root, "O"), path)
+    J.deliver(spark, bridge.rendered_lines(spark, sf_dir, "O"), path)
     run_import(spark, path, ws, run_id="changed_file/1", clock=lambda: SUMMARY_CLOCK)
     return P.read_published(spark, ws.published, "debtors").select(*Q.DEBTOR_COLUMNS)
 
@@ -494,12 +493,12 @@ def q_parts_changed_file(spark, sf_dir):
     """A load of F in parts cut short, its files replaced by O's, then the rest of
     the run: O's debtors only, from the parts' aggregates."""
     ws = fresh_workspace(spark, "parts_changed_file")
-    root, path = registry(spark, sf_dir), f"{ws.root}/arriving"
-    J.deliver(spark, bridge.delivery_path(root, "F"), path)
+    path = f"{ws.root}/arriving"
+    J.deliver(spark, bridge.rendered_lines(spark, sf_dir, "F"), path)
     sizes = part_sizes(spark, path)
     PT.load(spark, path, ws.staging, "changed", **sizes, max_parts=3)
     fs.delete(spark, path)
-    J.deliver(spark, bridge.delivery_path(root, "O"), path)
+    J.deliver(spark, bridge.rendered_lines(spark, sf_dir, "O"), path)
     PT.load(spark, path, ws.staging, "changed", **sizes)
     return PT.merged(spark, ws.staging, "changed")[0]
 
@@ -593,10 +592,10 @@ def q_stream_ingest(spark, sf_dir):
 
 def q_stream_latest_file(spark, sf_dir):
     ws = fresh_workspace(spark, "stream_latest_file")
-    root = registry(spark, sf_dir)
     landing, ckpt = f"{ws.root}/landing", f"{ws.root}/checkpoint"
     for n, delivery in enumerate(("F", "O"), start=1):
-        J.deliver(spark, bridge.delivery_path(root, delivery), f"{landing}/delivery-{n:04d}")
+        J.deliver(spark, bridge.rendered_lines(spark, sf_dir, delivery),
+                  f"{landing}/delivery-{n:04d}")
         J.stream_latest_delivery(spark, f"{landing}/*", ws, ckpt)
     return P.read_published(spark, ws.published, "debtors").select(*Q.DEBTOR_COLUMNS)
 

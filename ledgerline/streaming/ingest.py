@@ -132,8 +132,9 @@ def stream_latest_delivery(spark: SparkSession, landing: str, ws, checkpoint: st
     import_newest(spark, root, ws, clock)
 
 
-def deliver(spark: SparkSession, source: str, landing_folder: str) -> None:
-    """Copy a delivery's files into the landing area as a Spark job (bytes
-    are kept as they are; nothing passes through the driver)."""
-    (spark.read.option("lineSep", "\n").text(source).select("value")
-     .write.option("lineSep", "\n").text(landing_folder))
+def deliver(spark: SparkSession, source: str | DataFrame, landing_folder: str) -> None:
+    """Write a delivery's lines into the landing area as a Spark job (bytes
+    are kept as they are; nothing passes through the driver).  ``source`` is a
+    path to copy, or lines (``value``) that aren't stored anywhere yet."""
+    lines = spark.read.option("lineSep", "\n").text(source) if isinstance(source, str) else source
+    lines.select("value").write.option("lineSep", "\n").text(landing_folder)
