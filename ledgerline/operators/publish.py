@@ -127,9 +127,11 @@ def unique_keys(df: DataFrame, key: str) -> DataFrame:
 def _write(df: DataFrame, path: str, file_rows: int, key: str | None = None) -> None:
     writer = df.write.mode("error").option("maxRecordsPerFile", file_rows)
     if key:
+        # the writer's smallest choice is a 16th of the most: four bytes a key
+        most = min(BLOOM_BYTES, file_rows * 64)
         writer = (writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
                   .option("parquet.bloom.filter.adaptive.enabled", "true")
-                  .option("parquet.bloom.filter.max.bytes", BLOOM_BYTES))
+                  .option("parquet.bloom.filter.max.bytes", most))
     writer.parquet(path)
 
 

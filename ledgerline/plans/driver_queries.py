@@ -41,6 +41,9 @@ PAGE_SITUATION = "03"
 PAGE = 2
 PER_PAGE = 50
 INDEXED_FILE_ROWS = 100
+#: files of a layout beyond which they get more rows each, so that opening and
+#: committing files doesn't outgrow the table
+INDEXED_FILES = 1000
 RESUME_AFTER_LINE = 3000
 SPLIT_BYTES = 100_000
 #: parts into which the loads that stop and go on inside files cut their input
@@ -260,6 +263,10 @@ def q_page_meta(spark, sf_dir):
     return Q.page_meta(published_debtors(spark, sf_dir), PAGE_SITUATION, PAGE, PER_PAGE)
 
 
+def indexed_file_rows(n_rows: int) -> int:
+    return max(INDEXED_FILE_ROWS, -(-n_rows // INDEXED_FILES))
+
+
 def indexed_workspace(spark, sf_dir) -> Workspace:
     """The registry published in files of few rows, so that pages and top n have
     files to leave out."""
@@ -267,8 +274,12 @@ def indexed_workspace(spark, sf_dir) -> Workspace:
     key = hashlib.sha1(f"{app}|{registry(spark, sf_dir)}|indexed".encode()).hexdigest()[:12]
     ws = Workspace(f"{work_root(spark)}/serving/{key}")
     if P.current_version(spark, ws.published) is None:
-        P.publish(spark, ws.published, {"debtors": A.with_loaded_at(
-            q_debtors(spark, sf_dir), SUMMARY_CLOCK)}, file_rows=INDEXED_FILE_ROWS)
+        made = f"{ws.root}/aggregated"
+        aggregated = q_debtors(spark, sf_dir)
+        aggregated.write.mode("overwrite").parquet(made)
+        debtors = spark.read.schema(aggregated.schema).parquet(made)
+        P.publish(spark, ws.published, {"debtors": A.with_loaded_at(debtors, SUMMARY_CLOCK)},
+                  file_rows=indexed_file_rows(P.row_count(debtors)))
     return ws
 
 

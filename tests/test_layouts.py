@@ -5,9 +5,11 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerline import fs
 from ledgerline import layout as L
 from ledgerline.operators import publish as P
 from ledgerline.operators import reads as Q
+from ledgerline.plans import driver_queries as D
 
 N = 2000
 
@@ -99,3 +101,16 @@ def test_nothing_published(spark, tmp_path):
     assert Q.published_top(spark, path, 5).collect() == []
     assert Q.published_by_situation(spark, path, "01").collect() == []
     assert tuple(Q.published_page_meta(spark, path).first()) == (0, 50, 1, 1)
+
+
+def test_small_files_have_small_bloom_filters(spark, root):
+    """A file is as large as its rows need: 150 keys, not the filter's upper bound."""
+    whole = f"{P.version_dir(root, P.current_version(spark, root))}/{P.BY_KEY}"
+    sizes = [length for _, length, _ in fs.files_below(spark, whole)]
+    assert len(sizes) >= N // 150 and max(sizes) < 20_000
+
+
+def test_indexed_files_are_bounded_in_number():
+    assert D.indexed_file_rows(15_000) == D.INDEXED_FILE_ROWS
+    for n in (900_000, 5_400_000, 10 ** 9):
+        assert n / D.indexed_file_rows(n) <= D.INDEXED_FILES
