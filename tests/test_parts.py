@@ -180,3 +180,18 @@ def test_stream_repeats_a_planned_batch_once(spark, write_file, tmp_path):
     valid = sum(len(line) == 171 for line in lines_of(300))
     out = spark.read.parquet(sink)
     assert out.count() == valid == out.select("split_start", "row_id").distinct().count()
+
+
+def test_many_splits_share_tasks(spark, write_file, monkeypatch):
+    """Splits of a stated size don't each take a task; they and the numbers stay."""
+    path = write_file([f"line {i}" for i in range(3000)])
+    monkeypatch.setattr(RT, "SPLIT_TASKS", 7)
+    lines = RT.read_lines(spark, path, split_bytes=400)
+    assert lines.rdd.getNumPartitions() <= 8
+    got = RT.with_line_numbers(lines).select("split_start", "line_number", "line").collect()
+    at, want = 0, set()
+    for i in range(3000):  # a line is in the split that holds the byte before its first
+        want.add((max(at - 1, 0) // 400 * 400, i + 1, f"line {i}"))
+        at += len(f"line {i}") + 1
+    assert len(got) == 3000 and set(map(tuple, got)) == want
+    assert len({r[0] for r in got}) > 50
