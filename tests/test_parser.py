@@ -3,6 +3,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from conftest import make_line
+from ledgerline import layout as L
 from ledgerline.operators import classify as C
 from ledgerline.sources import registry_text as RT
 
@@ -165,3 +166,21 @@ def test_line_numbers_survive_a_layout_change(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert sorted((r.line_number, r.line) for r in got) == [(i + 1, r) for i, r in enumerate(rows)]
+
+
+def test_written_amounts_are_formatted_once(spark, tmp_path):
+    """The written lines are those of the plain expression, and an amount's digits
+    are made once: the later steps only read them."""
+    values = [Decimal(v) for v in ("0", "-0.01", "0.10", "1500.50", "-12.34", "99999999.99",
+                                   "-7.00", "10.05", "123456789.1")]
+    rows = [tuple(values[(i + j) % 9] if kind == "amount" else 7 if kind == "int"
+                  else "1" for j, (_, _, _, kind) in enumerate(L.FIELDS)) for i in range(9)]
+    schema = ", ".join(f"{n} " + {"amount": "decimal(18,2)", "int": "int"}.get(k, "string")
+                       for n, _, _, k in L.FIELDS)
+    recs = spark.createDataFrame(rows, schema).coalesce(1)
+    RT.write_fixed_width(recs, str(tmp_path / "w"))
+    got = sorted(r[0] for r in spark.read.text(str(tmp_path / "w")).collect())
+    want = sorted(r[0] for r in recs.select(RT.render_line()).collect())
+    assert got == want and any("-00000012,34" in x for x in got)
+    step = RT.amount_text(F.col("loans"), RT.amount_body(F.col("d")))
+    assert "abs" not in str(step) and str(RT.amount_digits(F.col("loans"))).count("abs") == 1
