@@ -23,8 +23,9 @@ from __future__ import annotations
 import hashlib
 import json
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,27 @@ class Range(InputPartition):
         return f"Range({self.path}, {self.start}, {self.end})"
 
 
+class Task(InputPartition):
+    """Ranges that one task reads, one after another."""
+
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
+
+
+def tasks_of(ranges: Sequence[Range], task_bytes: int) -> list[Task]:
+    """Consecutive ranges packed into tasks of about so many bytes (a longer range
+    is a task of its own): many short files don't start a task each."""
+    packed, size = [], 0
+    for r in ranges:
+        length = r.end - r.start
+        if not packed or size + length > task_bytes:
+            packed.append([])
+            size = 0
+        packed[-1].append(r)
+        size += length
+    return [Task(some) for some in packed]
+
+
 def cut(path: str, start: int, end: int, range_bytes: int) -> list[Range]:
     """[start, end) of a file, cut at multiples of ``range_bytes``."""
     edges = [start, *range(start - start % range_bytes + range_bytes, end, range_bytes), end]
@@ -103,26 +125,41 @@ def read_range(part: Range | None) -> Iterator[pa.RecordBatch]:
     if not text:
         return
     digest = hashlib.sha256(text).hexdigest()
-    lines = text[:-1].split(b"\n") if text.endswith(b"\n") else text.split(b"\n")
-    for i in range(0, len(lines), BATCH_LINES):
-        some = lines[i:i + BATCH_LINES]
-        n = len(some)
+    data = np.frombuffer(text, np.uint8)
+    is_end = data == 10
+    ends = np.flatnonzero(is_end)
+    if not text.endswith(b"\n"):
+        ends = np.append(ends, len(data))
+    bare = data[~is_end]
+    # places in ``bare`` at which lines start, and its end
+    edges = np.concatenate([[0], ends - np.arange(len(ends))])
+    for i in range(0, len(ends), BATCH_LINES):
+        some = edges[i:i + BATCH_LINES + 1]
+        n = len(some) - 1
+        raw = pa.Array.from_buffers(pa.binary(), n, [
+            None, pa.py_buffer((some - some[0]).astype(np.int32)),
+            pa.py_buffer(bare[some[0]:some[-1]])])
         yield pa.RecordBatch.from_arrays(
-            [pa.array([part.path] * n, pa.string()), pa.array([part.start] * n, pa.int64()),
-             pa.array(range(i, i + n), pa.int64()), pa.array([digest] * n, pa.string()),
-             pa.array(some, pa.binary())],
+            [pa.repeat(pa.scalar(part.path), n), pa.repeat(pa.scalar(part.start, pa.int64()), n),
+             pa.array(np.arange(i, i + n, dtype=np.int64)), pa.repeat(pa.scalar(digest), n), raw],
             names=["source_file", "split_start", "row_id", "range_digest", "raw"])
 
 
+def read_task(task: Task | None) -> Iterator[pa.RecordBatch]:
+    for part in task.ranges if task else [None]:
+        yield from read_range(part)
+
+
 class RangeReader(DataSourceReader):
     def __init__(self, options):
         self.ranges = json.loads(options["ranges"])
+        self.task_bytes = int(options["task_bytes"])
 
     def partitions(self):
-        return [Range(*r) for r in self.ranges]
+        return tasks_of([Range(*r) for r in self.ranges], self.task_bytes)
 
     def read(self, partition):
-        return read_range(partition)
+        return read_task(partition)
 
 
 class RangeStreamReader(DataSourceStreamReader):
@@ -194,10 +231,15 @@ def ranges_of(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) ->
 
 def read_ranges(spark: SparkSession, ranges: list[Range]) -> DataFrame:
     """The lines of these ranges, shaped like ``read_lines`` with their range's
-    digest; nothing else of the files is read."""
+    digest; nothing else of the files is read.  Short ranges share tasks, of
+    ``RANGE_BYTES`` or of as many as the cores take at once."""
     spark.dataSource.register(RegistryRanges)
-    return _typed(spark.read.format(FORMAT).option("ranges", json.dumps(
-        [(r.path, r.start, r.end) for r in ranges])).load())
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    total = sum(r.end - r.start for r in ranges)
+    return _typed(
+        spark.read.format(FORMAT).option("ranges", json.dumps(
+            [(r.path, r.start, r.end) for r in ranges]))
+        .option("task_bytes", max(1, min(RANGE_BYTES, -(-total // cores)))).load())
 
 
 def stream_ranges(spark: SparkSession, path: str, checkpoint: str, batch_bytes: int,

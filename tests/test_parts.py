@@ -1,5 +1,6 @@
 """Byte ranges, loads that commit inside a file, and streams within files."""
 
+import hashlib
 import os
 import random
 from datetime import datetime
@@ -195,3 +196,24 @@ def test_many_splits_share_tasks(spark, write_file, monkeypatch):
         at += len(f"line {i}") + 1
     assert len(got) == 3000 and set(map(tuple, got)) == want
     assert len({r[0] for r in got}) > 50
+
+
+def test_short_ranges_share_tasks(spark, tmp_path):
+    """Sixty short files are read by about as many tasks as there are cores, not by
+    one each; lines, places and digests are those of each range by itself."""
+    texts = [b"", b"\n", b"a\n\nb", b"\r\n\n", b"x" * 90 + b"\nlast"]
+    for i in range(60):
+        (tmp_path / f"f{i:02d}").write_bytes(texts[i % 5])
+    ranges = BR.ranges_of(spark, str(tmp_path), 40)
+    df = BR.read_ranges(spark, ranges)
+    cores = spark.sparkContext.defaultParallelism
+    assert df.rdd.getNumPartitions() <= 3 * cores < len(ranges)
+    want = []
+    for r in ranges:
+        text = BR.range_text(r.path, r.start, r.end)
+        lines = (text[:-1] if text.endswith(b"\n") else text).split(b"\n") if text else []
+        digest = hashlib.sha256(text).hexdigest()
+        want += [(r.path, r.start, i, digest, line) for i, line in enumerate(lines)]
+    got = df.select("source_file", "split_start", "row_id", "range_digest", "raw").collect()
+    assert sorted((*r[:4], bytes(r[4])) for r in got) == sorted(want) and len(want) == 96
+    assert sum(len(t.ranges) for t in BR.tasks_of(ranges, 100)) == len(ranges)
