@@ -56,6 +56,21 @@ def test_rendering_shuffles_each_table_once(spark, tmp_path):
     assert plan.count("FileScan") == 2 and plan.count("Join") == 1
 
 
+def test_rendering_tasks_are_sized_by_their_text(spark):
+    """Few large tasks keep most cores waiting for the last ones: a caller's size
+    of shuffle partitions is lowered to the rendering's own, never raised."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    try:
+        for size, expected in (("64MB", 16 << 20), ("1g", 16 << 20), ("16k", 16 << 10),
+                               ("4194304", 4 << 20), ("20b", 20)):
+            spark.conf.set(name, size)
+            assert bridge.rendering_session(spark).conf.get(name) == f"{expected}b"
+            assert spark.conf.get(name) == size
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_rendered_order_and_delivered_lines(spark, tmp_path):
     """Files hold their lines in the oracle's order, copies and blank lines
     included; a delivery written straight away holds the same lines."""
