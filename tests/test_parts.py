@@ -217,3 +217,23 @@ def test_short_ranges_share_tasks(spark, tmp_path):
     got = df.select("source_file", "split_start", "row_id", "range_digest", "raw").collect()
     assert sorted((*r[:4], bytes(r[4])) for r in got) == sorted(want) and len(want) == 96
     assert sum(len(t.ranges) for t in BR.tasks_of(ranges, 100)) == len(ranges)
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path, monkeypatch):
+    """The registry has a folder per file; listing them is not a task per folder."""
+    monkeypatch.setattr(RT, "LISTING_TASKS", 8)
+    for n in range(40):
+        folder = tmp_path / f"in/file_no={n}"
+        folder.mkdir(parents=True)
+        (folder / "part-0.txt").write_bytes(make_line().encode() + b"\n")
+    sc = spark.sparkContext
+    sc.setJobGroup("listing", "folders of one path")
+    try:
+        lines = RT.read_lines(spark, str(tmp_path / "in"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(stage) for job in tracker.getJobIdsForGroup("listing")
+              for stage in tracker.getJobInfo(job).stageIds]
+    assert [stage.numTasks for stage in stages] == [8]
+    assert lines.count() == 40 and lines.select("source_file").distinct().count() == 40
