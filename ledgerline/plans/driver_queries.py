@@ -614,7 +614,8 @@ def q_stream_latest_file(spark, sf_dir):
 def q_roundtrip(spark, sf_dir):
     ws = fresh_workspace(spark, "roundtrip")
     recs = C.valid_records(lines(spark, sf_dir)).select(*RECORD_COLUMNS)
-    RT.write_fixed_width(recs, f"{ws.root}/written")
+    # the registry's whole text a second time, so kept compressed
+    RT.write_fixed_width(recs, f"{ws.root}/written", compressed=True)
     back = RT.read_lines(spark, f"{ws.root}/written")
     return C.valid_records(back).select(*RECORD_COLUMNS)
 

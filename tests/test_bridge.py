@@ -3,6 +3,7 @@
 import datetime
 import glob
 import os
+import time
 
 import pytest
 
@@ -71,6 +72,23 @@ def test_rendering_tasks_are_sized_by_their_text(spark):
         spark.conf.set(name, before)
 
 
+def test_rendering_leaves_no_shuffle_files(spark, tmp_path):
+    """They would lie beside the text until the driver's garbage is collected."""
+    _tables(spark, str(tmp_path), range(50))
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager(
+            ).getAllFiles().mkString("\n").split("\n")
+        return {f for f in files if os.path.basename(f).startswith("shuffle_")}
+
+    before = shuffled()
+    bridge.render(spark, str(tmp_path), str(tmp_path / "out"))
+    until = time.time() + 20
+    while shuffled() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - before
+
+
 def test_rendered_order_and_delivered_lines(spark, tmp_path):
     """Files hold their lines in the oracle's order, copies and blank lines
     included; a delivery written straight away holds the same lines."""

@@ -1,3 +1,5 @@
+import glob
+import os
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -5,6 +7,7 @@ from pyspark.sql import functions as F
 from conftest import make_line
 from ledgerline import layout as L
 from ledgerline.operators import classify as C
+from ledgerline.plans import driver_queries as D
 from ledgerline.sources import registry_text as RT
 
 SITS = ["01", "03", "05", "04", "21", "11", "23", "01", "01", "03"]
@@ -151,6 +154,42 @@ def test_writer_roundtrip(spark, write_file, tmp_path):
     assert raw[0][0] == 171
 
 
+def test_compressed_files_are_bounded_and_read_back(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(RT, "COMPRESSED_FILE_LINES", 30)
+    values = {"amount": F.lit("-12.34").cast("decimal(18,2)"), "int": F.col("id").cast("int")}
+    recs = spark.range(0, 100, 1, 1).select(*[
+        values.get(kind, F.lit("\u00d1" if name == "activity" else "1")).alias(name)
+        for name, _, _, kind in L.FIELDS])
+    plain, small = str(tmp_path / "plain"), str(tmp_path / "small")
+    RT.write_fixed_width(recs, plain)
+    RT.write_fixed_width(recs, small, compressed=True)
+    files = glob.glob(f"{small}/part-*")
+    assert all(f.endswith(".txt.gz") for f in files)
+    back = RT.read_lines(spark, small)
+    assert sorted(r[0] for r in back.groupBy("source_file").count().select("count").collect()) == [
+        10, 30, 30, 30]
+    for part in ("line", "raw"):
+        assert sorted(back.select(part).collect()) == sorted(
+            RT.read_lines(spark, plain).select(part).collect())
+    assert sum(map(os.path.getsize, files)) * 2 < sum(
+        map(os.path.getsize, glob.glob(f"{plain}/part-*")))
+
+
+def test_roundtrip_keeps_its_second_text_small(spark, write_file, monkeypatch):
+    """The written text stays until the result is read, beside the registry itself."""
+    path = write_file([make_line(entity=f"{i:05d}", ident=f"2034{i:07d}") for i in range(2000)])
+    written = []
+    monkeypatch.setattr(D, "registry", lambda *_: path)
+    write = RT.write_fixed_width
+    monkeypatch.setattr(RT, "write_fixed_width", lambda recs, out, *a, **k: (
+        written.append(out), write(recs, out, *a, **k)))
+    back = D.QUERIES["roundtrip"](spark, "").collect()
+    assert sorted(back) == sorted(
+        C.valid_records(RT.read_lines(spark, path)).select(*L.FIELD_NAMES).collect())
+    assert len(back) == 2000
+    assert sum(map(os.path.getsize, glob.glob(f"{written[0]}/part-*"))) * 2 < os.path.getsize(path)
+
+
 def test_line_numbers_survive_a_layout_change(spark, tmp_path):
     """Numbering stays exact when the scan layout changes between planning
     the numbering and running it (as when executors come and go)."""
